@@ -30,6 +30,17 @@ AUDIT_SCHEMA = (
 DROPPED = "<dropped>"
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """The same rows, with filters kept above them.
+
+    A filter moves below a projection by copying the projected expressions into itself. In a
+    chain of rewrites each one mentions its input several times, so the copies multiply;
+    columns that come out of a generator are not copied.
+    """
+    row = F.struct(*[quoted(c).alias(c) for c in df.columns])
+    return df.select(F.inline(F.array(row)))
+
+
 @dataclass
 class Run:
     """A frame in the middle of a cleaning plan."""
@@ -38,6 +49,7 @@ class Run:
     rid: str | None = None
     policy: Policy = field(default_factory=Policy)
     notes: list = field(default_factory=list)  # audit rows about whole columns
+    dropped: bool = False
 
     @classmethod
     def start(cls, df, rid=None, policy=None):
@@ -58,10 +70,14 @@ class Run:
     def kind(self, column):
         return cells.dtype_of(self.df, column)
 
-    def alive(self) -> DataFrame:
+    def alive(self, *columns: str) -> DataFrame:
+        """Rows not dropped so far, with only the columns a statistic needs."""
         if self.rid is None:
             raise Refusal("this step looks at the whole table and needs the row-order column")
-        return self.df.where("_alive")
+        kept = [quoted(c) for c in (columns or self.columns)]
+        if not self.dropped:
+            return self.df.select(*kept)
+        return fenced(self.df.select(*kept, "_alive")).where("_alive").drop("_alive")
 
     def _append(self, when: Column, column, old: Column, new: Column, op, rule) -> Column:
         entry = F.struct(
@@ -99,6 +115,7 @@ class Run:
                  op, rule)
         if quiet is not None:
             gone = gone | F.coalesce(quiet, F.lit(False))
+        self.dropped = True
         self.df = self.df.withColumn("_alive", F.col("_alive") & ~gone)
 
     def note(self, column, old, new, op, rule) -> None:
@@ -107,14 +124,16 @@ class Run:
     def cleaned(self) -> DataFrame:
         if self.rid is None:
             return self.df
-        return self.df.where("_alive").drop("_alive", "_log")
+        return self.alive()
 
     def audit(self) -> DataFrame:
         spark = self.df.sparkSession
         notes = spark.createDataFrame(self.notes, AUDIT_SCHEMA)
         if self.rid is None:
             return notes
-        return self.df.select(F.explode("_log").alias("e")).select("e.*").unionByName(notes)
+        # explode_outer: a plain explode would push "_log is not empty" into every step
+        entries = self.df.select(F.explode_outer("_log").alias("e")).where("e IS NOT NULL")
+        return entries.select("e.*").unionByName(notes)
 
 
 # --------------------------------------------------------------------- whole columns
@@ -175,7 +194,7 @@ def drop_rows(run, column=None, indices=()):
     wanted = sorted({i for i in indices if isinstance(i, int) and i >= 0})
     if not wanted:
         return
-    placed = dense_ordinal(run.alive().select(quoted(run.rid).alias("_r")), "_r")
+    placed = dense_ordinal(run.alive(run.rid).withColumnRenamed(run.rid, "_r"), "_r")
     rids = [r["_r"] for r in placed.where(F.col("_ord").isin(wanted)).collect()]
     cells_text = F.to_json(F.struct(*[quoted(c) for c in run.columns]))
     run.drop(quoted(run.rid).isin(rids), "_row_", "drop_rows",
@@ -197,7 +216,7 @@ def deduplicate(run, column=None, subset=None):
     keys = list(subset or [c for c in run.columns if c != run.rid])
     need_columns(run.df, keys)
     firsts = (
-        run.alive().groupBy(*[quoted(k) for k in keys]).agg(F.min(quoted(run.rid)).alias("_r"))
+        run.alive(*{*keys, run.rid}).groupBy(*[quoted(k) for k in keys]).agg(F.min(quoted(run.rid)).alias("_r"))
         .select(F.col("_r").alias("_first"))
     )
     columns = run.df.columns
@@ -210,7 +229,7 @@ def remove_outliers(run, column, threshold=None):
     """Drop rows beyond the quartile fences; rows without a value go as well, unlogged."""
     if not run.has(column) or not is_number(run.kind(column)) or run.policy.method == "none":
         return
-    q1, q3 = exact_quantiles(run.alive(), {"x": number(quoted(column))}, [0.25, 0.75])["x"]
+    q1, q3 = exact_quantiles(run.alive(column), {"x": number(quoted(column))}, [0.25, 0.75])["x"]
     if q1 is None:
         run.drop(F.lit(False), column, "remove_outliers", "", quiet=quoted(column).isNull())
         return
@@ -269,11 +288,11 @@ def fill_null(run, column, strategy=None, value=None):
         return
     numeric, fill = is_number(run.kind(column)), None
     if strategy == "mean" and numeric:
-        fill = run.alive().agg(F.avg(number(quoted(column)))).first()[0]
+        fill = run.alive(column).agg(F.avg(number(quoted(column)))).first()[0]
     elif strategy == "median" and numeric:
-        fill = exact_quantiles(run.alive(), {"x": number(quoted(column))}, [0.5])["x"][0]
+        fill = exact_quantiles(run.alive(column), {"x": number(quoted(column))}, [0.5])["x"][0]
     elif strategy == "mode":
-        fill = most_common(run.alive(), column)
+        fill = most_common(run.alive(column), column)
     elif not strategy:
         fill = value
     if fill is None:
@@ -292,7 +311,7 @@ def cast_type(run, column, target_type="str"):
     made = casted(quoted(column), target_type)
     if made is None or target_type not in ("int", "float", "datetime", "str"):
         return
-    if target_type == "int" and fractional(run.alive(), column):
+    if target_type == "int" and fractional(run.alive(column), column):
         return
     run.rewrite(column, made, "cast_type", f"Column cast to {target_type}")
 
@@ -324,11 +343,11 @@ def flag_extreme_outliers(run, column, threshold=None, flag_column="_flagged"):
         return
     if not is_number(run.kind(column)):
         x = number(quoted(column))
-        if run.alive().agg(F.count(x)).first()[0] < fixed.MIN_CLEANING_VALUES:
+        if run.alive(column).agg(F.count(x)).first()[0] < fixed.MIN_CLEANING_VALUES:
             return
         run.df = run.df.withColumn(column, x)
-    test = extreme_test(run.alive(), column, run.policy, threshold)
-    if test is None or run.alive().where(test(quoted(column))).isEmpty():
+    test = extreme_test(run.alive(column), column, run.policy, threshold)
+    if test is None or run.alive(column).where(test(quoted(column))).isEmpty():
         return
     run.df = run.df.withColumn("_extreme", test(quoted(column)))
     _mark(run, F.col("_extreme"), flag_column, f"OUTLIER:{column}")
@@ -344,7 +363,7 @@ def flag_contextual_fraud(run, column, threshold=None, flag_column="_flagged", r
         return
     reason = reason or f"Suspicious value in {column}"
     test = F.coalesce(number(quoted(column)) > F.lit(threshold), F.lit(False))
-    if run.rid is not None and run.alive().where(test).isEmpty():
+    if run.rid is not None and run.alive(column).where(test).isEmpty():
         return
     run.log(test, column, quoted(column), quoted(column), "flag_contextual_fraud",
             f"Rule 4.2: {reason} (threshold: {threshold})")

@@ -30,13 +30,13 @@ def run_cleaning(
     run, failed = Run.start(df, rid, policy), []
     for index, step in enumerate(steps):
         name, column = step.get("operation", ""), step.get("column")
-        before = (run.df, run.rid, list(run.notes))
+        before = (run.df, run.rid, list(run.notes), run.dropped)
         try:
             if name not in STEPS:
                 raise ValueError(f"Unknown operation '{name}'")
             STEPS[name](run, column, **(step.get("params") or {}))
         except (ValueError, TypeError, PySparkException, Py4JError) as exc:
-            run.df, run.rid, run.notes = before
+            run.df, run.rid, run.notes, run.dropped = before
             failed.append(
                 {"step_index": index, "operation": name, "column": column, "error": str(exc)}
             )
