@@ -39,10 +39,11 @@ def _pairs_from_corr(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def ranked(rows: DataFrame, names: list[str]) -> DataFrame:
     """Replace every column by average ranks: one pass of distinct values per column."""
+    joined = rows
     for name in names:
         ranks = average_ranks(rows, name).select(name, F.col("rank").alias(f"_r_{name}"))
-        rows = rows.join(ranks, name)
-    return rows.select(*[F.col(f"_r_{n}").alias(n) for n in names])
+        joined = joined.join(ranks, name)
+    return joined.select(*[F.col(f"_r_{n}").alias(n) for n in names])
 
 
 def correlation_pairs(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
@@ -80,41 +81,37 @@ def correlation_matrix(df: DataFrame, columns: list[str], method: str = "pearson
 # ----------------------------------------------------------------------------- kendall
 
 
-def _inversions(block, key):
-    """Weighted pairs with x rising and y falling, of one block sorted by x.
+def _falling_pairs(y_rank, w, cell):
+    """Weighted pairs inside one cell where y falls along the given order.
 
-    ``key`` is a coarse cell; pairs inside one cell of it are not counted when given.
+    Walks the bits of the y rank from the top: a pair is counted at the highest bit that
+    differs, among elements whose higher bits agree. The elements of one cell are adjacent.
     """
-    y, w, x = block["y"].to_numpy(), block["w"].to_numpy(), block["x"].to_numpy()
-    order = np.lexsort((y, x))
-    y, w, x = y[order], w[order], x[order]
-    xr = np.unique(x, return_inverse=True)[1]
-    cell = xr if key is None else np.unique(block[key].to_numpy()[order], return_inverse=True)[1]
-    total, width = 0, 1
-    n = len(y)
-    # bottom-up merge over positions; equal cells never count because their prefix is removed
-    while width < n:
-        lo = np.arange(0, n, 2 * width)
-        for a in lo:
-            mid, end = min(a + width, n), min(a + 2 * width, n)
-            if mid >= end:
-                continue
-            left, right = slice(a, mid), slice(mid, end)
-            ls = np.argsort(y[left], kind="stable")
-            ly, lw = y[left][ls], np.concatenate([[0], np.cumsum(w[left][ls])])
-            above = lw[-1] - lw[np.searchsorted(ly, y[right], side="right")]
-            total += int((above * w[right]).sum())
-            edge = cell[mid - 1]
-            if edge == cell[mid]:  # the one cell cut by this boundary
-                li, ri = cell[left] == edge, cell[right] == edge
-                es = np.argsort(y[left][li], kind="stable")
-                ey, ew = y[left][li][es], np.concatenate([[0], np.cumsum(w[left][li][es])])
-                same = ew[-1] - ew[np.searchsorted(ey, y[right][ri], side="right")]
-                total -= int((same * w[right][ri]).sum())
-        width *= 2
+    total = 0.0
+    for bit in range(int(y_rank.max()).bit_length() - 1, -1, -1):
+        group = cell * (int(y_rank.max() >> (bit + 1)) + 1) + (y_rank >> (bit + 1))
+        order = np.argsort(group, kind="stable")
+        g, one, ws = group[order], (y_rank[order] >> bit) & 1, w[order]
+        ones = np.cumsum(ws * one)
+        starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        lengths = np.diff(np.r_[starts, g.size])
+        base = np.repeat(np.r_[0.0, ones][starts], lengths)
+        total += float((ws * (1 - one) * (ones - base)).sum())
     return total
 
 
+def _inversions(block, key):
+    """Discordant weight of one block; pairs inside one ``key`` cell are left out if given."""
+    block = block.sort_values(["x", "y"])
+    y = np.unique(block["y"].to_numpy(), return_inverse=True)[1].astype(np.int64)
+    w = block["w"].to_numpy().astype(float)
+    whole = _falling_pairs(y, w, np.zeros(len(y), dtype=np.int64)) if y.max() > 0 else 0.0
+    if key is None or y.max() == 0:
+        return whole
+    cell = np.unique(block[key].to_numpy(), return_inverse=True)[1].astype(np.int64)
+    return whole - _falling_pairs(y, w, cell)
+
+
 def kendall(df: DataFrame, column: str, column2: str) -> DataFrame:
     """tau-b with ties, and its normal p (exact only matters below ten or so rows).
 
@@ -126,11 +123,11 @@ def kendall(df: DataFrame, column: str, column2: str) -> DataFrame:
     held = rows.groupBy("x", "y").agg(F.count("*").alias("w"))
     cut = with_range(with_range(held, "x", range_bounds(held, "x"), "bx"), "y",
                      range_bounds(held, "y"), "by")
-    grid = cut.groupBy("bx", "by").agg(F.sum("w").alias("w")).collect()  # ranges x ranges counts
-    nx, ny = (max((r[k] for r in grid), default=0) + 1 for k in ("bx", "by"))
-    table = np.zeros((nx, ny))
-    for r in grid:
-        table[r["bx"], r["by"]] = r["w"]
+    grid = cut.groupBy("bx", "by").agg(F.sum("w").alias("w")).toPandas()  # ranges x ranges
+    if grid.empty:
+        raise Refusal("correlation: needs three complete rows")
+    table = np.zeros((grid["bx"].max() + 1, grid["by"].max() + 1))
+    table[grid["bx"], grid["by"]] = grid["w"]
     before = np.cumsum(table, axis=0) - table  # strictly smaller x-range
     above = np.cumsum(before[:, ::-1], axis=1)[:, ::-1] - before  # and strictly larger y-range
     across = float((table * above).sum())

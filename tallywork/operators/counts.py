@@ -224,7 +224,8 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p_value", by=()) -> DataFrame
     ranked = ranked.withColumn("_q", F.col(p) * F.col("_m") / (F.col("_before") + F.col("_n")))
     adjusted = suffix_min(ranked, p, "_q", by)
     joined = tests.join(adjusted.select(*by, p, "_adj"), [*by, p], "left")
-    return joined.select(*tests.columns, F.least(F.lit(1.0), F.col("_adj")).alias("p_adjusted"))
+    return joined.select(*tests.columns, 
+        F.when(F.col("_adj") > 1, 1.0).otherwise(F.col("_adj")).alias("p_adjusted"))
 
 
 def suffix_min(df: DataFrame, order: str, value: str, by: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from tallywork.errors import Refusal, need_columns
 from tallywork.functions import dist
 from tallywork.functions.cells import number, quoted
+from tallywork.functions.dist import norm_point, norm_upper
 from tallywork.operators.ordering import grouped_quantiles
 
 ALPHA = 0.05
@@ -177,7 +178,7 @@ def one_way(moments: DataFrame, by: list[str]) -> DataFrame:
     )
     return sums.selectExpr(
         "*", "k - 1 AS dof_between", "n - k AS dof_within",
-        "ss_between / (k - 1) / nullif(ss_within / nullif(n - k, 0), 0) AS statistic",
+        "ss_between / nullif(k - 1, 0) / nullif(ss_within / nullif(n - k, 0), 0) AS statistic",
         "ss_between / nullif(ss_between + ss_within, 0) AS eta_squared",
         "(ss_between - (k - 1) * ss_within / nullif(n - k, 0)) / "
         "nullif(ss_between + ss_within + ss_within / nullif(n - k, 0), 0) AS omega_squared",
@@ -188,16 +189,16 @@ def welch(moments: DataFrame, by: list[str]) -> DataFrame:
     """Variance-weighted F with Satterthwaite-Welch denominator degrees of freedom."""
     whole = W.partitionBy(*by)
     w = moments.withColumn("w", F.expr("n / nullif(var, 0)"))
-    w = w.withColumn("W", F.sum("w").over(whole)).withColumn(
-        "_wm", F.sum(F.expr("w * mean")).over(whole) / F.col("W"))
+    w = w.withColumn("_tw", F.sum("w").over(whole)).withColumn(
+        "_wm", F.sum(F.expr("w * mean")).over(whole) / F.col("_tw"))
     sums = w.groupBy(*by).agg(
         F.count("*").alias("k"),
         F.sum(F.expr("w * power(mean - _wm, 2)")).alias("a"),
-        F.sum(F.expr("power(1 - w / W, 2) / (n - 1)")).alias("b"),
+        F.sum(F.expr("power(1 - w / _tw, 2) / nullif(n - 1, 0)")).alias("b"),
     )
     return sums.selectExpr(
-        *by, "(a / (k - 1)) / (1 + 2 * (k - 2) / (k * k - 1) * b) AS welch_statistic",
-        "(k * k - 1) / (3 * b) AS welch_dof",
+        *by, "(a / nullif(k - 1, 0)) / (1 + 2 * (k - 2) / nullif(k * k - 1, 0) * b) AS welch_statistic",
+        "(k * k - 1) / nullif(3 * b, 0) AS welch_dof",
     )
 
 
@@ -229,8 +230,7 @@ def _attach(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
 def welch_anova(df, column, group_by, by=()) -> DataFrame:
     by = list(by)
     moments = group_moments(labelled(df, group_by, column, by), by)
-    out = welch(moments, by).withColumn("k_dof", F.lit(0))
-    both = _attach(one_way(moments, by), out.drop("k_dof"), by)
+    both = _attach(one_way(moments, by), welch(moments, by), by)
     return both.select(
         *by, "k", "n", F.col("welch_statistic").alias("statistic"), "dof_between",
         F.col("welch_dof").alias("dof_within"),
@@ -357,7 +357,7 @@ def shapiro(values):
 
     x = np.sort(np.asarray(values, dtype=float))
     n = x.size
-    m = np.array([dist.norm_point((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    m = np.array([norm_point((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
     mm = float(m @ m)
     a, u = np.zeros(n), 1.0 / math.sqrt(n)
     if n == 3:
@@ -392,7 +392,7 @@ def shapiro(values):
         y = math.log(1 - w)
         mu = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], math.log(n))
         sigma = math.exp(np.polyval([0.0030302, -0.082676, -0.4803], math.log(n)))
-    return w, dist.norm_upper((y - mu) / sigma)
+    return w, norm_upper((y - mu) / sigma)
 
 
 def normality_test(df, column, group_by=None, robust_n: int = 30) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from tallywork.errors import Refusal
 from tallywork.functions import dist
 from tallywork.functions.cells import number, quoted
 from tallywork.operators.means import (
@@ -115,7 +116,7 @@ def hodges_lehmann(df, column, group_by) -> DataFrame:
     sizes = {r["g"]: r["count"] for r in rows.groupBy("g").count().limit(3).collect()}
     schema = "n1 long, n2 long, shift double"
     if len(sizes) != 2:
-        raise dist_refusal("hodges_lehmann: needs exactly two groups")
+        raise Refusal("hodges_lehmann: needs exactly two groups")
     first, second = sorted(sizes)
     pairs = sizes[first] * sizes[second]
     if pairs > PAIR_CAP:
@@ -173,12 +174,6 @@ def hodges_lehmann(df, column, group_by) -> DataFrame:
         [(sizes[first], sizes[second], float(sign * (lower + upper) / 2))], schema)
 
 
-def dist_refusal(reason):
-    from tallywork.errors import Refusal
-
-    return Refusal(reason)
-
-
 def wilcoxon(df, column, column2, alternative="two-sided", by=()) -> DataFrame:
     """Signed ranks of the non-zero differences; exact up to 50 untied pairs without zeros."""
     check_alternative(alternative)
