@@ -81,3 +81,29 @@ DATE_FORMATS = [
     "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy", "dd-MM-yyyy", "dd.MM.yyyy",
     "MMM d, yyyy", "d MMM yyyy", "MMMM d, yyyy", "d MMMM yyyy", "yyyyMMdd",
 ]
+
+# --- what column names and levels say about their role ------------------------------
+WEIGHT_TOKENS = {
+    "weight", "weights", "wt", "wts", "wgt", "wgts", "wght", "pweight", "pwgt", "finalwt", "fwt",
+}
+PHYSICAL_WEIGHT_TOKENS = {
+    "kg", "kgs", "lb", "lbs", "g", "gram", "grams", "oz", "ounce", "ounces",
+    "pound", "pounds", "ton", "tons", "tonne", "tonnes", "kilo", "kilos",
+    "birth", "body", "net", "gross", "shipping", "ship", "parcel", "package", "cargo",
+}
+IDENTIFIER_TOKENS = {
+    "id", "ids", "uuid", "guid", "key", "respondent", "record", "case",
+    "subject", "participant", "pid", "hhid", "serial",
+}
+ORDINAL_LABELS = [
+    "strongly agree", "agree", "somewhat agree", "slightly agree",
+    "neither agree nor disagree", "neutral", "neither",
+    "somewhat disagree", "slightly disagree", "disagree", "strongly disagree",
+    "very satisfied", "satisfied", "dissatisfied", "very dissatisfied",
+    "never", "rarely", "sometimes", "often", "very often", "always",
+    "not at all", "a little", "somewhat", "a lot", "very much",
+    "excellent", "very good", "good", "fair", "poor", "very poor",
+    "strongly approve", "approve", "disapprove", "strongly disapprove",
+    "much better", "better", "about the same", "worse", "much worse",
+]
+LIKERT_TOPS = [4, 5, 7, 10]

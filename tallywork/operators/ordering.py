@@ -171,6 +171,8 @@ def exact_quantiles(
     the rows of the final brackets are grouped and sorted.
     """
     names = list(columns)
+    if not names:
+        return {}
     cols = {n: columns[n].cast("double") for n in names}
     first = df.agg(
         *[F.count(cols[n]).alias(f"n{i}") for i, n in enumerate(names)],
