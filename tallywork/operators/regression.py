@@ -442,9 +442,110 @@ def _hall_sheather(n: int, q: float) -> float:
     return n ** (-1 / 3) * dist.norm_point(0.975) ** (2 / 3) * ratio ** (1 / 3)
 
 
-def quantile_regression(df: DataFrame, y: str, x: list[str], tau: float = 0.5, max_iter: int = 300) -> Fit:
-    """Reweighted least squares on the check loss, one aggregation per step; sandwich errors
-    with an Epanechnikov density at the Hall-Sheather bandwidth."""
+MIDDLE_ROWS = 20_000  # rows near the quantile plane that one exact solve may hold
+
+
+def _vertex(x, y, w, tau, beta, pull):
+    """Exact minimum of the weighted check loss on a bounded set of rows, by moving from one
+    fit through p points to the next. ``pull`` is the fixed slope of all other rows."""
+    p = x.shape[1]
+    basis, q = [], np.zeros((0, p))
+    for i in np.argsort(np.abs(y - x @ beta), kind="stable"):
+        left = x[i] - q.T @ (q @ x[i]) if len(basis) else x[i]
+        if np.linalg.norm(left) > 1e-8 * (1 + np.linalg.norm(x[i])):
+            basis.append(int(i))
+            q = np.vstack([q, left / np.linalg.norm(left)])
+            if len(basis) == p:
+                break
+    if len(basis) < p:
+        return None
+    for _ in range(20_000):
+        inverse = np.linalg.inv(x[basis])
+        beta = inverse @ y[basis]
+        e = y - x @ beta
+        tiny = 1e-11 * (1 + np.abs(y).max())
+        e[np.abs(e) < tiny] = 0.0
+        psi = w * np.where(e >= 0, tau, tau - 1.0)
+        psi[basis] = 0.0
+        slope = (psi @ x + pull) @ inverse
+        up, down = w[basis] * (1 - tau) - slope, w[basis] * tau + slope
+        j = int(np.argmin(np.minimum(up, down)))
+        rate = min(up[j], down[j])
+        if rate >= -1e-9 * (1 + np.abs(slope).max()):
+            return beta
+        step = x @ (inverse[:, j] if up[j] <= down[j] else -inverse[:, j])
+        step[basis] = 0.0
+        crossing = ((e > 0) & (step > 1e-14)) | ((e < 0) & (step < -1e-14)) | ((e == 0) & (step > 1e-14))
+        at = np.flatnonzero(crossing)
+        if not at.size:
+            return None
+        at = at[np.argsort(e[at] / step[at], kind="stable")]
+        rates = rate + np.cumsum(w[at] * np.abs(step[at]))
+        stop = int(np.searchsorted(rates, 0.0))
+        basis[j] = int(at[min(stop, at.size - 1)])
+    return beta
+
+
+def _smooth_steps(terms: Terms, tau: float, beta, spread: float):
+    """Newton on the logistic-smoothed check loss with a shrinking width, until few rows lie
+    within the width; one aggregation per step."""
+    x, p, width = [F.lit(1.0), *terms.z], terms.k + 1, spread / 2
+    for _ in range(24):
+        u = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("_e") / F.lit(width)))
+        share = 1 / (1 + F.exp(u))  # smoothed indicator of a negative residual
+        rows = terms.rows.withColumn("_e", F.col("y") - terms.linear(beta)).withColumn("_s", share)
+        info = F.col("_s") * (1 - F.col("_s")) / F.lit(width)
+        aggs = {f"s{i}": F.sum((F.lit(tau) - F.col("_s")) * x[i]) for i in range(p)}
+        aggs |= {f"g{i}_{j}": F.sum(info * x[i] * x[j]) for i in range(p) for j in range(i, p)}
+        got = rows.agg(F.count_if(F.abs("_e") <= width).alias("near"), *[v.alias(k) for k, v in aggs.items()]).first()
+        gram = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+        step = np.linalg.lstsq(gram, np.array([got[f"s{i}"] for i in range(p)]), rcond=None)[0]
+        beta = beta + step * min(1.0, 4 * width / max(np.abs(step).max(), 1e-300))
+        if np.abs(step).max() < width / 4:
+            if got["near"] <= MIDDLE_ROWS / 4:
+                break
+            width /= 4
+    return beta
+
+
+def _exact_quantile_fit(terms: Terms, tau: float, beta) -> np.ndarray:
+    """Rows far above or below the plane keep their sign, so only their sums matter; the rows
+    near it are solved exactly, and one pass checks that no far row changed its sign."""
+    x, p, n = [F.lit(1.0), *terms.z], terms.k + 1, terms.n
+    names, keep = [f"t{i}" for i in range(terms.k)], MIDDLE_ROWS
+    for _ in range(12):
+        e = F.col("y") - terms.linear(beta)
+        rows = terms.rows.withColumn("_e", e)
+        near = None
+        if n > keep:
+            near = exact_quantiles(rows, {"a": F.abs("_e")}, [keep / n])["a"][0]
+        middle = rows if near is None else rows.where(F.abs("_e") <= F.lit(near))
+        points = middle.groupBy("y", *names).agg(F.count("*").alias("w")).limit(8 * keep + 1).toPandas()
+        if len(points) > 8 * keep:
+            raise Refusal("quantile_regression: too many rows lie at one distance from the fit")
+        pull = np.zeros(p)
+        if near is not None:
+            above, below = F.col("_e") > F.lit(near), F.col("_e") < F.lit(-near)
+            psi = F.when(above, F.lit(tau)).when(below, F.lit(tau - 1.0)).otherwise(0.0)
+            pull = np.array(list(rows.agg(*[F.sum(psi * c) for c in x]).first()))
+        xs = np.column_stack([np.ones(len(points)), points[names].to_numpy(dtype=float)])
+        new = _vertex(xs, points["y"].to_numpy(dtype=float), points["w"].to_numpy(dtype=float), tau, beta, pull)
+        if new is None:
+            raise Refusal("quantile_regression: the fit is not determined by the rows near it")
+        if near is None:
+            return new
+        after = F.col("y") - terms.linear(new)
+        crossed = rows.where(((F.col("_e") > near) & (after < 0)) | ((F.col("_e") < -near) & (after > 0)))
+        if crossed.isEmpty():
+            return new
+        beta, keep = new, min(2 * keep, 8 * MIDDLE_ROWS)
+    raise Refusal("quantile_regression: the fit does not settle")
+
+
+def quantile_regression(df: DataFrame, y: str, x: list[str], tau: float = 0.5) -> Fit:
+    """Exact fit of a conditional quantile: smoothed Newton passes bring the plane close, and
+    an exact solve over the rows near it finishes. Sandwich errors use an Epanechnikov
+    density at the Hall-Sheather bandwidth."""
     if not 0 < tau < 1:
         raise Refusal(f"quantile_regression: tau must be between 0 and 1, got {tau}")
     terms = design_matrix(df, y, x)
@@ -457,19 +558,13 @@ def quantile_regression(df: DataFrame, y: str, x: list[str], tau: float = 0.5, m
         check_rank(gram, terms.names)
         sd_y = terms.rows.agg(F.stddev_samp("y")).first()[0]
         beta = np.linalg.solve(gram, xty)
-        floor = 1e-6
-        seen = []
-        for _ in range(max_iter):
-            e = F.col("y") - terms.linear(beta)
-            size = F.greatest(F.abs(e), F.lit(floor))
-            weight = F.when(e < 0, F.lit(1 - tau)).otherwise(F.lit(tau)) / size
-            g, v = cross_products(terms, weight=weight)
-            new = np.linalg.solve(g, v)
-            moved = np.abs(new - beta).max()
-            beta = new
-            if moved < 1e-6 or any(np.abs(new - old).max() < 1e-9 * (1 + np.abs(new).max()) for old in seen):
-                break
-            seen = [*seen[-4:], new]
+        e = F.col("y") - terms.linear(beta)
+        beta[0] += exact_quantiles(terms.rows, {"e": e}, [tau])["e"][0]
+        if n > MIDDLE_ROWS:
+            spread = terms.rows.agg(F.stddev_samp(e)).first()[0]
+            if spread > 0:
+                beta = _smooth_steps(terms, tau, beta, spread)
+        beta = _exact_quantile_fit(terms, tau, beta)
         rows = terms.rows.withColumn("e", F.col("y") - terms.linear(beta))
         e25, e75 = exact_quantiles(rows, {"e": F.col("e")}, [0.25, 0.75])["e"]
         base = exact_quantiles(rows, {"y": F.col("y")}, [tau])["y"][0]

@@ -7,8 +7,8 @@ from tallywork.queries.base import ORACLES, QUERIES
 
 def load() -> None:
     from tallywork.queries import (  # noqa: F401
-        bivariate, cleaning, combine, inference, profiling, regression, series, sources, survey,
-        tables, verification,
+        bivariate, cleaning, combine, inference, profiling, regression, reporting, series, sources,
+        survey, tables, verification,
     )
 
 
