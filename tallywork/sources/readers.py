@@ -82,24 +82,29 @@ def parse_date_named_columns(df: DataFrame, share: float = 0.8) -> DataFrame:
 
 
 def _first_bytes(batches):
-    """Read only the first four bytes of each listed file."""
+    """Size and first four bytes of each listed file."""
     from pyarrow import fs
 
     for batch in batches:
-        heads = []
+        heads, sizes = [], []
         for uri in batch["path"]:
             store, path = fs.FileSystem.from_uri(uri)
             with store.open_input_file(path) as handle:
+                sizes.append(handle.size())
                 heads.append(handle.read(4))
-        yield batch.assign(head=heads)
+        yield batch.assign(length=sizes, head=heads)
 
 
 def content_check(spark: SparkSession, directory: str) -> DataFrame:
-    """One verdict per file: do the first bytes fit the extension?"""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
-        .select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "length")
-    )
+    """One verdict per file: do the first bytes fit the extension?
+
+    The names come from Spark's file listing (a scan would leave out empty files); the
+    files are opened in tasks.
+    """
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+    names = [(re.sub("^file:/+", "file:///", p),) for p in listing.inputFiles()]
+    tasks = min(len(names), spark.sparkContext.defaultParallelism * 4) or 1
+    files = spark.createDataFrame(names, "path string").repartition(tasks)
     heads = files.mapInPandas(_first_bytes, "path string, length long, head binary")
     ext = F.concat(F.lit("."), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
     head = F.hex("head")
