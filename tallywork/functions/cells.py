@@ -41,7 +41,7 @@ def text(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(fixed.WHITE_SPACE))
 
 
 def undecorated(c: Column) -> Column:

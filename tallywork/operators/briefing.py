@@ -10,7 +10,9 @@ from tallywork.functions import fixed
 from tallywork.functions.cells import dtype_of, is_date, is_number, is_text, number, quoted
 from tallywork.operators.means import CORRECTED_KURTOSIS, CORRECTED_SKEW
 from tallywork.operators.ordering import grouped_quantiles
-from tallywork.operators.profiling import level_counts, named, present
+from tallywork.operators.profiling import (
+    first_seen, level_counts, melt_numbers, named, present,
+)
 
 
 def tokens(name: str) -> set[str]:
@@ -35,18 +37,18 @@ def _numeric(df: DataFrame) -> list[str]:
 
 
 def numbers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per numeric column with its moments, in one pass of narrow rows."""
-    facts = {
-        "n": F.count, "mean": F.avg, "minimum": F.min, "maximum": F.max, "total": F.sum,
-        "g1": F.skewness, "g2": F.kurtosis, "sd": F.stddev_samp,
-        "zero_share": lambda x: F.avg((x == 0).cast("double")),
-        "integer_valued": lambda x: F.bool_and(x % 1 == 0),
-    }
-    wide = df.agg(F.array(*[
-        F.struct(F.lit(i).alias("i"), *[f(number(quoted(c))).alias(k) for k, f in facts.items()])
-        for i, c in enumerate(columns)
-    ]).alias("r"))
-    return wide.select(F.explode("r").alias("r")).select("r.*")
+    """One row per numeric column with its moments, in one pass."""
+    x = F.col("x")
+    return melt_numbers(df, columns).groupBy("i").agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("minimum"), F.max(x).alias("maximum"),
+        F.sum(x).alias("total"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"),
+        F.avg((x == 0).cast("double")).alias("zero_share"),
+        F.bool_and(x % 1 == 0).alias("integer_valued"))
+
+
+def few_levels(df: DataFrame, columns: list[str], most: int) -> list[str]:
+    """Columns that may have at most ``most`` distinct values."""
+    return [c for c, (_, k) in first_seen(df, columns).items() if k <= most]
 
 
 def _none(df: DataFrame, schema: str) -> DataFrame:
@@ -89,8 +91,13 @@ def key_columns(df: DataFrame) -> DataFrame:
     integral = df.agg(F.count("*").alias("rows"), *[
         F.bool_and(number(quoted(c)) % 1 == 0).alias(f"w{i}") for i, c in enumerate(whole)]).first()
     fits = [c for c in columns if c not in whole or integral[f"w{whole.index(c)}"]]
-    by_name = F.array(*[F.lit(is_identifier_name(c)) for c in fits])
     rows = F.lit(integral["rows"])
+    # without an identifier's name a column must be row-unique: one repeated value rules it out
+    seen = first_seen(df, fits)
+    fits = [c for c in fits if is_identifier_name(c) or seen[c][0] == seen[c][1]]
+    if not fits:
+        return _none(df, "column string, distinct long")
+    by_name = F.array(*[F.lit(is_identifier_name(c)) for c in fits])
     out = level_stats(df, fits).withColumn("_named", F.get(by_name, F.col("i")))
     out = out.where(F.col("_named") | (F.col("distinct") == F.col("n"))).select(
         "i", rows.alias("rows"), "distinct",
@@ -134,7 +141,11 @@ def date_regularity(df: DataFrame) -> DataFrame:
 def ordinal_columns(df: DataFrame) -> DataFrame:
     """Likert and 0-10 integer scales, and text columns of ordered response labels."""
     numeric, texts = _numeric(df), [f.name for f in df.schema if is_text(f.dataType)]
+    likely = set(few_levels(df, numeric + texts, 11))
+    numeric, texts = [c for c in numeric if c in likely], [c for c in texts if c in likely]
     columns = numeric + texts
+    if not columns:
+        return _none(df, "column string, levels long")
     counts = level_counts(df, columns)
     label = F.lower(F.btrim("value"))
     stats = counts.groupBy("i").agg(
@@ -158,11 +169,15 @@ def numeric_shape(df: DataFrame) -> DataFrame:
     columns = _numeric(df)
     if not columns:
         return _none(df, "column string, n long")
-    levels = level_counts(df, columns).groupBy("i").agg(F.count("*").alias("distinct"))
-    x = numbers(df, columns).where("n >= 8").join(levels, "i")
+    # only a column with two values is told apart by its distinct count
+    small = few_levels(df, columns, 2)
+    at = F.array(*[F.lit(columns.index(c)) for c in small])
+    levels = level_counts(df, small or columns[:1]).groupBy("i").agg(F.count("*").alias("distinct"))
+    levels = levels.select(F.get(at, F.col("i")).alias("i"), "distinct") if small else levels.limit(0)
+    x = numbers(df, columns).where("n >= 8").join(F.broadcast(levels), "i", "left")  # one row per column
     x = x.selectExpr(
-        "*", f"CASE WHEN sd > 0 THEN {CORRECTED_SKEW} END AS skewness",
-        f"CASE WHEN sd > 0 THEN {CORRECTED_KURTOSIS} END AS excess_kurtosis")
+        "*", f"CASE WHEN minimum < maximum THEN {CORRECTED_SKEW} END AS skewness",
+        f"CASE WHEN minimum < maximum THEN {CORRECTED_KURTOSIS} END AS excess_kurtosis")
     return named(x.selectExpr(
         "i", "n", "skewness", "excess_kurtosis",
         "CASE WHEN skewness IS NULL THEN 'unknown' WHEN abs(skewness) < 0.5 THEN 'symmetric' "
@@ -174,7 +189,9 @@ def numeric_shape(df: DataFrame) -> DataFrame:
 
 def group_levels(df: DataFrame) -> DataFrame:
     """Columns with 2 to 12 repeating levels, with their smallest and largest level."""
-    columns = [c for c in df.columns if not is_date(dtype_of(df, c))]
+    columns = few_levels(df, [c for c in df.columns if not is_date(dtype_of(df, c))], 12)
+    if not columns:
+        return _none(df, "column string, levels long")
     out = level_stats(df, columns).where("distinct BETWEEN 2 AND 12 AND n >= 2 * distinct")
     return named(out.selectExpr(
         "i", "distinct AS levels", "smallest AS min_group_size", "largest AS max_group_size",
@@ -184,10 +201,11 @@ def group_levels(df: DataFrame) -> DataFrame:
 def missingness(df: DataFrame) -> DataFrame:
     """Null rate per column; how many rows are incomplete, and how badly."""
     columns = df.columns
-    gone = [(~present(df, c)).cast("int") for c in columns]
-    per_row = sum(gone[1:], gone[0])
-    wide = df.select(*[g.alias(f"m{i}") for i, g in enumerate(gone)], per_row.alias("k")).agg(
-        F.array(*[F.struct(F.lit(i).alias("i"), F.avg(f"m{i}").alias("null_rate"))
+    there = [present(df, c) for c in columns]
+    per_row = sum(((~t).cast("int") for t in there), F.lit(0))
+    rate = lambda i: 1 - F.count(F.when(F.col(f"p{i}"), 1)) / F.count("*")
+    wide = df.select(*[t.alias(f"p{i}") for i, t in enumerate(there)], per_row.alias("k")).agg(
+        F.array(*[F.struct(F.lit(i).alias("i"), rate(i).alias("null_rate"))
                   for i in range(len(columns))]).alias("r"),
         F.avg((F.col("k") > 0).cast("double")).alias("incomplete_row_share"),
         F.avg(F.when(F.col("k") > 0, F.col("k"))).alias("mean_missing_fields"))

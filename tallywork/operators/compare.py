@@ -61,15 +61,14 @@ def cell_changes(before: DataFrame, after: DataFrame, rid: str) -> DataFrame:
     shared = [c for c in sorted(set(before.columns) & set(after.columns)) if c != rid]
     a = dense_ordinal(before, rid, "_at").select("_at", *[quoted(c).alias(f"_a{i}") for i, c in enumerate(shared)])
     b = dense_ordinal(after, rid, "_at").select("_at", *[quoted(c).alias(f"_b{i}") for i, c in enumerate(shared)])
-    cells = F.array_compact(F.array(*[
-        F.when(
-            ~F.col(f"_a{i}").eqNullSafe(F.col(f"_b{i}")),
-            F.struct(F.lit(c).alias("column"), text(F.col(f"_a{i}")).alias("before"),
-                     text(F.col(f"_b{i}")).alias("after")))
+    cells = F.array(*[
+        F.struct(
+            F.lit(c).alias("column"), text(F.col(f"_a{i}")).alias("before"), text(F.col(f"_b{i}")).alias("after"),
+            (~F.col(f"_a{i}").eqNullSafe(F.col(f"_b{i}"))).alias("changed"))
         for i, c in enumerate(shared)
-    ]))
-    joined = a.join(b, "_at")
-    return joined.select(F.col("_at").alias("row"), F.explode(cells).alias("s")).select("row", "s.*")
+    ])
+    joined = a.join(b, "_at").select(F.col("_at").alias("row"), F.inline(cells))
+    return joined.where("changed").drop("changed")
 
 
 def compare_frames(before: DataFrame, after: DataFrame, rid: str) -> dict[str, DataFrame]:

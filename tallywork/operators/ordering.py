@@ -14,7 +14,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 # Rows of one bracket that a single sort may see when an exact quantile is read off.
-BRACKET_ROWS = 2_000_000
+BRACKET_ROWS = 50_000
 SKETCH = 10_000
 
 
@@ -164,7 +164,12 @@ def _interpolate(low: Column, high: Column, weight: Column) -> Column:
 def exact_quantiles(
     df: DataFrame, columns: dict[str, Column], probs: list[float]
 ) -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles of whole columns, as driver numbers.
+    """Exact linear-interpolated quantiles of whole columns, as driver numbers."""
+    return counted_quantiles(df, columns, probs)[0]
+
+
+def counted_quantiles(df, columns, probs) -> tuple[dict[str, list], dict[str, int]]:
+    """Quantiles, and how many values each column holds.
 
     Each quantile keeps a bracket known to hold its two neighbouring ranks. While a
     bracket holds too many rows it is narrowed by a sketch and re-counted exactly; only
@@ -172,99 +177,105 @@ def exact_quantiles(
     """
     names = list(columns)
     if not names:
-        return {}
-    cols = {n: columns[n].cast("double") for n in names}
-    first = df.agg(
-        *[F.count(cols[n]).alias(f"n{i}") for i, n in enumerate(names)],
-        *[F.min(cols[n]).alias(f"lo{i}") for i, n in enumerate(names)],
-        *[F.max(cols[n]).alias(f"hi{i}") for i, n in enumerate(names)],
-    ).first()
+        return {}, {}
+    # computed once per row here, however often the passes below mention them
+    values = df.select(*[columns[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+    margin = 5.0 / SKETCH
+    points = [q for p in probs for q in (max(0.0, p - margin), min(1.0, p + margin))]
+    first = values.agg(*[
+        f(f"v{i}").alias(f"{label}{i}") for i in range(len(names))
+        for label, f in (("n", F.count), ("lo", F.min), ("hi", F.max),
+                         ("q", lambda c: F.percentile_approx(c, points, SKETCH)))
+    ]).first()
     wants = []  # one bracket per (column, probability)
-    for i, n in enumerate(names):
+    for i in range(len(names)):
         total = first[f"n{i}"]
-        for p in probs:
-            if total:
-                h = (total - 1) * p
-                wants.append(
-                    dict(name=n, p=p, h=h, f=math.floor(h), c=math.ceil(h), below=0,
-                         inside=total, lo=first[f"lo{i}"], hi=first[f"hi{i}"])
-                )
-    while True:
-        wide = [w for w in wants if w["inside"] > BRACKET_ROWS and w["lo"] < w["hi"]]
-        if not wide:
-            break
-        if not _narrow(df, cols, wide):
-            break
+        for p in probs if total else ():
+            h = (total - 1) * p
+            wants.append(dict(i=i, p=p, h=h, f=math.floor(h), c=math.ceil(h), below=0,
+                              inside=total, lo=first[f"lo{i}"], hi=first[f"hi{i}"]))
+    is_wide = lambda w: w["inside"] > BRACKET_ROWS and w["lo"] < w["hi"]
+    tries = [(w, *first[f"q{w['i']}"][2 * probs.index(w["p"]):][:2]) for w in wants if is_wide(w)]
+    while tries and _try(values, tries):
+        wide = [w for w in wants if is_wide(w)]
+        tries = _sketch(values, wide) if wide else []
     if wants:
-        _read_off(df, cols, wants)
-    answer = {(w["name"], w["p"]): w["value"] for w in wants}
-    return {n: [answer.get((n, p)) for p in probs] for n in names}
+        _read_off(values, wants)
+    answer = {(w["i"], w["p"]): w["value"] for w in wants}
+    found = {n: [answer.get((i, p)) for p in probs] for i, n in enumerate(names)}
+    return found, {n: first[f"n{i}"] for i, n in enumerate(names)}
 
 
-def _within(c: Column, lo: float, hi: float) -> Column:
-    return (c >= F.lit(lo)) & (c <= F.lit(hi))
+def _within(i: int, lo: float, hi: float) -> Column:
+    return (F.col(f"v{i}") >= F.lit(lo)) & (F.col(f"v{i}") <= F.lit(hi))
 
 
-def _narrow(df, cols, wide) -> bool:
+def _brackets(wants) -> dict[tuple, list[dict]]:
+    """Quantiles that still look into the same stretch of the same column."""
+    shared: dict[tuple, list[dict]] = {}
+    for w in wants:
+        shared.setdefault((w["i"], w["lo"], w["hi"]), []).append(w)
+    return shared
+
+
+def _sketch(values, wide) -> list[tuple]:
+    """Narrower brackets to try, from a sketch of the rows inside the present ones."""
     margin = 5.0 / SKETCH
+    shared = _brackets(wide)
     aggs = []
-    for i, w in enumerate(wide):
-        c = cols[w["name"]]
-        q = [
-            max(0.0, (w["f"] - w["below"]) / w["inside"] - margin),
-            min(1.0, (w["c"] - w["below"] + 1) / w["inside"] + margin),
+    for k, ((i, lo, hi), ws) in enumerate(shared.items()):
+        points = [
+            q for w in ws for q in (
+                max(0.0, (w["f"] - w["below"]) / w["inside"] - margin),
+                min(1.0, (w["c"] - w["below"] + 1) / w["inside"] + margin))
         ]
-        aggs.append(
-            F.percentile_approx(F.when(_within(c, w["lo"], w["hi"]), c), q, SKETCH).alias(f"q{i}")
-        )
-    guess = df.agg(*aggs).first()
-    counts = []
-    for i, w in enumerate(wide):
-        c, (lo, hi) = cols[w["name"]], guess[f"q{i}"]
-        counts.append(F.count(F.when(c < F.lit(lo), 1)).alias(f"b{i}"))
-        counts.append(F.count(F.when(_within(c, lo, hi), 1)).alias(f"m{i}"))
-    got = df.agg(*counts).first()
+        cell = F.when(_within(i, lo, hi), F.col(f"v{i}"))
+        aggs.append(F.percentile_approx(cell, points, SKETCH).alias(f"q{k}"))
+    guess = values.agg(*aggs).first()
+    return [
+        (w, guess[f"q{k}"][2 * j], guess[f"q{k}"][2 * j + 1])
+        for k, ws in enumerate(shared.values()) for j, w in enumerate(ws)
+    ]
+
+
+def _try(values, tries) -> bool:
+    """Count the tried brackets exactly; take those that hold their ranks and are smaller."""
+    got = values.agg(*[
+        e for t, (w, lo, hi) in enumerate(tries) for e in (
+            F.count_if(F.col(f"v{w['i']}") < F.lit(lo)).alias(f"b{t}"),
+            F.count_if(_within(w["i"], lo, hi)).alias(f"m{t}"))
+    ]).first()
     moved = False
-    for i, w in enumerate(wide):
-        lo, hi = guess[f"q{i}"]
-        below, inside = got[f"b{i}"], got[f"m{i}"]
+    for t, (w, lo, hi) in enumerate(tries):
+        below, inside = got[f"b{t}"], got[f"m{t}"]
         if below <= w["f"] and w["c"] < below + inside and inside < w["inside"]:
             w.update(lo=lo, hi=hi, below=below, inside=inside)
             moved = True
     return moved
 
 
-def _read_off(df, cols, wants) -> None:
-    cells = F.array(
-        *[
-            F.when(
-                _within(cols[w["name"]], w["lo"], w["hi"]),
-                F.struct(F.lit(i).alias("k"), cols[w["name"]].alias("v")),
-            )
-            for i, w in enumerate(wants)
-        ]
-    )
-    counts = (
-        df.select(F.explode(F.array_compact(cells)).alias("s"))
-        .groupBy(F.col("s.k").alias("k"), F.col("s.v").alias("v"))
-        .count()
-    )
-    spec = df.sparkSession.createDataFrame(
-        [(i, w["below"], w["f"], w["c"]) for i, w in enumerate(wants)],
-        "k int, below long, f long, c long",
+def _read_off(values, wants) -> None:
+    shared = _brackets(wants)
+    cells = F.array(*[
+        F.struct(F.lit(k).alias("k"), F.when(_within(i, lo, hi), F.col(f"v{i}")).alias("v"))
+        for k, (i, lo, hi) in enumerate(shared)
+    ])
+    counts = values.select(F.inline(cells)).where("v IS NOT NULL").groupBy("k", "v").count()
+    spec = values.sparkSession.createDataFrame(
+        [(k, w["below"], w["f"], w["c"], wants.index(w)) for k, ws in enumerate(shared.values()) for w in ws],
+        "k int, below long, f long, c long, want int",
     )
     w = W.partitionBy("k").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    at = (
-        counts.join(F.broadcast(spec), "k")
-        .withColumn("start", F.col("below") + F.coalesce(F.sum("count").over(w), F.lit(0)))
-    )
-    held = lambda r: (F.col(r) >= F.col("start")) & (F.col(r) < F.col("start") + F.col("count"))
-    rows = at.groupBy("k").agg(
+    at = counts.withColumn("before", F.coalesce(F.sum("count").over(w), F.lit(0))).join(
+        F.broadcast(spec), "k")  # one row per wanted quantile
+    start = F.col("below") + F.col("before")
+    held = lambda r: (F.col(r) >= start) & (F.col(r) < start + F.col("count"))
+    rows = at.groupBy("want").agg(
         F.max(F.when(held("f"), F.col("v"))).alias("low"),
         F.max(F.when(held("c"), F.col("v"))).alias("high"),
     ).collect()
     for row in rows:
-        want = wants[row["k"]]
+        want = wants[row["want"]]
         want["value"] = row["low"] + (row["high"] - row["low"]) * (want["h"] - want["f"])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallywork.errors import Refusal
 from tallywork.functions import fixed
 from tallywork.functions.cells import number, quoted, undecorated
-from tallywork.operators.ordering import exact_quantiles
+from tallywork.operators.ordering import counted_quantiles, exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -46,19 +46,21 @@ def extreme_test(df: DataFrame, column: str, policy: Policy, threshold: float |
     x = number(quoted(column))
     if policy.method == "none":
         return None
-    if df.agg(F.count(x)).first()[0] < fixed.MIN_CLEANING_VALUES:
-        return None
     cut = policy.cutoff(threshold)
 
     def outside(lo, hi):
         return lambda c: F.coalesce((number(c) < F.lit(lo)) | (number(c) > F.lit(hi)), F.lit(False))
 
     if policy.method == "iqr":
-        q1, q3 = exact_quantiles(df, {"x": x}, [0.25, 0.75])["x"]
-        if q3 - q1 <= 0:
+        quarts, counts = counted_quantiles(df, {"x": x}, [0.25, 0.75])
+        q1, q3 = quarts["x"]
+        if counts["x"] < fixed.MIN_CLEANING_VALUES or q3 - q1 <= 0:
             return None
         return outside(q1 - cut * (q3 - q1), q3 + cut * (q3 - q1))
-    median = exact_quantiles(df, {"x": x}, [0.5])["x"][0]
+    medians, counts = counted_quantiles(df, {"x": x}, [0.5])
+    if counts["x"] < fixed.MIN_CLEANING_VALUES:
+        return None
+    median = medians["x"][0]
     mad = exact_quantiles(df, {"d": F.abs(x - F.lit(median))}, [0.5])["d"][0]
     if mad == 0:
         return outside(*exact_quantiles(df, {"x": x}, [0.01, 0.99])["x"])
@@ -73,27 +75,23 @@ def outlier_mask(df, column, policy=Policy(), threshold=None, out="is_outlier")
 
 def detection_fences(df: DataFrame, columns: dict[str, Column]) -> dict[str, tuple | None]:
     """Far cutoffs used to surface values, per named expression; None when meaningless."""
-    names = list(columns)
-    if not names:
-        return {}
-    stats = df.agg(
-        *[F.count(columns[n]).alias(f"n{i}") for i, n in enumerate(names)],
-        *[F.avg(columns[n]).alias(f"m{i}") for i, n in enumerate(names)],
-        *[F.stddev_samp(columns[n]).alias(f"s{i}") for i, n in enumerate(names)],
-    ).first()
-    quarts = exact_quantiles(df, columns, [0.25, 0.75])
+    quarts, counts = counted_quantiles(df, columns, [0.25, 0.75])
+    flat = [n for n in columns if counts[n] >= fixed.MIN_DETECTION_VALUES and quarts[n][0] == quarts[n][1]]
+    spread = df.agg(*[
+        f(columns[n]).alias(f"{k}{i}") for i, n in enumerate(flat) for k, f in (("m", F.avg), ("s", F.stddev_samp))
+    ]).first() if flat else None
     fences = {}
-    for i, n in enumerate(names):
+    for n in columns:
         fences[n] = None
-        if stats[f"n{i}"] < fixed.MIN_DETECTION_VALUES:
+        if counts[n] < fixed.MIN_DETECTION_VALUES:
             continue
         q1, q3 = quarts[n]
         if q3 > q1:
             reach = fixed.DETECT_IQR_REACH * (q3 - q1)
             fences[n] = (q1 - reach, q3 + reach)
-        elif (stats[f"s{i}"] or 0) > 0:
-            reach = fixed.DETECT_STD_REACH * stats[f"s{i}"]
-            fences[n] = (stats[f"m{i}"] - reach, stats[f"m{i}"] + reach)
+        elif (spread[f"s{flat.index(n)}"] or 0) > 0:
+            mean, reach = spread[f"m{flat.index(n)}"], fixed.DETECT_STD_REACH * spread[f"s{flat.index(n)}"]
+            fences[n] = (mean - reach, mean + reach)
     return fences
 
 

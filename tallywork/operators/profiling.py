@@ -18,12 +18,12 @@ from tallywork.operators.ordering import exact_quantiles
 
 def melt(df: DataFrame, columns: list[str], rid: str | None = None) -> DataFrame:
     """Non-null cells as (i, value): the position in ``columns`` and the cell as text."""
-    pairs = F.array_compact(F.array(*[
-        F.when(present(df, c), F.struct(F.lit(i).alias("i"), text(quoted(c)).alias("value")))
+    pairs = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.when(present(df, c), text(quoted(c))).alias("value"))
         for i, c in enumerate(columns)
-    ]))
+    ])
     kept = [quoted(rid).alias("_rid")] if rid else []
-    return df.select(*kept, F.explode(pairs).alias("s")).select(*(["_rid"] if rid else []), "s.*")
+    return df.select(*kept, F.inline(pairs)).where("value IS NOT NULL")
 
 
 def present(df: DataFrame, column: str):
@@ -32,6 +32,30 @@ def present(df: DataFrame, column: str):
     return c.isNotNull() & ~F.isnan(c) if floating else c.isNotNull()
 
 
+def melt_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Non-null numeric cells as (i, x)."""
+    pairs = F.array(*[
+        F.struct(F.lit(i).alias("i"), number(quoted(c)).alias("x")) for i, c in enumerate(columns)
+    ])
+    return df.select(F.inline(pairs)).where("x IS NOT NULL")
+
+
+def first_seen(df: DataFrame, columns: list[str], rows: int = 5_000) -> dict[str, tuple[int, int]]:
+    """(values, distinct values) among a few rows that Spark reads first.
+
+    Distinct values of some rows are a lower bound, and a repeated value is a proof: enough
+    to rule columns out before their exact count.
+    """
+    if not columns:
+        return {}
+    some = df.select(*[F.when(present(df, c), quoted(c)) for c in columns]).limit(rows).collect()
+    found = {}
+    for i, c in enumerate(columns):
+        values = [r[i] for r in some if r[i] is not None]
+        found[c] = (len(values), len(set(values)))
+    return found
+
+
 def named(df: DataFrame, columns: list[str]) -> DataFrame:
     """Turn the position back into the column's name."""
     names = F.array(*[F.lit(c) for c in columns])
@@ -198,14 +222,13 @@ def data_dictionary(df: DataFrame) -> DataFrame:
 def discover_categories(df: DataFrame, max_columns: int = 30, max_levels: int = 50) -> DataFrame:
     """Distinct values of the text columns that have at most 50 of them.
 
-    A sketch decides which columns are worth listing, with room for its error; the exact
-    count then decides.
+    Columns that show more values within some rows are ruled out first; the exact count
+    of the others decides.
     """
     columns = [f.name for f in df.schema if is_text(f.dataType)][:max_columns]
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, levels array<string>")
-    rough = df.agg(*[F.approx_count_distinct(quoted(c)) for c in columns]).first()
-    likely = [c for c, k in zip(columns, rough) if k <= 2 * max_levels]
+    likely = [c for c, (_, k) in first_seen(df, columns).items() if k <= max_levels]
     counts = level_counts(df, likely) if likely else level_counts(df.limit(0), columns[:1])
     few = counts.groupBy("i").agg(F.count("*").alias("k")).where(f"k <= {max_levels}")
     levels = counts.join(F.broadcast(few), "i").groupBy("i").agg(  # one row per column

@@ -86,7 +86,7 @@ def quality_flags(df: DataFrame, rid: str, domain: str | None = "auto") -> DataF
     survey = (detect_domain(df, rid) if domain == "auto" else domain) == "survey"
     rules = _rules(df, columns, survey)
     outlier_columns = {
-        c: undecorated(quoted(c)) for c in columns
+        c: number(quoted(c)) if is_number(dtype_of(df, c)) else undecorated(quoted(c)) for c in columns
         if not skipped_name(c) and (is_number(dtype_of(df, c)) or (survey and numeric_name(c)))
     }
     fences = {c: f for c, f in detection_fences(df, outlier_columns).items() if f}
@@ -132,12 +132,13 @@ def _short_currency(df, found):
 
 
 def _examples(df, rid, found) -> DataFrame:
-    cells_hit = F.array_compact(F.array(*[
-        F.when(test, F.struct(F.lit(c).alias("column"), F.lit(flag).alias("flag"), F.lit(k).alias("k"),
-                              (quoted(rid) if flag == "incomplete_responses" else quoted(c)).cast("string").alias("value")))
+    cells_hit = F.array(*[
+        F.struct(
+            F.lit(c).alias("column"), F.lit(flag).alias("flag"), F.lit(k).alias("k"),
+            F.when(test, (quoted(rid) if flag == "incomplete_responses" else quoted(c)).cast("string")).alias("value"))
         for _, c, flag, test, k in found
-    ]))
-    hits = df.select(quoted(rid).alias("_rid"), F.explode(cells_hit).alias("s")).select("_rid", "s.*")
+    ])
+    hits = df.select(quoted(rid).alias("_rid"), F.inline(cells_hit)).where("value IS NOT NULL")
     order = W.partitionBy("column", "flag").orderBy("_rid")
     first = hits.withColumn("_r", F.row_number().over(order)).where("_r <= 20").where("_r <= k")
     first = first.where("flag <> 'embedded_text' OR length(value) < 35")
