@@ -13,17 +13,25 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from tallywork.session import checkpoint_dir
+
 # Rows of one bracket that a single sort may see when an exact quantile is read off.
 BRACKET_ROWS = 50_000
 SKETCH = 10_000
+# Whole-column sketches meet in one task, so they are smaller; another round makes up for it.
+WHOLE_SKETCH = 2_000
 
 
-def stamp_rid(df: DataFrame, out: str = "_rid") -> DataFrame:
+def stamp_rid(df: DataFrame, out: str = "_rid", from_files: bool = True) -> DataFrame:
     """Number the rows 0..n-1 in file order, without a global sort.
 
-    Meant for frames that read files: their partitions come out the same on every
-    computation. One row per partition goes through the driver.
+    Frames that read files come out in the same partitions on every computation; any other
+    frame is checkpointed first, so that a recomputed partition keeps its numbers. One row
+    per partition goes through the driver.
     """
+    if not from_files:
+        checkpoint_dir(df.sparkSession)
+        df = df.checkpoint()
     stamped = df.withColumn(out, F.monotonically_increasing_id())
     part = F.shiftright(F.col(out), 33)
     sizes = stamped.groupBy(part.alias("_p")).count().collect()
@@ -180,12 +188,12 @@ def counted_quantiles(df, columns, probs) -> tuple[dict[str, list], dict[str, in
         return {}, {}
     # computed once per row here, however often the passes below mention them
     values = df.select(*[columns[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
-    margin = 5.0 / SKETCH
+    margin = 5.0 / WHOLE_SKETCH
     points = [q for p in probs for q in (max(0.0, p - margin), min(1.0, p + margin))]
     first = values.agg(*[
         f(f"v{i}").alias(f"{label}{i}") for i in range(len(names))
         for label, f in (("n", F.count), ("lo", F.min), ("hi", F.max),
-                         ("q", lambda c: F.percentile_approx(c, points, SKETCH)))
+                         ("q", lambda c: F.percentile_approx(c, points, WHOLE_SKETCH)))
     ]).first()
     wants = []  # one bracket per (column, probability)
     for i in range(len(names)):
@@ -220,7 +228,7 @@ def _brackets(wants) -> dict[tuple, list[dict]]:
 
 def _sketch(values, wide) -> list[tuple]:
     """Narrower brackets to try, from a sketch of the rows inside the present ones."""
-    margin = 5.0 / SKETCH
+    margin = 5.0 / WHOLE_SKETCH
     shared = _brackets(wide)
     aggs = []
     for k, ((i, lo, hi), ws) in enumerate(shared.items()):
@@ -230,7 +238,7 @@ def _sketch(values, wide) -> list[tuple]:
                 min(1.0, (w["c"] - w["below"] + 1) / w["inside"] + margin))
         ]
         cell = F.when(_within(i, lo, hi), F.col(f"v{i}"))
-        aggs.append(F.percentile_approx(cell, points, SKETCH).alias(f"q{k}"))
+        aggs.append(F.percentile_approx(cell, points, WHOLE_SKETCH).alias(f"q{k}"))
     guess = values.agg(*aggs).first()
     return [
         (w, guess[f"q{k}"][2 * j], guess[f"q{k}"][2 * j + 1])

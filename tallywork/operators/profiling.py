@@ -48,7 +48,8 @@ def first_seen(df: DataFrame, columns: list[str], rows: int = 5_000) -> dict[str
     """
     if not columns:
         return {}
-    some = df.select(*[F.when(present(df, c), quoted(c)) for c in columns]).limit(rows).collect()
+    short = lambda c: F.md5(quoted(c)) if is_text(dtype_of(df, c)) else quoted(c)  # bounds long cells
+    some = df.select(*[F.when(present(df, c), short(c)) for c in columns]).limit(rows).collect()
     found = {}
     for i, c in enumerate(columns):
         values = [r[i] for r in some if r[i] is not None]

@@ -25,10 +25,16 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str, schema=None, sep: str = ",") -> DataFrame:
-    """Header row; types inferred unless a schema is given (give one for large inputs)."""
+def read_csv(
+    spark: SparkSession, path: str, schema=None, sep: str = ",", multi_line: bool = True
+) -> DataFrame:
+    """Header row; types inferred unless a schema is given (give one for large inputs).
+
+    A file whose cells hold line breaks cannot be split; where they do not, say
+    ``multi_line=False`` and Spark reads one large file in many tasks.
+    """
     reader = spark.read.option("header", True).option("sep", sep)
-    reader = reader.option("multiLine", True).option("escape", '"')
+    reader = reader.option("multiLine", multi_line).option("escape", '"')
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     return nan_to_null(reader.csv(path))
 

@@ -91,3 +91,25 @@ def test_dense_ordinal_and_stamp(spark, tmp_path):
     stamped = o.stamp_rid(spark.read.parquet(str(tmp_path / "t")))
     row = stamped.agg(F.min("_rid"), F.max("_rid"), F.count_distinct("_rid")).first()
     assert tuple(row) == (0, 999, 1000)
+
+
+def test_stamp_of_a_shuffled_frame_is_stable(spark):
+    df = spark.range(500).repartition(6).withColumn("x", F.rand())
+    stamped = o.stamp_rid(df, from_files=False)
+    assert stamped.collect() == stamped.collect()
+    assert stamped.agg(F.count_distinct("_rid")).first()[0] == 500
+
+
+def test_row_number_limits_run_before_the_shuffle(spark):
+    from tallywork.operators.profiling import heads
+
+    df = spark.range(1000).selectExpr("id AS rid", "CAST(id AS STRING) AS a", "CAST(id % 7 AS STRING) AS b")
+    plan = heads(df, "rid", ["a", "b"], 50)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_no_row_of_data_meets_an_unpartitioned_window(spark):
+    df = spark.createDataFrame([(i, float(i % 11)) for i in range(300)], "rid long, x double")
+    plan = o.average_ranks(df, "x")._jdf.queryExecution().executedPlan().toString()
+    single = plan.split("Exchange SinglePartition")
+    assert len(single) == 2 and "HashAggregate(keys=[_b" in single[1][:400]  # the one-row-per-range table
