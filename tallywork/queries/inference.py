@@ -73,10 +73,12 @@ def _(spark, d):
 @query("anova", ONE_WAY.format(g="l_returnflag", x="l_extendedprice", t="lineitem") +
        "SELECT k, n, 'classic' AS test, round(ssb / (k - 1) / (ssw / (n - k)), 6) AS statistic, k - 1 AS dof_between, "
        "CAST(n - k AS DOUBLE) AS dof_within, round(ssb / (ssb + ssw), 8) AS eta_squared, "
-       "round((ssb - (k - 1) * ssw / (n - k)) / (ssb + ssw + ssw / (n - k)), 8) AS omega_squared FROM s")
+       "round((ssb - (k - 1) * ssw / (n - k)) / (ssb + ssw + ssw / (n - k)), 8) AS omega_squared, "
+       # three groups: the upper tail of F with 2 numerator degrees of freedom is a power
+       "round(power(1 + 2 * (ssb / 2 / (ssw / (n - k))) / (n - k), -(n - k) / 2.0::DOUBLE), 6) AS p_value FROM s")
 def _(spark, d):
     out = m.anova(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag")
-    return rounded(out.drop("p_value", "ss_between", "ss_within", "levene_p", "equal_variance"),
+    return rounded(out.drop("ss_between", "ss_within", "levene_p", "equal_variance"),
                    6, eta_squared=8, omega_squared=8)
 
 
@@ -145,10 +147,12 @@ def _(spark, d):
 @query("kruskal", RANKED.format(g="event_type", x="value", t="events") +
        ", h AS (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n, sum(rs * rs / n) AS s, CAST(sum(n) AS DOUBLE) AS m FROM s), "
        "o AS (SELECT k, n, (12 / (m * (m + 1)) * h.s - 3 * (m + 1)) / (1 - ties / (m * m * m - m)) AS st FROM h, t) "
-       "SELECT k, n, round(st, 6) AS statistic, k - 1 AS dof, round((st - k + 1) / (n - k), 8) AS eta_squared_rank FROM o")
+       "SELECT k, n, round(st, 6) AS statistic, k - 1 AS dof, round((st - k + 1) / (n - k), 8) AS eta_squared_rank, "
+       # five groups: the chi-square tail with 4 degrees of freedom
+       "round(exp(-st / 2) * (1 + st / 2), 6) AS p_value FROM o")
 def _(spark, d):
     out = r.kruskal(table(spark, d, "events"), "value", "event_type")
-    return rounded(out.drop("p_value"), 6, eta_squared_rank=8)
+    return rounded(out, 6, eta_squared_rank=8)
 
 
 @query("mannwhitney", RANKED.format(g=PARITY, x="o_totalprice", t="orders") +
@@ -197,10 +201,11 @@ CHI = ("SELECT CAST(n AS BIGINT) AS n, nr AS n_rows, nc AS n_columns, "
        "round(me, 4) AS min_expected, me >= 5 AS expected_ok FROM k")
 
 
-@query("chi_square_independence", CELLS.format(r="l_returnflag", c="l_linestatus", t="lineitem") + CHI)
+@query("chi_square_independence", CELLS.format(r="l_returnflag", c="l_linestatus", t="lineitem") +
+       CHI.replace(" FROM k", ", round(exp(-x2 / 2), 6) AS p_value FROM k"))
 def _(spark, d):
     out = c.chi_square_independence(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
-    return rounded(out.drop("p_value"), 5, cramers_v=6, min_expected=4)
+    return rounded(out, 5, p_value=6, cramers_v=6, min_expected=4)
 
 
 @query("chi_square_yates", with_survey("").rstrip() + ", " + CELLS.format(
@@ -219,10 +224,11 @@ def _(spark, d):
 
 
 @query("crosstab_chi_square", CELLS.format(r="o_orderstatus", c="o_orderpriority", t="orders") +
-       "SELECT round(x2, 4) AS chi2, (nr - 1) * (nc - 1) AS dof FROM k")
+       "SELECT round(x2, 4) AS chi2, (nr - 1) * (nc - 1) AS dof, round(exp(-x2 / 2) * (1 + x2 / 2 + x2 * x2 / 8 + power(x2, 3) / 48), 6) "
+       "AS p_value FROM k")
 def _(spark, d):
     out = c.chi_square_independence(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
-    return rounded(out.selectExpr("statistic AS chi2", "dof"), 4)
+    return rounded(out.selectExpr("statistic AS chi2", "dof", "p_value"), 4, p_value=6)
 
 
 @query("expected_counts", CELLS.format(r="o_orderstatus", c="o_orderpriority", t="orders") +
@@ -251,9 +257,10 @@ def _(spark, d):
 @query("chi_square_goodness_of_fit",
        "WITH k AS (SELECT event_type, count(*) AS o FROM events GROUP BY 1), a AS (SELECT count(*) AS k, sum(o) AS n, avg(o) AS e FROM k) "
        "SELECT CAST(any_value(n) AS BIGINT) AS n, round(sum(power(o - e, 2) / e), 6) AS statistic, any_value(a.k) - 1 AS dof, "
-       "round(any_value(e), 4) AS expected, round(sqrt(sum(power(o - e, 2) / e) / any_value(n)), 6) AS cohens_w FROM k, a")
+       "round(any_value(e), 4) AS expected, round(sqrt(sum(power(o - e, 2) / e) / any_value(n)), 6) AS cohens_w, "
+       "round(exp(-sum(power(o - e, 2) / e) / 2) * (1 + sum(power(o - e, 2) / e) / 2), 6) AS p_value FROM k, a")
 def _(spark, d):
-    return rounded(c.chi_square_goodness_of_fit(table(spark, d, "events"), "event_type").drop("p_value"), 6, expected=4)
+    return rounded(c.chi_square_goodness_of_fit(table(spark, d, "events"), "event_type"), 6, expected=4)
 
 
 Z = "1.959963984540054::DOUBLE"
@@ -323,9 +330,23 @@ def _(spark, d):
     return rounded(out.drop("statistic", "p_value", "normal", "mean_robust"))
 
 
-@query("normality_test_large")
+K2 = ("WITH c AS (SELECT l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem) AS x FROM lineitem), "
+      "q AS (SELECT CAST(count(*) AS DOUBLE) AS m, avg(power(x, 3)) / power(avg(x * x), 1.5) AS g1, avg(power(x, 4)) / power(avg(x * x), 2) AS b2 FROM c), "
+      "a AS (SELECT *, g1 * sqrt((m + 1) * (m + 3) / (6 * (m - 2))) AS y, 3 * (m * m + 27 * m - 70) * (m + 1) * (m + 3) / ((m - 2) * (m + 5) * (m + 7) * (m + 9)) AS beta, "
+      "(b2 - 3 * (m - 1) / (m + 1)) / sqrt(24 * m * (m - 2) * (m - 3) / (power(m + 1, 2) * (m + 3) * (m + 5))) AS x, "
+      "6 * (m * m - 5 * m + 2) / ((m + 7) * (m + 9)) * sqrt(6 * (m + 3) * (m + 5) / (m * (m - 2) * (m - 3))) AS rb FROM q), "
+      "b AS (SELECT *, -1 + sqrt(2 * (beta - 1)) AS w2, 6 + 8 / rb * (2 / rb + sqrt(1 + 4 / (rb * rb))) AS aa FROM a), "
+      "z AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, "
+      "((1 - 2 / (9 * aa)) - cbrt((1 - 2 / aa) / (1 + x * sqrt(2 / (aa - 4))))) / sqrt(2 / (9 * aa)) AS z2 FROM b) ")
+
+
+@query("normality_test_large", K2 +
+       "SELECT '(all rows)' AS \"group\", CAST(m AS BIGINT) AS n, CASE WHEN m <= 5000 THEN 'shapiro' ELSE 'dagostino' END AS test, "
+       "CASE WHEN m > 5000 THEN round(z1 * z1 + z2 * z2, 3) END AS statistic, "
+       "CASE WHEN m > 5000 THEN round(exp(-(z1 * z1 + z2 * z2) / 2), 6) END AS p_value FROM z")
 def _(spark, d):
-    return rounded(m.normality_test(table(spark, d, "lineitem"), "l_extendedprice"))
+    out = m.normality_test(table(spark, d, "lineitem"), "l_extendedprice")
+    return rounded(out.select("group", "n", "test", "statistic", "p_value"), 3, p_value=6)
 
 
 @query("check_normality")

@@ -187,7 +187,10 @@ def _(spark, d):
     return p.detect_pii(typed(spark, d), "rid")
 
 
-@query("smart_suggestions")
+@query("smart_suggestions",
+       "SELECT * FROM (VALUES ('day', 'type', 'datetime', 1.0::DOUBLE), ('code', 'type', 'numeric', 1.0::DOUBLE), "
+       "('contact', 'pii', 'email', 1.0::DOUBLE), ('phone', 'pii', 'phone', 1.0::DOUBLE)) t(\"column\", kind, detail, confidence) "
+       "UNION ALL SELECT 'state', 'variants', concat(' ', o_orderstatus, ' / ', o_orderstatus, ' / ', lower(o_orderstatus)), NULL FROM orders GROUP BY o_orderstatus")
 def _(spark, d):
     return p.smart_suggestions(typed(spark, d), "rid")
 

@@ -139,9 +139,13 @@ def _(spark, d):
     return rounded(s.rao_scott_factor(survey(spark, d), "segment", "level", "w", **DESIGN), 5)
 
 
-@query("rao_scott_no_clusters")
+@query("rao_scott_no_clusters",
+       RAO.replace("WITH survey AS (", "WITH designed AS (", 1).replace(
+           ", c AS (", ", survey AS (SELECT * REPLACE (0 AS stratum, rid AS psu) FROM designed), c AS (", 1) +
+       "SELECT round(n * x2 / f, 5) AS statistic, CAST(dof AS INTEGER) AS dof, round(f, 5) AS correction_factor FROM x, f, tot, dims")
 def _(spark, d):
-    return rounded(s.weighted_crosstab(survey(spark, d), "segment", "level", "w"), 5)
+    out = s.weighted_crosstab(survey(spark, d), "segment", "level", "w")
+    return rounded(out.select("statistic", "dof", "correction_factor"), 5)
 
 
 # the filtered answer sees only the sampling units that hold a row of the domain
