@@ -55,6 +55,12 @@ def timestamp(c: Column) -> Column:
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 
+def seconds(c: Column) -> Column:
+    """Seconds on the wall clock since 1970, whatever the session's time zone."""
+    clock = F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")
+    return F.unix_date(c.cast("date")) * 86400.0 + F.coalesce(clock, F.lit(0.0))
+
+
 # ---------------------------------------------------------------------------- tests
 
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from tallywork.functions import fixed
-from tallywork.functions.cells import dtype_of, is_date, is_number, is_text, number, quoted
+from tallywork.functions.cells import dtype_of, is_date, is_number, is_text, number, quoted, seconds
 from tallywork.operators.means import CORRECTED_KURTOSIS, CORRECTED_SKEW
 from tallywork.operators.ordering import grouped_quantiles
 from tallywork.operators.profiling import (
@@ -117,12 +117,12 @@ def date_regularity(df: DataFrame) -> DataFrame:
     columns = [f.name for f in df.schema if is_date(f.dataType)]
     parts = []
     for i, c in enumerate(columns):
-        at = quoted(c).cast("timestamp").cast("double").alias("t")
-        points = df.where(quoted(c).isNotNull()).select(at).distinct()
+        at = quoted(c).cast("timestamp_ntz")
+        points = df.where(quoted(c).isNotNull()).select(at.alias("at"), seconds(at).alias("t")).distinct()
         gaps = previous_row(points, "t", {"t": "p"}).select(
-            F.lit(i).alias("i"), "t", ((F.col("t") - F.col("p")) / 86400).alias("gap"))
+            F.lit(i).alias("i"), "at", ((F.col("t") - F.col("p")) / 86400).alias("gap"))
         stats = gaps.groupBy("i").agg(
-            F.min("t").alias("a"), F.max("t").alias("z"), F.count("*").alias("distinct"),
+            F.min("at").alias("a"), F.max("at").alias("z"), F.count("*").alias("distinct"),
             F.count("gap").alias("n_gaps"), F.avg("gap").alias("m"), F.stddev_pop("gap").alias("s"))
         medians = grouped_quantiles(gaps, "gap", {"median_gap_days": 0.5}, ["i"])
         parts.append(stats.join(medians, "i", "left"))
@@ -131,7 +131,7 @@ def date_regularity(df: DataFrame) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    day = lambda c: F.date_format(F.timestamp_seconds(F.col(c)), "yyyy-MM-dd'T'HH:mm:ss")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     return named(out.select(
         "i", day("a").alias("start"), day("z").alias("end"), "distinct", "median_gap_days",
         F.expr("n_gaps >= 3 AND m > 0 AND s / m <= 0.05").alias("regular"),

@@ -8,6 +8,8 @@ from tallywork.errors import Refusal, need_columns
 from tallywork.functions import dist
 from tallywork.functions.cells import quoted
 from tallywork.operators.means import check_alternative, refuse
+from tallywork.operators.ordering import range_bounds, running_sums, with_range
+from tallywork.session import cut_lineage
 
 
 def cell_counts(df, row, column, by=()) -> DataFrame:
@@ -210,9 +212,8 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p_value", by=()) -> DataFrame
     Works on equal p-values together and needs their counts only, so a family may hold
     every segment of a fleet job.
     """
-    from tallywork.operators.ordering import running_sums
-
     by = list(by)
+    tests = cut_lineage(tests)  # the tests themselves run once
     known = tests.where(F.col(p).isNotNull())
     held = known.groupBy(*by, p).agg(F.count("*").alias("_n"))
     m = known.groupBy(*by).agg(F.count("*").alias("_m"))
@@ -230,8 +231,6 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p_value", by=()) -> DataFrame
 
 def suffix_min(df: DataFrame, order: str, value: str, by: list[str]) -> DataFrame:
     """Smallest ``value`` at or after each row in ``order``, range by range."""
-    from tallywork.operators.ordering import range_bounds, with_range
-
     cut = with_range(df, order, range_bounds(df, order))
     later = W.partitionBy(*by).orderBy("_b").rowsBetween(1, W.unboundedFollowing)
     mins = cut.groupBy(*by, "_b").agg(F.min(value).alias("_min")).select(

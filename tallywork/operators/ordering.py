@@ -13,7 +13,7 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from tallywork.session import checkpoint_dir
+from tallywork.session import cut_lineage
 
 # Rows of one bracket that a single sort may see when an exact quantile is read off.
 BRACKET_ROWS = 50_000
@@ -30,8 +30,7 @@ def stamp_rid(df: DataFrame, out: str = "_rid", from_files: bool = True) -> Data
     per partition goes through the driver.
     """
     if not from_files:
-        checkpoint_dir(df.sparkSession)
-        df = df.checkpoint()
+        df = cut_lineage(df)
     stamped = df.withColumn(out, F.monotonically_increasing_id())
     part = F.shiftright(F.col(out), 33)
     sizes = stamped.groupBy(part.alias("_p")).count().collect()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from tallywork.errors import Refusal, need_columns
 from tallywork.functions import dist
-from tallywork.functions.cells import dtype_of, is_date, number, quoted
+from tallywork.functions.cells import dtype_of, is_date, number, quoted, seconds
 from tallywork.operators.means import _attach
 from tallywork.operators.ordering import grouped_quantiles, previous_row
 from tallywork.operators.tables import calendar, grouped, period_end
@@ -40,7 +40,7 @@ def infer_frequency(df: DataFrame, date: str, by=()) -> DataFrame:
     """Median gap between distinct dates, and the calendar frequency nearest to it."""
     by = list(by)
     need_columns(df, [date, *by])
-    at = quoted(date).cast("timestamp").cast("double").alias("t")
+    at = seconds(quoted(date).cast("timestamp_ntz")).alias("t")
     points = df.where(quoted(date).isNotNull()).select(*by, at).distinct()
     if by:
         gaps = points.withColumn("p", F.lag("t").over(W.partitionBy(*by).orderBy("t")))

@@ -1,7 +1,6 @@
 """Scans, sinks, row filters and table edits."""
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -9,15 +8,13 @@ from tallywork.operators import manipulate as m
 from tallywork.operators import tables as t
 from tallywork.plans.edits import preview_edits, run_edits
 from tallywork.queries.base import derived, messy, query, rounded, table, with_messy
+from tallywork.session import shared_folder
 from tallywork.sources import readers, writers
 
 
 def landing(spark) -> str:
     """A fresh shared folder for files that a query writes and reads back."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="tallywork-")
-    return f"{shared.rstrip('/')}/tallywork-{os.urandom(8).hex()}"
+    return f"{shared_folder(spark)}/tallywork-{os.urandom(8).hex()}"
 
 
 ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"

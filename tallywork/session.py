@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from tallywork.errors import Refusal
 
 
 def local_session(cpus: int | str | None = None) -> SparkSession:
@@ -24,8 +26,25 @@ def local_session(cpus: int | str | None = None) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors see: the one the cluster names in spark.checkpoint.dir.
+
+    Only a local session, as in tests, may fall back to a folder of its own machine.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise Refusal("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tallywork-")
+
+
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; make one only where none is set, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallywork-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Compute a frame once, into the shared folder, when several later steps read it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
