@@ -60,15 +60,15 @@ for _op, _sql in CELL_SQL.items():
         lambda spark, d, op=_op: clean(messy(spark, d).select("rid", "amount"), op, "amount"))
 
 FILL = {
-    "mean": ("price", "round(coalesce(price, (SELECT avg(price) FROM messy)), 2)"),
-    "median": ("price", "round(coalesce(price, (SELECT quantile_cont(price, 0.5) FROM messy)), 2)"),
+    "mean": ("price", "round(coalesce(price, (SELECT avg(price) FROM messy)), 4)"),
+    "median": ("price", "round(coalesce(price, (SELECT quantile_cont(price, 0.5) FROM messy)), 4)"),
     "mode": ("amount", "coalesce(amount, (SELECT amount FROM messy WHERE amount IS NOT NULL GROUP BY amount "
                        "ORDER BY count(*) DESC, amount LIMIT 1))"),
 }
 for _how, (_c, _sql) in FILL.items():
     query(f"fill_null_{_how}", with_messy(f"SELECT rid, {_sql} AS {_c} FROM messy"))(
         lambda spark, d, how=_how, c=_c: rounded(
-            clean(messy(spark, d).select("rid", c), "fill_null", c, rid="rid", strategy=how), 2))
+            clean(messy(spark, d).select("rid", c), "fill_null", c, rid="rid", strategy=how), 4))
 
 
 @query("drop_null", with_messy("SELECT rid, amount FROM messy WHERE amount IS NOT NULL"))

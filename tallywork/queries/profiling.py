@@ -19,9 +19,9 @@ def _profile_sql(numeric, texts, source):
             f"SELECT '{c}' AS \"column\", count(*) AS row_count, count(*) - count({c}) AS null_count, "
             f"round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS null_pct, count(DISTINCT {c}) AS unique_count, "
             f"round(avg({c}), 3) AS mean, round(stddev_samp({c}), 3) AS std, CAST(min({c}) AS DOUBLE) AS min, "
-            f"CAST(max({c}) AS DOUBLE) AS max, round(quantile_cont({c}, 0.5), 3) AS median, round(quantile_cont({c}, 0.25), 3) AS q25, "
-            f"round(quantile_cont({c}, 0.75), 3) AS q75, round(quantile_cont({c}, 0.95), 3) AS p95, "
-            f"round(quantile_cont({c}, 0.99), 3) AS p99, (SELECT round(quantile_cont(abs({c} - (SELECT quantile_cont({c}, 0.5) FROM {source})), 0.5), 3) "
+            f"CAST(max({c}) AS DOUBLE) AS max, round(quantile_cont({c}, 0.5), 4) AS median, round(quantile_cont({c}, 0.25), 4) AS q25, "
+            f"round(quantile_cont({c}, 0.75), 4) AS q75, round(quantile_cont({c}, 0.95), 4) AS p95, "
+            f"round(quantile_cont({c}, 0.99), 4) AS p99, (SELECT round(quantile_cont(abs({c} - (SELECT quantile_cont({c}, 0.5) FROM {source})), 0.5), 4) "
             f"FROM {source}) AS mad, NULL AS avg_length, NULL AS max_length, NULL AS top FROM {source}")
     for c in texts:
         parts.append(
@@ -36,7 +36,7 @@ def _profile_sql(numeric, texts, source):
 def _(spark, d):
     out = p.column_profile(messy(spark, d)).withColumn(
         "top", F.expr("array_join(transform(top_values, s -> concat(s.value, ':', CAST(s.n AS STRING))), '|')"))
-    return rounded(out.drop("top_values", "dtype", "min_date", "max_date"), 3)
+    return rounded(out.drop("top_values", "dtype", "min_date", "max_date"), 4, mean=3, std=3)
 
 
 @query("column_profile_dates",
@@ -98,10 +98,10 @@ for _flag, _sql in FLAG_SQL.items():
 
 
 @query("flag_extreme_outliers_detect", with_messy("").rstrip() + f", {FENCE} SELECT 'price' AS \"column\", count(*) AS n, "
-       "round(any_value(lo), 2) AS lower_fence, round(any_value(hi), 2) AS upper_fence FROM messy, p WHERE price < lo OR price > hi")
+       "round(any_value(lo), 5) AS lower_fence, round(any_value(hi), 5) AS upper_fence FROM messy, p WHERE price < lo OR price > hi")
 def _(spark, d):
     out = q.one_flag(messy(spark, d), "rid", "extreme_outliers")
-    return rounded(out.select("column", "n", "lower_fence", "upper_fence"), 2)
+    return rounded(out.select("column", "n", "lower_fence", "upper_fence"), 5)
 
 
 @query("flag_dirty_names", "SELECT unnest([' state', 'order  key']) AS \"column\", 'dirty_name' AS flag")
@@ -132,10 +132,10 @@ def _(spark, d):
     return spark.createDataFrame([tuple(found)], "messy_domain string, orders_domain string")
 
 
-@query("detection_fences", with_messy("").rstrip() + f", {FENCE} SELECT round(lo, 2) AS lower_fence, round(hi, 2) AS upper_fence FROM p")
+@query("detection_fences", with_messy("").rstrip() + f", {FENCE} SELECT round(lo, 5) AS lower_fence, round(hi, 5) AS upper_fence FROM p")
 def _(spark, d):
     lo, hi = detection_fences(messy(spark, d), {"price": F.col("price")})["price"]
-    return rounded(spark.createDataFrame([(lo, hi)], "lower_fence double, upper_fence double"), 2)
+    return rounded(spark.createDataFrame([(lo, hi)], "lower_fence double, upper_fence double"), 5)
 
 
 @query("flag_outlier_cells", with_messy("").rstrip() + f", {FENCE}, x AS (SELECT rid, "

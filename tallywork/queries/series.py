@@ -79,10 +79,10 @@ CLASSIC = MONTHS + (
 
 
 @query("decompose_classical", CLASSIC +
-       f"SELECT {DATE}, round(v, 3) AS observed, round(trend, 3) AS trend, round(seasonal, 3) AS seasonal, round(residual, 3) AS residual FROM x")
+       f"SELECT {DATE}, round(v, 6) AS observed, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(residual, 6) AS residual FROM x")
 def _(spark, d):
     out = s.decompose_classical(monthly(spark, d), "o_totalprice", 12)
-    return dated(rounded(out.drop("idx", "n"), 3))
+    return dated(rounded(out.drop("idx", "n"), 6))
 
 
 @query("component_strength", CLASSIC +

@@ -346,10 +346,10 @@ FILLS = {
     "value": "coalesce(price, -1)",
 }
 for _how, _sql in FILLS.items():
-    query(f"fill_nulls_{_how}", with_messy(f"SELECT rid, round({_sql}, 2) AS price FROM messy"))(
+    query(f"fill_nulls_{_how}", with_messy(f"SELECT rid, round({_sql}, 4) AS price FROM messy"))(
         lambda spark, d, how=_how: rounded(m.fill_nulls(
             messy(spark, d).select("rid", "price"), "price",
-            **({"value": -1} if how == "value" else {"method": how})), 2))
+            **({"value": -1} if how == "value" else {"method": how})), 4))
 
 
 @query("fill_nulls_mode",

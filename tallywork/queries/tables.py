@@ -21,11 +21,11 @@ for _agg, _sql in AGG_SQL.items():
     _c = "price"
     _expr = _sql.format(c=_c)
     if _agg not in ("count", "nunique"):
-        _expr = f"round({_expr}, {-4 if _agg == 'var' else 2})"
+        _expr = f"round({_expr}, {-4 if _agg == 'var' else 4})"
     query(f"groupby_{_agg}", with_messy(
         f"SELECT status, Finished, {_expr} AS price_{_agg} FROM messy GROUP BY 1, 2"))(
         lambda spark, d, agg=_agg: rounded(
-            t.groupby_aggregate(messy(spark, d), ["status", "Finished"], "price", agg), -4 if agg == "var" else 2))
+            t.groupby_aggregate(messy(spark, d), ["status", "Finished"], "price", agg), -4 if agg == "var" else 4))
 
 
 @query("describe",
@@ -116,7 +116,7 @@ for _f, (_end, _step, _shown) in ENDS.items():
     _agg = RESAMPLE_AGG[_f]
     _expr = {"sum": "sum({c})", **AGG_SQL}[_agg].format(c="o_totalprice")
     _val = f"coalesce({_expr}, 0)" if _agg in ("sum", "count") else _expr
-    _val = _val if _agg == "count" else f"round({_val}, 2)"
+    _val = _val if _agg == "count" else f"round({_val}, {2 if _agg == 'sum' else 5})"
     _first = "m" if _shown == "d" else "date_trunc('month', m)"
     query(f"resample_{_f.lower()}",
           f"WITH e AS (SELECT {_end} AS p, o_totalprice FROM orders), s AS (SELECT min(p) AS m, max(p) AS x FROM e), "
@@ -124,5 +124,5 @@ for _f, (_end, _step, _shown) in ENDS.items():
           f"SELECT strftime(k, '%Y-%m-%d') AS o_orderdate, {_val} AS o_totalprice_{_agg} FROM "
           f"(SELECT CAST({_shown} AS DATE) AS k FROM c) LEFT JOIN e ON p = k GROUP BY k")(
         lambda spark, d, f=_f, agg=_agg: rounded(
-            t.resample(table(spark, d, "orders"), "o_orderdate", "o_totalprice", f, agg), 2)
+            t.resample(table(spark, d, "orders"), "o_orderdate", "o_totalprice", f, agg), 2 if agg == "sum" else 5)
         .withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")))
