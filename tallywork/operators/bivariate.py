@@ -11,7 +11,7 @@ from tallywork.errors import Refusal, need_columns
 from tallywork.functions import dist
 from tallywork.functions.cells import number, quoted
 from tallywork.operators.means import (
-    brown_forsythe_moments, group_moments, group_summary, labelled, one_way, two_groups, mean_difference,
+    group_moments, group_summary, labelled, one_way, two_groups, mean_difference,
 )
 from tallywork.operators.ordering import average_ranks, range_bounds, with_range
 

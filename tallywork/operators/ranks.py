@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallywork.errors import Refusal
 from tallywork.functions import dist
-from tallywork.functions.cells import number, quoted
 from tallywork.operators.means import (
     _attach, check_alternative, complete_pairs, labelled, refuse,
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
-from tallywork.functions.cells import is_date, quoted, text
+from tallywork.functions.cells import is_date, quoted
 
 ROWS_SHOWN = 200
 

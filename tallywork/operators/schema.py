@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallywork.functions import cells, fixed
-from tallywork.functions.cells import dtype_of, is_date, is_text, number, quoted, text
+from tallywork.functions.cells import dtype_of, is_date, number, quoted, text
 from tallywork.operators.profiling import heads, level_counts, named, present
 
 SCHEMA = "i int, nullable boolean, min double, max double, max_length int, avg_length double, storage string"

@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tallywork.functions import cells, fixed
-from tallywork.functions.cells import dtype_of, is_number, is_text, number, quoted, text
+from tallywork.functions import cells
+from tallywork.functions.cells import dtype_of, is_text, number, quoted, text
 from tallywork.operators.outliers import Policy, extreme_test
 from tallywork.operators.quality import dirty_name, incomplete_test, quality_flags
 

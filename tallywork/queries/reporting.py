@@ -1,11 +1,9 @@
 """Display tables and the streaming form of cleaning."""
 
-import os
-
 from pyspark.sql import functions as F
 
 from tallywork.operators import report, tables as t
-from tallywork.queries.base import MESSY, derived, messy, query, rounded, table, with_messy
+from tallywork.queries.base import messy, query, table, with_messy
 from tallywork.queries.sources import landing
 from tallywork.streaming.cleaning_stream import clean_stream
 

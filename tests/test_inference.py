@@ -7,7 +7,6 @@ import random
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from tallywork.errors import Refusal
 from tallywork.operators import bivariate as b
