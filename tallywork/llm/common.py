@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -61,3 +62,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def release(spark) -> None:
+    """Let Spark remove the shuffle files of frames that a checkpoint or written table has replaced.
+
+    Its cleaner waits for the driver's garbage collection, which a small driver heap may not see for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,14 +5,17 @@ A byte goes when a string of ``length`` bytes that covers it also starts in a do
 Sparse suffix arrays: a window of ``length`` bytes is represented by one of its k-grams, the one with the
 smallest hash, so equal windows choose equal k-grams. Consecutive windows share their choice; such a run,
 about 1 in 14 positions, is one entry: hash of the k-gram, hash of all bytes of the run's windows, document
-and place. Every task is a batch; it sorts its entries by k-gram, as a suffix array is sorted by content,
-and deals them to key ranges. For every key range the batches' arrays arrive one by one and form an index
-family: arrays of equal size are merged, so sizes grow geometrically and an entry moves a logarithmic number
-of times. The merged array is scanned once for neighbours with equal k-grams.
+and place. Every task deals out batches of entries by key range; for every key range the batches are sorted
+by k-gram, as a suffix array is sorted by content, and taken one by one into an index family: arrays of equal
+size are merged, so sizes grow geometrically and an entry moves a logarithmic number of times. The merged
+array is scanned once for neighbours with equal k-grams.
 
 Equal runs are settled there: all windows of the run in the later document go. K-grams that documents share
-in different runs, at the edges of passages, are settled by the windows themselves: only for those the
-documents are fetched, and hashes of their windows are compared with the smallest id that has them.
+in different runs, at the edges of passages, are settled by the windows themselves: for those only, the
+documents are fetched, and their windows go through an index family of the same kind.
+
+A passage that very many documents share is settled inside each batch first: of equal entries only the one
+of the smallest id is dealt out, so a key never gathers more than one entry from a batch.
 
 Texts that a document with a smaller id holds as a whole go completely and are not indexed twice by a task.
 No array, group or list holds more than a key range or a document.
@@ -30,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallywork.llm.common import mixed, only_cells, take
+from tallywork.llm.common import mixed, only_cells, release, take
 from tallywork.session import cut_lineage
 
 BASE = 0x2545F4914F6CDD1D
@@ -38,7 +41,10 @@ GRAM = 24
 # Windows that are worked on at once; bytes of text behind one key range.
 BLOCK, RANGE_BYTES = 1 << 20, 32 << 20
 NO_ID = (1 << 63) - 1
-LAYOUT = (("k", "<u8"), ("s", "<u4"), ("id", "<i8"), ("tag", "<u2"), ("at", "<u4"))
+# Entries of one batch; columns of an entry with their types and widths (of a k-gram's hash 48 bits count).
+BATCH = 1 << 20
+LAYOUT = {"k": ("<u8", 8), "s": ("<u4", 4), "id": ("<i8", 8), "tag": ("<u2", 2), "at": ("<u4", 4)}
+ENTRIES = "shard int, entries binary, id long, tag int, full array<int>"
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +97,7 @@ class Runs:
         gram = chosen[first]
         run = (sums[last + self.length] - sums[first]) * self.back[first]
         run = mixed(run ^ mixed(((last - first) * 64 + gram - first).astype(np.uint64)))
-        return grams[gram], (run >> np.uint64(32)).astype(np.uint32), first + start, last + start
+        return grams[gram] & ~np.uint64(0xFFFF), (run >> np.uint64(32)).astype(np.uint32), first + start, last + start
 
     def windows(self, raw: bytes, first: np.ndarray, last: np.ndarray):
         """Hash and start of every window of the given runs."""
@@ -107,61 +113,98 @@ class Runs:
 
 
 def pack(columns: dict[str, np.ndarray]) -> bytes:
-    """Columns byte plane by byte plane, so that the shuffle's compression finds the leading zeros."""
+    """Columns byte plane by byte plane, so that the shuffle's compression finds what repeats."""
     return b"".join(
-        np.ascontiguousarray(columns[c].astype(t)).view(np.uint8).reshape(-1, np.dtype(t).itemsize).T.tobytes()
-        for c, t in LAYOUT)
+        np.ascontiguousarray(columns[c].astype(t)).view(np.uint8).reshape(-1, wide).T.tobytes() for c, (t, wide) in LAYOUT.items())
 
 
 def unpack(data: bytes) -> dict[str, np.ndarray]:
-    n = len(data) // sum(np.dtype(t).itemsize for _, t in LAYOUT)
+    n = len(data) // sum(wide for _, wide in LAYOUT.values())
     out, at = {}, 0
-    for c, t in LAYOUT:
-        wide = np.dtype(t).itemsize
+    for c, (t, wide) in LAYOUT.items():
         planes = np.frombuffer(data, np.uint8, n * wide, at).reshape(wide, n)
         out[c] = np.ascontiguousarray(planes.T).view(t).reshape(-1)
         at += n * wide
     return out
 
 
-def _batch(length: int, bits: int):
-    """A task's sparse suffix array, in pieces by key range; the array is emptied when it gets large."""
+def by_document(ids, tags, *lists) -> list[pa.Array]:
+    """Arrow columns id, tag and lists of places; each of ``lists`` is a mask and the places, in order of documents."""
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(ids) != 0) | (np.diff(tags.astype(np.int64)) != 0)))) if len(ids) else np.zeros(0, np.int64)
+    out = [pa.array(ids[new], pa.int64()), pa.array(tags[new].astype(np.int32), pa.int32())]
+    for mask, places in lists:
+        ends = np.concatenate(([0], np.cumsum(mask)))
+        offsets = np.concatenate((ends[new], ends[-1:])).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(places[mask].astype(np.int32))))
+    return out
+
 
-    def deal(parts):
-        columns = {c: np.concatenate([p[c] for p in parts]) for c, _ in LAYOUT}
-        order = np.argsort(columns["k"])
-        columns = {c: v[order] for c, v in columns.items()}
-        shard = (columns["k"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(order), np.int64)
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            yield int(shard[a]), pack({c: v[a:b] for c, v in columns.items()})
+def deal(parts: list[dict[str, np.ndarray]], bits: int):
+    """A batch of entries in order of documents: rows for the key ranges, and what the batch itself settles.
+
+    Of entries with equal hashes only those of the smallest id are dealt out; the others are settled.
+    """
+    columns = {c: np.concatenate([p[c] for p in parts]) for c in LAYOUT}
+    name = columns["k"] ^ mixed(columns["s"].astype(np.uint64))
+    order = np.argsort(name)
+    new = np.concatenate(([True], name[order][1:] != name[order][:-1]))
+    least = np.minimum.reduceat(columns["id"][order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    settled = np.empty(len(name), bool)
+    settled[order] = columns["id"][order] > least
+    rest = {c: v[~settled] for c, v in columns.items()}
+    shard = (rest["k"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(rest["k"]), np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard[order])) + 1, [len(shard)]))
+    rows = [(int(shard[order[a]]), pack({c: v[order[a:b]] for c, v in rest.items()})) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
+    n = len(rows)
+    nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.list_(pa.int32()))]
+    names = ["shard", "entries", "id", "tag", "full"]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), *nothing], names=names)
+    own = by_document(columns["id"][settled], columns["tag"][settled], (np.ones(int(settled.sum()), bool), columns["at"][settled]))
+    n = len(own[0])  # these only pass through; any key range will do
+    anywhere = pa.array(own[1].to_numpy() & ((1 << bits) - 1), pa.int32())
+    yield pa.RecordBatch.from_arrays([anywhere, pa.nulls(n, pa.binary()), *own], names=names)
+
+
+def dealt(documents, bits: int):
+    """``documents`` yields the entries of one document after the other; they are dealt out in batches."""
+    parts, held = [], 0
+    for own in documents:
+        parts.append(own)
+        held += len(own["k"])
+        if held >= BATCH:
+            yield from deal(parts, bits)
+            parts, held = [], 0
+    if held:
+        yield from deal(parts, bits)
+
+
+def rows_of(batches, *columns):
+    """The rows of Arrow batches, a few at a time as Python values."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            piece = batch.slice(start, 256)
+            yield from zip(*(piece.column(c).to_pylist() for c in columns))
 
-    def batches_out(parts):
-        rows = list(deal(parts))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "entries"])
 
+def _runs(length: int, bits: int):
     def run(batches):
-        runs, parts, held = Runs(length), [], 0
-        known: dict[bytes, int] = {}
-        for batch in batches:
-            for id_, tag, text in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text"))):
+        runs, known = Runs(length), {}
+
+        def documents():
+            for id_, tag, text in rows_of(batches, "id", "tag", "text"):
                 raw = text.encode("utf-8", "replace")
                 name = hashlib.md5(raw).digest()
                 if len(raw) < length or known.get(name, NO_ID + 1) <= id_:
                     continue  # an earlier document of this task holds the same text
                 known[name] = id_
-                k, s, first, _ = runs.cut(raw)
+                k, s, _, _ = runs.cut(raw)
                 n = len(k)
-                parts.append({
+                yield {
                     "k": k, "s": s, "id": np.full(n, id_, np.int64), "tag": np.full(n, tag, np.uint16),
-                    "at": np.arange(n, dtype=np.uint32)})
-                held += n
-                if held >= 4 << 20:
-                    yield batches_out(parts)
-                    parts, held = [], 0
-        if parts:
-            yield batches_out(parts)
+                    "at": np.arange(n, dtype=np.uint32)}
+
+        yield from dealt(documents(), bits)
 
     return run
 
@@ -180,7 +223,8 @@ def index_family(arrays) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     for columns in arrays:
         n = len(columns["k"])
         parts.append(columns)
-        level = (columns["k"], np.arange(total, total + n))
+        order = np.argsort(columns["k"])
+        level = (columns["k"][order], order + total)
         total += n
         while levels and len(levels[-1][0]) <= 2 * len(level[0]):
             level = merge(levels.pop(), level)
@@ -188,7 +232,7 @@ def index_family(arrays) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     while len(levels) > 1:
         small = levels.pop()
         levels[-1] = merge(levels[-1], small)
-    return levels[0][1], {c: np.concatenate([p[c] for p in parts]) for c, _ in LAYOUT}
+    return levels[0][1], {c: np.concatenate([p[c] for p in parts]) for c in LAYOUT}
 
 
 def scan(order: np.ndarray, entries: dict[str, np.ndarray]):
@@ -213,51 +257,48 @@ def scan(order: np.ndarray, entries: dict[str, np.ndarray]):
 def _index(batches):
     """Key ranges, one group of rows each: the rows of a range come together, sorted by range."""
 
-    def answer(parts):
+    def told(parts):
         order, entries = index_family(parts)
         full, edge = scan(order, entries)
-        every, kind = np.concatenate((full, edge)), np.repeat([0, 1], [len(full), len(edge)])
+        every, whole = np.concatenate((full, edge)), np.repeat([True, False], [len(full), len(edge)])
         ids, tags, at = (entries[c][every] for c in ("id", "tag", "at"))
-        by_doc = np.lexsort((kind, tags, ids))
-        ids, tags, at, kind = ids[by_doc], tags[by_doc], at[by_doc], kind[by_doc]
-        new = np.flatnonzero(np.concatenate(([True], (np.diff(ids) != 0) | (np.diff(tags.astype(np.int64)) != 0)))) if len(ids) else np.zeros(0, np.int64)
-        stops = np.concatenate((new[1:], [len(ids)])) if len(new) else new
-        middle = np.array([a + np.count_nonzero(kind[a:b] == 0) for a, b in zip(new, stops)], np.int64)
-        lists = [[at[a:m] for a, m in zip(new, middle)], [at[m:b] for m, b in zip(middle, stops)]]
-        return pa.RecordBatch.from_arrays([
-            pa.array(ids[new], pa.int64()), pa.array(tags[new].astype(np.int32), pa.int32()),
-            *(pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32())) for own in lists),
-        ], names=["id", "tag", "full", "edge"])
+        order = np.lexsort((tags, ids))
+        ids, tags, at, whole = ids[order], tags[order], at[order], whole[order]
+        return pa.RecordBatch.from_arrays(by_document(ids, tags, (whole, at), (~whole, at)), names=["id", "tag", "full", "edge"])
 
     shard, parts = None, []
     for batch in batches:
+        settled = batch.filter(batch.column("entries").is_null())
+        if settled.num_rows:
+            none = pa.array([[]] * settled.num_rows, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(settled.column(c) for c in ("id", "tag", "full")), none], names=["id", "tag", "full", "edge"])
+        batch = batch.filter(batch.column("entries").is_valid())
         for own, data in zip(batch.column("shard").to_pylist(), batch.column("entries").to_pylist()):
             if own != shard and parts:
-                yield answer(parts)
+                yield told(parts)
                 parts = []
             shard = own
             parts.append(unpack(data))
     if parts:
-        yield answer(parts)
+        yield told(parts)
 
 
-def _edges(length: int):
+def _edges(length: int, bits: int):
     def run(batches):
         runs = Runs(length)
-        for batch in batches:
-            hashes, ids, tags, places = [], [], [], []
-            for id_, tag, text, edge in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text", "edge"))):
+
+        def documents():
+            for id_, tag, text, edge in rows_of(batches, "id", "tag", "text", "edge"):
                 raw = text.encode("utf-8", "replace")
                 _, _, first, last = runs.cut(raw)
-                wanted = np.array(edge, np.int64)
-                h, at = runs.windows(raw, first[wanted], last[wanted])
-                hashes.append(h.view(np.int64))
-                places.append(at.astype(np.int32))
-                ids.append(np.full(len(h), id_, np.int64))
-                tags.append(np.full(len(h), tag, np.int32))
-            if hashes:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (hashes, ids, tags, places)], names=["window", "id", "tag", "at"])
+                wanted = np.sort(np.array(edge, np.int64))
+                k, at = runs.windows(raw, first[wanted], last[wanted])
+                n = len(k)
+                yield {
+                    "k": k, "s": np.zeros(n, np.uint32), "id": np.full(n, id_, np.int64), "tag": np.full(n, tag, np.uint16),
+                    "at": at.astype(np.uint32)}
+
+        yield from dealt(documents(), bits)
 
     return run
 
@@ -272,25 +313,43 @@ def covered(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def _removal(length: int):
     def run(batches):
-        runs = Runs(length)
-        for batch in batches:
-            rows = []
-            for id_, tag, text, full, single in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text", "full", "single"))):
-                raw = text.encode("utf-8", "replace")
-                _, _, first, last = runs.cut(raw)
-                whole, one = np.array(full or [], np.int64), np.array(single or [], np.int64)
-                gone = covered(len(raw), np.concatenate((first[whole], one)), np.concatenate((last[whole], one)) + length)
-                spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.view(np.int8)))) == 1))
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                rows.append((id_, tag, int(gone.sum()), spans, kept.decode("utf-8", "ignore"), hashlib.sha256(kept).hexdigest()))
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
-                    names=["_id", "_tag", "removed", "spans", "left", "sha"])
+        runs, rows, held = Runs(length), [], 0
+
+        def out():
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["_id", "_tag", "removed", "spans", "left", "sha"])
+
+        for id_, tag, text, full, single in rows_of(batches, "id", "tag", "text", "full", "single"):
+            raw = text.encode("utf-8", "replace")
+            _, _, first, last = runs.cut(raw)
+            whole, one = np.array(full or [], np.int64), np.array(single or [], np.int64)
+            gone = covered(len(raw), np.concatenate((first[whole], one)), np.concatenate((last[whole], one)) + length)
+            spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.view(np.int8)))) == 1))
+            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+            rows.append((id_, tag, int(gone.sum()), spans, kept.decode("utf-8", "ignore"), hashlib.sha256(kept).hexdigest()))
+            held += len(kept)
+            if held > 16 << 20:
+                yield out()
+                rows, held = [], 0
+        if rows:
+            yield out()
 
     return run
 
 
+def family(entries: DataFrame, bits: int) -> DataFrame:
+    """Entries dealt out by their batches -> id, tag, full, edge: the places found, by document."""
+    ranges = entries.repartition(1 << min(bits, 14), "shard").sortWithinPartitions("shard")
+    found = ranges.mapInArrow(_index, "id long, tag int, full array<int>, edge array<int>")
+    return found.groupBy("id", "tag").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("full", "edge")])
+
+
+def key_bits(total: int, each: int) -> int:
+    """Key ranges, as a power of two, of about ``each`` of ``total``; some more, so that small jobs spread too."""
+    return max(0, math.ceil(math.log2(max(1, total / each)))) + (2 if 32 * total > each else 0)
+
+
 def dedup(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, texts: bool = False,
 ) -> DataFrame:
@@ -298,36 +357,44 @@ def dedup(
 
     (Where a cut falls inside a character, the texts leave out its remaining bytes; the hash covers them.)
     """
-    body = F.coalesce("text", F.lit(""))
+    spark, body = df.sparkSession, F.coalesce("text", F.lit(""))
     docs = take(df, doc_id=doc_id, text=text).select("doc_id", body.alias("text"))
     docs = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     docs = docs.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"))
     rows = cut_lineage(docs.select(
-        "doc_id", "id", "tag", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("md5"),
-        F.sha2("text", 256).alias("whole")))
+        "doc_id", "id", "tag", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.md5("text")).alias("md5"),
+        F.unhex(F.sha2("text", 256)).alias("whole")))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, total / RANGE_BYTES)))) + (2 if total > 1 << 20 else 0)
-    entries = docs.select("id", "tag", "text").mapInArrow(_batch(length, bits), "shard int, entries binary")
-    ranges = entries.repartition(1 << min(bits, 14), "shard").sortWithinPartitions("shard")
-    found = ranges.mapInArrow(_index, "id long, tag int, full array<int>, edge array<int>")
-    found = found.groupBy("id", "tag").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("full", "edge")])
     # documents that a smaller id holds as a whole need no cutting
     firsts = rows.groupBy("md5").agg(F.min("id").alias("first_id")).withColumnRenamed("md5", "_md5")
-    rows = cut_lineage(rows.join(firsts, F.col("md5") == F.col("_md5")).withColumn("copy", F.col("id") > F.col("first_id")).drop("_md5", "md5"))
-    key = F.xxhash64("id", "tag").alias("key")
+    rows = rows.join(firsts, F.col("md5") == F.col("_md5")).withColumn("copy", F.col("id") > F.col("first_id"))
+    rows = cut_lineage(rows.drop("_md5", "md5", "first_id"))
     own = rows.where("not copy").select("id", "tag").distinct()
-    found = cut_lineage(found.join(own, ["id", "tag"]).select("id", "tag", key, "full", "edge"))
+    key = F.xxhash64("id", "tag").alias("key")
     keyed = docs.select("text", key)
 
     def fetched(wanted: DataFrame) -> DataFrame:
+        """The texts of the documents wanted; others are dropped before the join moves them."""
         return only_cells(keyed, "key", wanted).join(wanted, "key")
 
-    edges = found.where(F.size("edge") > 0).select("key", "id", "tag", "edge")
-    windows = fetched(edges).select("id", "tag", "text", "edge").mapInArrow(_edges(length), "window long, id long, tag int, at int")
-    windows = cut_lineage(windows)
-    earliest = windows.groupBy("window").agg(F.min("id").alias("_first"), F.max("id").alias("_last")).where("_first < _last")
-    late = windows.join(earliest.withColumnRenamed("window", "_window"), F.col("window") == F.col("_window")).where("id > _first")
-    single = late.groupBy("id", "tag").agg(F.collect_list("at").alias("single"))
+    def shared_runs() -> DataFrame:
+        bits = key_bits(total, RANGE_BYTES)
+        entries = docs.select("id", "tag", "text").mapInArrow(_runs(length, bits), ENTRIES)
+        found = family(entries, bits).join(own, ["id", "tag"])
+        return cut_lineage(found.select(key, "id", "tag", "full", "edge"))
+
+    def edge_windows(found: DataFrame) -> DataFrame:
+        edges = found.where(F.size("edge") > 0).select("key", "id", "tag", "edge")
+        runs = edges.agg(F.sum(F.size("edge"))).first()[0] or 0
+        bits = key_bits(16 * runs, RANGE_BYTES // 14)
+        bodies = fetched(edges).select("id", "tag", "text", "edge")
+        entries = bodies.mapInArrow(_edges(length, bits), ENTRIES)
+        return cut_lineage(family(entries, bits).select("id", "tag", F.col("full").alias("single")))
+
+    found = shared_runs()
+    release(spark)
+    single = edge_windows(found)
+    release(spark)
     cuts = found.where(F.size("full") > 0).select("id", "tag", "full").join(single, ["id", "tag"], "full")
     cuts = cut_lineage(cuts.select(key, "id", "tag", "full", "single"))
     removed = fetched(cuts).select("id", "tag", "text", "full", "single").mapInArrow(
@@ -342,7 +409,7 @@ def dedup(
     columns = [
         "doc_id", "n_bytes", of(F.col("n_bytes"), F.col("removed"), F.lit(0).cast("long")).alias("n_removed"),
         of(F.lit(1).cast("long"), F.col("spans"), F.lit(0).cast("long")).alias("n_spans"),
-        of(F.lit(empty), F.col("sha"), F.col("whole")).alias("kept_sha256")]
+        of(F.lit(empty), F.col("sha"), F.lower(F.hex("whole"))).alias("kept_sha256")]
     if texts:  # where nothing was cut the text is the document's own: null here
         columns.append(of(F.lit(""), F.col("left"), F.lit(None).cast("string")).alias("text_left"))
     return out.select(*columns)
