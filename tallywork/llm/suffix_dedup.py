@@ -42,7 +42,7 @@ GRAM = 24
 BLOCK, RANGE_BYTES = 1 << 20, 32 << 20
 NO_ID = (1 << 63) - 1
 # Entries of one batch; columns of an entry with their types and widths (of a k-gram's hash 48 bits count).
-BATCH = 1 << 20
+BATCH = 1 << 18
 LAYOUT = {"k": ("<u8", 8), "s": ("<u4", 4), "id": ("<i8", 8), "tag": ("<u2", 2), "at": ("<u4", 4)}
 ENTRIES = "shard int, entries binary, id long, tag int, full array<int>"
 
