@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywork.session import shared_folder
@@ -64,6 +66,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def release(spark) -> None:
     """Let Spark remove the shuffle files of frames that a checkpoint or written table has replaced.
 

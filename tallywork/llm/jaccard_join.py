@@ -2,14 +2,15 @@
 
 Every text becomes the set of its word shingles (64-bit hashes). Equal sets are one class. Then:
 
-1. Near classes are partitioned into groups. Classes with the same minimum hash (two hash functions) share
-   blocks of bounded size; every block of such a family also holds the family's pivot, its most copied
-   class. Blocks are joined exactly, and the components of the links found are the groups, so a family of any
-   size becomes one group through its pivot instead of all its pairs.
-2. Token-group matrix. Two sets of the wanted similarity share a token among the rarest few of each (prefix
-   filter; rare by a count sketch over all texts). Each group, in parts of bounded size, is entered under the
-   union of its members' prefix tokens; each class looks up its own, and meets only parts of other groups.
-3. A met part is opened only if the query shares enough tokens with the union of all the part's tokens; then
+1. Near classes are partitioned into groups. Classes that agree in a pair of minimum hashes (two pairs are
+   tried) share blocks of bounded size; every block of such a family also holds the family's pivot, its most
+   copied class. Blocks are joined exactly, and the components of the links found are the groups, so a family
+   of any size becomes one group through its pivot instead of all its pairs.
+2. Token-group matrix. Each group, in parts of bounded size, is entered under the union of its members' rarest
+   tokens (rare by a count sketch over all texts); each class looks up its own rarest tokens, and meets only
+   parts of other groups. Two sets of the wanted similarity share a number of those tokens that follows from
+   their sizes; the matrix counts what query and part share, and parts that share too few are not opened.
+3. A part is opened only if the query also shares enough tokens with the union of all the part's tokens; then
    every member is checked exactly.
 
 Components of all links give each document the smallest doc_id it is connected with. No link is lost: a link
@@ -34,7 +35,7 @@ from tallywork.session import cut_lineage
 # Any odd numbers: base of the polynomial over bytes, factors of the words of a shingle, of minimum hashes.
 BASE = 0x5851F42D4C957F2D
 FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (1 << 64) - 1 for i in range(64)], np.uint64)
-MINIMA = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+MINIMA = tuple(np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 # Bits of the count sketch and pieces it is moved in; members of a block and of a part of a group.
 SKETCH_BITS, SKETCH_BLOCKS, BLOCK, PART = 20, 64, 48, 32
 IS_SPACE = np.zeros(256, bool)
@@ -86,10 +87,6 @@ def class_id(tokens: np.ndarray) -> int:
     return int(mixed(sums.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
 
 
-def signed(value: np.uint64) -> int:
-    return int(np.uint64(value).view(np.int64))
-
-
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if 100 * len(small) < percent * len(large):
@@ -108,12 +105,13 @@ def _digest(k: int, id_type: pa.DataType):
             sets = shingle_sets(batch.column("text").to_pylist(), k)
             tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
             counts += np.bincount((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-            minima = [[signed(mixed(s * m).min()) if len(s) else None for s in sets] for m in MINIMA]
+            least = [[mixed(s * m).min() if len(s) else np.uint64(0) for s in sets] for m in MINIMA]
+            minima = [mixed(np.array(a, np.uint64) ^ mixed(np.array(b, np.uint64))).view(np.int64) for a, b in zip(least[::2], least[1::2])]
             n = len(sets)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()),
-                *(pa.array(m, pa.int64()) for m in minima), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                *(pa.array(m) for m in minima), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
             ], names=NAMES)
         rows = np.minimum(counts, 65535).astype("<u2").reshape(SKETCH_BLOCKS, -1)
         n = len(rows)
@@ -149,34 +147,29 @@ def rarity(digests: DataFrame) -> np.ndarray:
     return np.floor(2 * np.log2(counts.reshape(-1) + 1)).astype(np.uint8)
 
 
-def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
-    """Prefix of a set that looks for smaller or equal ones, and of one that is to be found by larger ones."""
-    look = n - -(-percent * n // 100) + 1
-    found = n - -(-2 * percent * n // (100 + percent)) + 1
-    return look, found
+def prefix_length(n: int, percent: int) -> int:
+    """Of a set of ``n`` tokens so many of the rarest are looked up: any similar set, smaller or equal, has one."""
+    return n - -(-percent * n // 100) + 1
 
 
 def _postings(k: int, percent: int, levels):
-    """token, class, whether it is in the shorter prefix: once per class and task."""
+    """token, class: the rarest tokens of every set, once per class and task."""
 
     def run(batches):
         level, seen = levels.value, set()
         for batch in batches:
-            tokens, names, shorter = [], [], []
+            tokens, names = [], []
             for s in shingle_sets(batch.column("text").to_pylist(), k):
                 if not len(s) or (cid := class_id(s)) in seen:
                     continue
                 seen.add(cid)
-                look, found = prefix_lengths(len(s), percent)
                 rare = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-                order = (rare << np.uint64(56)) | (s >> np.uint64(8))
-                own = s[np.argsort(order)[:look]]
+                own = s[np.argsort((rare << np.uint64(56)) | (s >> np.uint64(8)))[: prefix_length(len(s), percent)]]
                 tokens.append(own.view(np.int64))
                 names.append(np.full(len(own), cid, np.int64))
-                shorter.append(np.arange(len(own)) < found)
             if tokens:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (tokens, names, shorter)], names=["token", "cid", "shorter"])
+                    [pa.array(np.concatenate(x)) for x in (tokens, names)], names=["token", "cid"])
 
     return run
 
@@ -229,9 +222,9 @@ def open_blocks(docs: DataFrame, classes: DataFrame, work: DataFrame, k: int, pe
 
 
 def family_blocks(classes: DataFrame) -> DataFrame:
-    """block, cid, query: classes with a common minimum hash, in blocks that all hold the family's pivot."""
+    """block, cid, query: classes with a common pair of minimum hashes, in blocks that all hold the family's pivot."""
     work = []
-    for j in range(len(MINIMA)):
+    for j in range(len(MINIMA) // 2):
         own = classes.select(F.col(f"m{j}").alias("key"), "cid", "copies")
         families = own.groupBy("key").agg(
             F.count("*").alias("k"), F.max(F.struct("copies", "cid"))["cid"].alias("pivot")).where("k > 1")
@@ -251,7 +244,7 @@ def matrix_blocks(postings: DataFrame, classes: DataFrame, roots: DataFrame, per
     """block, cid, query: the parts of groups that each class meets, with the classes that meet them."""
     alone = W.partitionBy("token")
     shared = postings.withColumn("_a", F.min("cid").over(alone)).withColumn("_b", F.max("cid").over(alone))
-    shared = shared.where("_a <> _b").select("token", "cid", "shorter")
+    shared = shared.where("_a <> _b").select("token", "cid").distinct()
     sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / PART).alias("parts")).withColumnRenamed("root", "_root")
     part = F.xxhash64("root", F.pmod(F.xxhash64("node"), F.col("parts")))
     placed = cut_lineage(roots.join(sizes, F.col("root") == F.col("_root")).select(
@@ -259,13 +252,18 @@ def matrix_blocks(postings: DataFrame, classes: DataFrame, roots: DataFrame, per
     own = shared.join(classes.select(F.col("cid").alias("_cid"), "n"), F.col("cid") == F.col("_cid"))
     own = own.join(placed, F.col("cid") == F.col("_node"), "left")
     own = cut_lineage(own.select(
-        "token", "cid", "shorter", "n", F.coalesce("root", "cid").alias("root"), F.coalesce("part", "cid").alias("part")))
-    matrix = own.where("shorter").groupBy(F.col("token").alias("_token"), "part", F.col("root").alias("_root")).agg(
+        "token", "cid", "n", F.coalesce("root", "cid").alias("root"), F.coalesce("part", "cid").alias("part")))
+    matrix = own.groupBy(F.col("token").alias("_token"), "part", F.col("root").alias("_root")).agg(
         F.min("n").alias("low"), F.max("n").alias("high"))
     queries = own.select("token", "cid", "n", "root")
     met = queries.join(matrix, F.col("token") == F.col("_token")).where(
         (F.col("root") != F.col("_root")) & (F.col("low") <= F.col("n")) & (100 * F.col("high") >= percent * F.col("n")))
-    met = cut_lineage(met.select("cid", "part").distinct())
+    # Similar sets of n >= m tokens share at least a = percent * (n + m) / (100 + percent). Behind the looked-up
+    # tokens of the set whose last one comes first in the order, at most ceil(percent * n / 100) - 1 are left.
+    m = F.greatest(F.col("low"), F.ceil(percent * F.col("n") / 100))
+    least = F.ceil(percent * (F.col("n") + m) / (100.0 + percent) - 1e-6) - F.ceil(percent * F.col("n") / 100.0 - 1e-6) + 1
+    met = met.groupBy("cid", "part").agg(F.count("*").alias("c"), F.first(least).alias("least"))
+    met = cut_lineage(met.where("c >= least").select("cid", "part"))
     crowd = cut_lineage(met.groupBy(F.col("part").alias("_part")).agg(F.ceil(F.count("*") / BLOCK).alias("chunks")))
     name = lambda chunk: F.xxhash64("part", chunk)
     asking = met.join(crowd, F.col("part") == F.col("_part")).select(
@@ -296,7 +294,7 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5,
         F.min("n").alias("n"), F.min("m0").alias("m0"), F.min("m1").alias("m1")))
     inside = open_blocks(docs, classes, family_blocks(classes), k, percent)
     groups = cut_lineage(components(inside))
-    postings = docs.mapInArrow(_postings(k, percent, levels), "token long, cid long, shorter boolean")
+    postings = docs.mapInArrow(_postings(k, percent, levels), "token long, cid long")
     across = open_blocks(docs, classes, matrix_blocks(postings, classes, groups, percent), k, percent)
     roots = cut_lineage(components(inside.unionByName(across)))
     own = classes.select("cid", "first_id", "rep").join(roots, F.col("cid") == F.col("node"), "left")

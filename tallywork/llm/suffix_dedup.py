@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallywork.llm.common import mixed, only_cells, release, take
+from tallywork.llm.common import mixed, only_cells, release, take, trim
 from tallywork.session import cut_lineage
 
 BASE = 0x2545F4914F6CDD1D
@@ -185,6 +185,7 @@ def rows_of(batches, *columns):
         for start in range(0, batch.num_rows, 256):
             piece = batch.slice(start, 256)
             yield from zip(*(piece.column(c).to_pylist() for c in columns))
+        trim()
 
 
 def _runs(length: int, bits: int):
@@ -255,7 +256,7 @@ def scan(order: np.ndarray, entries: dict[str, np.ndarray]):
 
 
 def _index(batches):
-    """Key ranges, one group of rows each: the rows of a range come together, sorted by range."""
+    """The key ranges of one partition, a few of bounded size: one index family each."""
 
     def told(parts):
         order, entries = index_family(parts)
@@ -266,21 +267,18 @@ def _index(batches):
         ids, tags, at, whole = ids[order], tags[order], at[order], whole[order]
         return pa.RecordBatch.from_arrays(by_document(ids, tags, (whole, at), (~whole, at)), names=["id", "tag", "full", "edge"])
 
-    shard, parts = None, []
+    ranges: dict[int, list[dict[str, np.ndarray]]] = {}
     for batch in batches:
         settled = batch.filter(batch.column("entries").is_null())
         if settled.num_rows:
             none = pa.array([[]] * settled.num_rows, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(settled.column(c) for c in ("id", "tag", "full")), none], names=["id", "tag", "full", "edge"])
         batch = batch.filter(batch.column("entries").is_valid())
-        for own, data in zip(batch.column("shard").to_pylist(), batch.column("entries").to_pylist()):
-            if own != shard and parts:
-                yield told(parts)
-                parts = []
-            shard = own
-            parts.append(unpack(data))
-    if parts:
-        yield told(parts)
+        for shard, data in zip(batch.column("shard").to_pylist(), batch.column("entries").to_pylist()):
+            ranges.setdefault(shard, []).append(unpack(data))
+    while ranges:
+        yield told(ranges.popitem()[1])
+        trim()
 
 
 def _edges(length: int, bits: int):
@@ -311,7 +309,7 @@ def covered(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _removal(length: int):
+def _removal(length: int, texts: bool):
     def run(batches):
         runs, rows, held = Runs(length), [], 0
 
@@ -327,9 +325,9 @@ def _removal(length: int):
             gone = covered(len(raw), np.concatenate((first[whole], one)), np.concatenate((last[whole], one)) + length)
             spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.view(np.int8)))) == 1))
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            rows.append((id_, tag, int(gone.sum()), spans, kept.decode("utf-8", "ignore"), hashlib.sha256(kept).hexdigest()))
+            rows.append((id_, tag, int(gone.sum()), spans, kept.decode("utf-8", "ignore") if texts else None, hashlib.sha256(kept).hexdigest()))
             held += len(kept)
-            if held > 16 << 20:
+            if held > 4 << 20:
                 yield out()
                 rows, held = [], 0
         if rows:
@@ -340,7 +338,7 @@ def _removal(length: int):
 
 def family(entries: DataFrame, bits: int) -> DataFrame:
     """Entries dealt out by their batches -> id, tag, full, edge: the places found, by document."""
-    ranges = entries.repartition(1 << min(bits, 14), "shard").sortWithinPartitions("shard")
+    ranges = entries.repartition(1 << min(bits, 14), "shard")
     found = ranges.mapInArrow(_index, "id long, tag int, full array<int>, edge array<int>")
     return found.groupBy("id", "tag").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("full", "edge")])
 
@@ -398,7 +396,7 @@ def dedup(
     cuts = found.where(F.size("full") > 0).select("id", "tag", "full").join(single, ["id", "tag"], "full")
     cuts = cut_lineage(cuts.select(key, "id", "tag", "full", "single"))
     removed = fetched(cuts).select("id", "tag", "text", "full", "single").mapInArrow(
-        _removal(length), "_id long, _tag int, removed long, spans long, left string, sha string")
+        _removal(length, texts), "_id long, _tag int, removed long, spans long, left string, sha string")
     if not texts:
         removed = removed.drop("left")
     removed = removed.dropDuplicates(["_id", "_tag"])
