@@ -118,7 +118,7 @@ def _round(last: bool):
     return run
 
 
-def cube_sample(units: DataFrame, chunk: int = 20_000) -> DataFrame:
+def cube_sample(units: DataFrame, chunk: int = 4_000) -> DataFrame:
     """``units`` (doc_id string, source, size, part, chance, ...): ``part`` decided to 0 or 1.
 
     Each round leaves at most two undecided rows of a chunk, so few rounds suffice; the last has one chunk
@@ -156,7 +156,7 @@ def words(text: str) -> Column:
 
 def mix(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-    weights=WEIGHTS, most: float = 3.0, chunk: int = 20_000,
+    weights=WEIGHTS, most: float = 3.0, chunk: int = 4_000,
 ) -> DataFrame:
     """doc_id, size, source, source_size, target, copies and taken (size times copies) of every row."""
     rows = take(df, doc_id=doc_id, text=text, source=source)
