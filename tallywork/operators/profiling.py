@@ -220,13 +220,13 @@ def data_dictionary(df: DataFrame) -> DataFrame:
         "array_join(transform(slice(top_values, 1, 5), s -> s.value), ', ') AS top5", "mean", "min", "max")
 
 
-def discover_categories(df: DataFrame, max_columns: int = 30, max_levels: int = 50) -> DataFrame:
-    """Distinct values of the text columns that have at most 50 of them.
+def discover_categories(df: DataFrame, max_levels: int = 50) -> DataFrame:
+    """Distinct values of all text columns that have at most ``max_levels`` of them.
 
     Columns that show more values within some rows are ruled out first; the exact count
     of the others decides.
     """
-    columns = [f.name for f in df.schema if is_text(f.dataType)][:max_columns]
+    columns = [f.name for f in df.schema if is_text(f.dataType)]
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, levels array<string>")
     likely = [c for c, (_, k) in first_seen(df, columns).items() if k <= max_levels]

@@ -41,7 +41,7 @@ def compare(spark, con, name, sf_dir, queries, oracles):
     df = queries[name](spark, sf_dir)
     got_cols, got = rows_of(df.columns, df.collect())
     if name not in oracles:
-        return [] if got_cols else ["no columns"]
+        return [] if got else ["no rows"]
     cur = con.execute(oracles[name])
     want_cols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
     if got_cols != want_cols:
