@@ -10,8 +10,10 @@ Every text becomes the set of its word shingles (64-bit hashes). Equal sets are
    tokens (rare by a count sketch over all texts); each class looks up its own rarest tokens, and meets only
    parts of other groups. Two sets of the wanted similarity share a number of those tokens that follows from
    their sizes; the matrix counts what query and part share, and parts that share too few are not opened.
-3. A part is opened only if the query also shares enough tokens with the union of all the part's tokens; then
-   every member is checked exactly.
+3. A query opens a part only if some member can be near enough by a parity bitmap: cells of a set that hold an
+   odd number of its tokens. Two bitmaps differ in no more cells than the sets differ in tokens, so no link is
+   lost, and a bitmap is a fraction of a text. Texts are fetched for those queries and members only. The query
+   must then share enough tokens with the union of these members; then each of them is checked exactly.
 
 Components of all links give each document the smallest doc_id it is connected with. No link is lost: a link
 between two texts either lies inside a group or is met in step 2.
@@ -174,6 +176,56 @@ def _postings(k: int, percent: int, levels):
     return run
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bit for each of a power of two of cells: whether it holds an odd number of tokens."""
+    cells = 1 << max(9, (2 * len(tokens)).bit_length())
+    odd = np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, wide: int) -> np.ndarray:
+    """Parity bitmaps (one a row) for fewer cells."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, wide), axis=1)
+
+
+def most_apart(n, m, percent: int):
+    """In how many tokens two linked sets of ``n`` and ``m`` tokens can differ."""
+    return n + m - 2 * -(-percent * (n + m) // (100 + percent))
+
+
+def _signs(k: int):
+    def run(batches):
+        for batch in batches:
+            signs = [parity(s) for s in shingle_sets(batch.column("text").to_pylist(), k)]
+            yield pa.RecordBatch.from_arrays([pa.array(signs, pa.binary()), batch.column("_key")], names=["sign", "_key"])
+
+    return run
+
+
+def _bound_block(percent: int):
+    """Of a block's queries and members, those that have a partner within the bound of their bitmaps."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates(["cid", "query"]).reset_index(drop=True)
+        asks, n = group["query"].to_numpy(bool), group["n"].to_numpy(np.int64)
+        bits = [np.frombuffer(s, np.uint8)[None, :] for s in group["sign"]]
+        wide, stays = np.array([b.shape[1] for b in bits]), np.zeros(len(group), bool)
+        for size in np.unique(wide[~asks]):
+            members = np.flatnonzero(~asks & (wide == size))
+            stack = {int(size): np.concatenate([bits[j] for j in members])}
+            for i in np.flatnonzero(asks):
+                at = int(min(size, wide[i]))
+                if at not in stack:
+                    stack[at] = folded(stack[int(size)], at)
+                apart = np.bitwise_count(stack[at] ^ folded(bits[i], at)).sum(axis=1, dtype=np.int64)
+                near = apart <= most_apart(n[i], n[members], percent)
+                stays[members[near]] = True
+                stays[i] |= bool(near.any())
+        return group.loc[stays, ["block", "cid", "query"]]
+
+    return run
+
+
 def _open_block(k: int, percent: int):
     """Links inside a block: queries against members if there are queries, else all members."""
 
@@ -212,12 +264,25 @@ def _open_block(k: int, percent: int):
     return run
 
 
+def fetched(docs: DataFrame, classes: DataFrame, work: DataFrame, k: int | None = None) -> DataFrame:
+    """``work`` (block, cid, query) with the size of each class, and its text or, given ``k``, its parity bitmap."""
+    wanted = work.join(classes.select("cid", "rep", "n"), "cid").withColumn("_key", F.xxhash64(F.struct("rep.doc_id", "rep.row")))
+    wanted = cut_lineage(wanted.select("block", "cid", "query", "n", "_key"))
+    found = only_cells(docs.select("text", F.xxhash64(F.struct("doc_id", "row")).alias("_key")), "_key", wanted)
+    if k:
+        found = found.mapInArrow(_signs(k), "sign binary, _key long")
+    return found.join(wanted, "_key").drop("_key")
+
+
+def bound_blocks(docs: DataFrame, classes: DataFrame, work: DataFrame, k: int, percent: int) -> DataFrame:
+    """The part of ``work`` that the parity bitmaps leave."""
+    blocks = fetched(docs, classes, work, k).groupBy("block")
+    return cut_lineage(blocks.applyInPandas(_bound_block(percent), "block long, cid long, query boolean"))
+
+
 def open_blocks(docs: DataFrame, classes: DataFrame, work: DataFrame, k: int, percent: int) -> DataFrame:
     """Fetch the texts of ``work`` (block, cid, query) and return the links found in each block."""
-    wanted = work.join(classes.select("cid", "rep"), "cid").withColumn("_key", F.xxhash64(F.struct("rep.doc_id", "rep.row")))
-    wanted = cut_lineage(wanted.select("block", "cid", "query", "_key"))
-    texts = docs.select("text", F.xxhash64(F.struct("doc_id", "row")).alias("_key"))
-    found = only_cells(texts, "_key", wanted).join(wanted, "_key").select("block", "cid", "query", "text")
+    found = fetched(docs, classes, work).select("block", "cid", "query", "text")
     return cut_lineage(found.groupBy("block").applyInPandas(_open_block(k, percent), "a long, b long"))
 
 
@@ -295,7 +360,8 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5,
     inside = open_blocks(docs, classes, family_blocks(classes), k, percent)
     groups = cut_lineage(components(inside))
     postings = docs.mapInArrow(_postings(k, percent, levels), "token long, cid long")
-    across = open_blocks(docs, classes, matrix_blocks(postings, classes, groups, percent), k, percent)
+    near = bound_blocks(docs, classes, matrix_blocks(postings, classes, groups, percent), k, percent)
+    across = open_blocks(docs, classes, near, k, percent)
     roots = cut_lineage(components(inside.unionByName(across)))
     own = classes.select("cid", "first_id", "rep").join(roots, F.col("cid") == F.col("node"), "left")
     own = cut_lineage(own.select("cid", "first_id", "rep", F.coalesce("root", "cid").alias("root")))

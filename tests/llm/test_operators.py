@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,6 +222,23 @@ def test_jaccard_components(documents, k, percent):
     assert set(kept) == {c for _, n, c in want if n} and all(r["doc_id"] == r["component_id"] for r in out if r["kept"] and r["n_shingles"])
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_parity_bound_keeps_links(percent):
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 9, 60, 255, 257, 700, 5000):
+        for share in (0.0, 0.05, 0.1, 0.17, 0.4, 1.0):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate((a[int(share * len(a)):], rng.integers(0, 1 << 63, int(share * n * rng.random())).astype(np.uint64))))
+            if not len(b):
+                continue
+            x, y = (np.frombuffer(jaccard_join.parity(t), np.uint8)[None, :] for t in (a, b))
+            wide = min(x.shape[1], y.shape[1])
+            apart = int(np.bitwise_count(jaccard_join.folded(x, wide) ^ jaccard_join.folded(y, wide)).sum())
+            assert apart <= len(np.setxor1d(a, b))
+            if jaccard_join.linked(a, b, percent):
+                assert apart <= jaccard_join.most_apart(len(a), len(b), percent)
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.join(spark.createDataFrame([], EMPTY)).collect() == []
 
