@@ -31,6 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tallywork.llm.common import mixed, only_cells, release, take, trim
@@ -281,13 +282,25 @@ def _index(batches):
         trim()
 
 
+def _squeeze(batches):
+    """Texts as Zstandard frames: they cross a shuffle smaller than its own compression makes them."""
+    frames = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            piece = batch.slice(start, 256)
+            raw = piece.column("text").cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([frames.compress(r) for r in raw], pa.binary()), piece.column("key")], names=["packed", "key"])
+        trim()
+
+
 def _edges(length: int, bits: int):
     def run(batches):
         runs = Runs(length)
 
         def documents():
-            for id_, tag, text, edge in rows_of(batches, "id", "tag", "text", "edge"):
-                raw = text.encode("utf-8", "replace")
+            for id_, tag, packed, edge in rows_of(batches, "id", "tag", "packed", "edge"):
+                raw = zstandard.decompress(packed)
                 _, _, first, last = runs.cut(raw)
                 wanted = np.sort(np.array(edge, np.int64))
                 k, at = runs.windows(raw, first[wanted], last[wanted])
@@ -318,8 +331,8 @@ def _removal(length: int, texts: bool):
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["_id", "_tag", "removed", "spans", "left", "sha"])
 
-        for id_, tag, text, full, single in rows_of(batches, "id", "tag", "text", "full", "single"):
-            raw = text.encode("utf-8", "replace")
+        for id_, tag, packed, full, single in rows_of(batches, "id", "tag", "packed", "full", "single"):
+            raw = zstandard.decompress(packed)
             _, _, first, last = runs.cut(raw)
             whole, one = np.array(full or [], np.int64), np.array(single or [], np.int64)
             gone = covered(len(raw), np.concatenate((first[whole], one)), np.concatenate((last[whole], one)) + length)
@@ -373,7 +386,7 @@ def dedup(
 
     def fetched(wanted: DataFrame) -> DataFrame:
         """The texts of the documents wanted; others are dropped before the join moves them."""
-        return only_cells(keyed, "key", wanted).join(wanted, "key")
+        return only_cells(keyed, "key", wanted).mapInArrow(_squeeze, "packed binary, key long").join(wanted, "key")
 
     def shared_runs() -> DataFrame:
         bits = key_bits(total, RANGE_BYTES)
@@ -385,7 +398,7 @@ def dedup(
         edges = found.where(F.size("edge") > 0).select("key", "id", "tag", "edge")
         runs = edges.agg(F.sum(F.size("edge"))).first()[0] or 0
         bits = key_bits(16 * runs, RANGE_BYTES // 14)
-        bodies = fetched(edges).select("id", "tag", "text", "edge")
+        bodies = fetched(edges).select("id", "tag", "packed", "edge")
         entries = bodies.mapInArrow(_edges(length, bits), ENTRIES)
         return cut_lineage(family(entries, bits).select("id", "tag", F.col("full").alias("single")))
 
@@ -395,7 +408,7 @@ def dedup(
     release(spark)
     cuts = found.where(F.size("full") > 0).select("id", "tag", "full").join(single, ["id", "tag"], "full")
     cuts = cut_lineage(cuts.select(key, "id", "tag", "full", "single"))
-    removed = fetched(cuts).select("id", "tag", "text", "full", "single").mapInArrow(
+    removed = fetched(cuts).select("id", "tag", "packed", "full", "single").mapInArrow(
         _removal(length, texts), "_id long, _tag int, removed long, spans long, left string, sha string")
     if not texts:
         removed = removed.drop("left")
