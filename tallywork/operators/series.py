@@ -51,15 +51,19 @@ def infer_frequency(df: DataFrame, date: str, by=()) -> DataFrame:
     return medians.select(*by, "median_gap_days", _nearest(F.col("median_gap_days")).alias("freq"))
 
 
-def _frequency(df, date, freq) -> str:
+def _frequency(df, date, freq, by=()) -> str:
+    """The frequency asked for, or the one found; series of a fleet are each measured on their own dates."""
     if freq is not None:
         if freq not in FREQS:
             raise Refusal(f"unknown frequency {freq!r} (allowed: {list(FREQS)})")
         return freq
-    found = infer_frequency(df, date).first()
-    if found is None:
+    found = infer_frequency(df, date, by).where("median_gap_days IS NOT NULL").select("freq").distinct()
+    found = sorted(r["freq"] for r in found.collect())  # at most one row a frequency
+    if not found:
         raise Refusal("a time series needs at least two distinct timestamps")
-    return found["freq"]
+    if len(found) > 1:
+        raise Refusal(f"the series have different frequencies ({', '.join(found)}); name one as freq")
+    return found[0]
 
 
 def _periods(df, date, values, freq, agg, by) -> DataFrame:
@@ -85,7 +89,7 @@ def series_report(df, date, values, freq=None, agg="mean", by=()) -> DataFrame:
     """Per series: rows used, duplicate timestamps, periods, empty ones, and the reason for
     refusing it (null when it can be analysed)."""
     by, values = list(by), [values] if isinstance(values, str) else list(values)
-    freq = _frequency(df, date, freq)
+    freq = _frequency(df, date, freq, by)
     grid = _periods(df, date, values, freq, agg, by)
     counts = grid.groupBy(*by).agg(
         F.count("*").alias("n_periods"), F.sum("n_rows").alias("n_used"),
@@ -110,7 +114,7 @@ def regular_grid(df, date, values, freq=None, agg="mean", by=(), minimum=MIN_PER
     need_columns(df, [date, *values, *by])
     if not is_date(dtype_of(df, date)):
         raise Refusal(f"'{date}' is not a date column")
-    freq = _frequency(df, date, freq)
+    freq = _frequency(df, date, freq, by)
     grid = _periods(df, date, values, freq, agg, by)
     whole = W.partitionBy(*by)
     grid = grid.withColumns({
@@ -209,7 +213,7 @@ def decompose_stl(grid: DataFrame, value: str, period: int, by=()) -> DataFrame:
 
 def decompose(df, date, value, freq=None, agg="mean", seasonal_period=None, by=()) -> DataFrame:
     """STL with three cycles or more, the classical form with two, refused below."""
-    freq = _frequency(df, date, freq)
+    freq = _frequency(df, date, freq, by)
     period = season_length(freq, seasonal_period)
     grid = regular_grid(df, date, value, freq, agg, by)
     by = list(by)
@@ -256,6 +260,12 @@ def default_lags(n: int, lags: int | None = None) -> int:
     return min(lags, ceiling)
 
 
+def _own_lags(n: Column, lags: int | None) -> Column:
+    """``default_lags`` for a column of lengths."""
+    wanted = F.lit(lags) if lags else F.rint(10 * F.log10(F.greatest(n, F.lit(10))))
+    return F.least(F.greatest(F.lit(1), wanted), F.greatest(F.lit(1), F.least(F.floor(n / 4), F.lit(MAX_LAGS))))
+
+
 def autocovariances(grid: DataFrame, value: str, lags: int, by=()) -> DataFrame:
     """Rows (by, lag, n, c) of centred lagged products, lag 0 included: one sort, one pass."""
     by = list(by)
@@ -270,13 +280,13 @@ def autocovariances(grid: DataFrame, value: str, lags: int, by=()) -> DataFrame:
 
 
 def autocorrelation(grid: DataFrame, value: str, lags: int | None = None, by=()) -> DataFrame:
-    """ACF and PACF with 95 % bands. Series of a fleet share the lag count of the shortest."""
+    """ACF and PACF with 95 % bands. Every series of a fleet has the lags its own length allows."""
     by = list(by)
-    shortest = grid.agg(F.min("n")).first()[0]
-    if shortest is None:
+    longest = grid.agg(F.max("n")).first()[0]
+    if longest is None:
         raise Refusal("autocorrelation: no usable series")
-    lags = default_lags(shortest, lags)
-    cov = autocovariances(grid, value, lags, by)
+    own = _own_lags(F.col("n"), lags)
+    cov = autocovariances(grid, value, default_lags(longest, lags), by).where(F.col("lag") <= own)
     whole, order = W.partitionBy(*by), W.partitionBy(*by).orderBy("lag")
     zero = F.max(F.when(F.col("lag") == 0, F.col("c"))).over(whole)
     r = cov.withColumn("acf", F.col("c") / F.when(zero > 0, zero)).withColumn(

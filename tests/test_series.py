@@ -158,3 +158,28 @@ def test_forecast_of_a_line_and_a_season(spark):
     week = s.regular_grid(daily(spark, [float(i % 7) for i in range(42)]), "date", "value", "D")
     rows = sorted(s.forecast(week, "value", "D", 7, (0, 0, 0), (0, 1, 0), 7).collect(), key=lambda r: r["step"])
     assert [r["forecast"] for r in rows] == pytest.approx([float(i) for i in range(7)])
+
+
+def fleet(spark, series):
+    rows = [(key, at, float(i * i % 17)) for key, days in series.items() for i, at in enumerate(days)]
+    return spark.createDataFrame(rows, "key string, date timestamp_ntz, value double")
+
+
+def test_fleet_of_mixed_lengths(spark):
+    long, short = ([START + dt.timedelta(days=i) for i in range(n)] for n in (400, 14))
+    both = s.regular_grid(fleet(spark, {"long": long, "short": short}), "date", "value", "D", by=["key"])
+    got = {(r["key"], r["lag"]): r for r in s.autocorrelation(both, "value", by=["key"]).collect()}
+    assert {k: sum(key == k for key, _ in got) for k in ("long", "short")} == {"long": 26, "short": 3}
+    alone = s.regular_grid(fleet(spark, {"long": long}), "date", "value", "D", by=["key"])
+    for r in s.autocorrelation(alone, "value", by=["key"]).collect():
+        assert got["long", r["lag"]]["acf"] == pytest.approx(r["acf"])
+        assert got["long", r["lag"]]["pacf"] == pytest.approx(r["pacf"])
+
+
+def test_fleet_frequency(spark):
+    staggered = {f"s{d}": [dt.datetime(2015 + m // 12, m % 12 + 1, d) for m in range(36)] for d in (1, 5, 9, 20)}
+    grid = s.regular_grid(fleet(spark, staggered), "date", "value", by=["key"])
+    assert grid.count() == 4 * 36
+    days = {"daily": [START + dt.timedelta(days=i) for i in range(30)]}
+    with pytest.raises(Refusal, match="D, ME"):
+        s.regular_grid(fleet(spark, staggered | days), "date", "value", by=["key"])
