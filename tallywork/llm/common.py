@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywork.session import shared_folder
@@ -59,6 +60,17 @@ def pieces(texts: list[bytes], limit: int = PIECE):
         yield start, len(texts)
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 * PIECE):
+    """Parts of a batch that hold about ``limit`` bytes of text each, so that a batch is never unpacked whole."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        held = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, held + limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the whole number."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T, Window as W
 
-from tallywork.llm.common import mixed, only_cells, pieces, take, written
+from tallywork.llm.common import mixed, only_cells, pieces, slices, take, trim, written
 from tallywork.llm.components import components
 from tallywork.session import cut_lineage
 
@@ -40,6 +40,8 @@ FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (1 << 64) - 1 for i in
 MINIMA = tuple(np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 # Bits of the count sketch and pieces it is moved in; members of a block and of a part of a group.
 SKETCH_BITS, SKETCH_BLOCKS, BLOCK, PART = 20, 64, 48, 32
+# Bytes of text that are hashed at a time.
+HASHED = 1 << 18
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -58,7 +60,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its k-word shingles."""
     raw = [(t or "").encode("utf-8", "replace").lower() for t in texts]  # lower() of bytes is A-Z only
     out: list[np.ndarray] = []
-    for start, stop in pieces(raw):
+    for start, stop in pieces(raw, HASHED):
         data = np.frombuffer(b" " + b" ".join(raw[start:stop]) + b" ", np.uint8)
         forth, back = powers(len(data) + 1)
         sums = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * forth[:-1])))
@@ -103,7 +105,7 @@ def _digest(k: int, id_type: pa.DataType):
 
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = shingle_sets(batch.column("text").to_pylist(), k)
             tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
             counts += np.bincount((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
@@ -117,6 +119,7 @@ def _digest(k: int, id_type: pa.DataType):
             ], names=NAMES)
         rows = np.minimum(counts, 65535).astype("<u2").reshape(SKETCH_BLOCKS, -1)
         n = len(rows)
+        trim()
         yield pa.RecordBatch.from_arrays([
             pa.nulls(n, id_type), *(pa.nulls(n, pa.int64()) for _ in range(5)),
             pa.array(range(n), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary()),
@@ -159,7 +162,7 @@ def _postings(k: int, percent: int, levels):
 
     def run(batches):
         level, seen = levels.value, set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             tokens, names = [], []
             for s in shingle_sets(batch.column("text").to_pylist(), k):
                 if not len(s) or (cid := class_id(s)) in seen:
@@ -172,6 +175,7 @@ def _postings(k: int, percent: int, levels):
             if tokens:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(x)) for x in (tokens, names)], names=["token", "cid"])
+        trim()
 
     return run
 
@@ -195,9 +199,10 @@ def most_apart(n, m, percent: int):
 
 def _signs(k: int):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             signs = [parity(s) for s in shingle_sets(batch.column("text").to_pylist(), k)]
             yield pa.RecordBatch.from_arrays([pa.array(signs, pa.binary()), batch.column("_key")], names=["sign", "_key"])
+        trim()
 
     return run
 

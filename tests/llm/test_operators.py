@@ -425,3 +425,16 @@ def test_long_texts_are_cut_in_blocks():
     hashes, at = runs.windows(raw, first, last)
     assert np.array_equal(np.sort(at), np.arange(len(raw) - 49))
     assert len(np.unique(hashes)) == len({raw[i : i + 50] for i in range(len(raw) - 49)})
+
+
+def test_slices_of_a_batch_lose_no_row():
+    import pyarrow as pa
+
+    from tallywork.llm.common import slices
+
+    texts = ["a" * n for n in (0, 3, 5, 40, 1)] + [None, "é" * 4, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], names=["text", "n"]).slice(1)
+    parts = list(slices(batch, limit=8))
+    assert [x for p in parts for x in p.column("n").to_pylist()] == list(range(1, len(texts)))
+    assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column("text").to_pylist()) <= 8 for p in parts)
+    assert list(slices(batch.slice(0, 0))) == []
