@@ -45,6 +45,8 @@ NO_ID = (1 << 63) - 1
 # Entries of one batch; columns of an entry with their types and widths (of a k-gram's hash 48 bits count).
 BATCH = 1 << 18
 LAYOUT = {"k": ("<u8", 8), "s": ("<u4", 4), "id": ("<i8", 8), "tag": ("<u2", 2), "at": ("<u4", 4)}
+# Columns of a place found; whole: all windows of its run go.
+FOUND = {"id": ("<i8", 8), "tag": ("<u2", 2), "at": ("<u4", 4), "whole": ("u1", 1)}
 ENTRIES = "shard int, entries binary, id long, tag int, full array<int>"
 
 
@@ -113,16 +115,16 @@ class Runs:
         return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *places])
 
 
-def pack(columns: dict[str, np.ndarray]) -> bytes:
+def pack(columns: dict[str, np.ndarray], layout=LAYOUT) -> bytes:
     """Columns byte plane by byte plane, so that the shuffle's compression finds what repeats."""
     return b"".join(
-        np.ascontiguousarray(columns[c].astype(t)).view(np.uint8).reshape(-1, wide).T.tobytes() for c, (t, wide) in LAYOUT.items())
+        np.ascontiguousarray(columns[c].astype(t)).view(np.uint8).reshape(-1, wide).T.tobytes() for c, (t, wide) in layout.items())
 
 
-def unpack(data: bytes) -> dict[str, np.ndarray]:
-    n = len(data) // sum(wide for _, wide in LAYOUT.values())
+def unpack(data: bytes, layout=LAYOUT) -> dict[str, np.ndarray]:
+    n = len(data) // sum(wide for _, wide in layout.values())
     out, at = {}, 0
-    for c, (t, wide) in LAYOUT.items():
+    for c, (t, wide) in layout.items():
         planes = np.frombuffer(data, np.uint8, n * wide, at).reshape(wide, n)
         out[c] = np.ascontiguousarray(planes.T).view(t).reshape(-1)
         at += n * wide
@@ -256,29 +258,62 @@ def scan(order: np.ndarray, entries: dict[str, np.ndarray]):
     return order[full], order[several_docs & several_runs & ~full]
 
 
-def _index(batches):
+def bundles(places: dict[str, np.ndarray], bits: int) -> pa.RecordBatch:
+    """Places found, one row for each of the buckets of documents: what a document has in many key ranges is no row each."""
+    spread = mixed(places["id"].astype(np.uint64) ^ mixed(places["tag"].astype(np.uint64)))
+    bucket = (spread >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(spread), np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(bucket)]))
+    spans = [(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b > a]
+    return pa.RecordBatch.from_arrays([
+        pa.array([int(bucket[order[a]]) for a, _ in spans], pa.int32()),
+        pa.array([pack({c: places[c][order[a:b]] for c in FOUND}, FOUND) for a, b in spans], pa.binary())],
+        names=["bucket", "places"])
+
+
+def _index(bits: int):
     """The key ranges of one partition, a few of bounded size: one index family each."""
 
     def told(parts):
         order, entries = index_family(parts)
         full, edge = scan(order, entries)
         every, whole = np.concatenate((full, edge)), np.repeat([True, False], [len(full), len(edge)])
-        ids, tags, at = (entries[c][every] for c in ("id", "tag", "at"))
-        order = np.lexsort((tags, ids))
-        ids, tags, at, whole = ids[order], tags[order], at[order], whole[order]
-        return pa.RecordBatch.from_arrays(by_document(ids, tags, (whole, at), (~whole, at)), names=["id", "tag", "full", "edge"])
+        return bundles({**{c: entries[c][every] for c in ("id", "tag", "at")}, "whole": whole}, bits)
+
+    def run(batches):
+        ranges: dict[int, list[dict[str, np.ndarray]]] = {}
+        for batch in batches:
+            settled = batch.filter(batch.column("entries").is_null())
+            if settled.num_rows:
+                n = settled.column("full").value_lengths().to_numpy(zero_copy_only=False)
+                places = {c: np.repeat(settled.column(c).to_numpy(zero_copy_only=False), n) for c in ("id", "tag")}
+                places["at"] = settled.column("full").flatten().to_numpy(zero_copy_only=False)
+                yield bundles({**places, "whole": np.ones(len(places["at"]), bool)}, bits)
+            batch = batch.filter(batch.column("entries").is_valid())
+            for shard, data in zip(batch.column("shard").to_pylist(), batch.column("entries").to_pylist()):
+                ranges.setdefault(shard, []).append(unpack(data))
+        while ranges:
+            yield told(ranges.popitem()[1])
+            trim()
+
+    return run
+
 
-    ranges: dict[int, list[dict[str, np.ndarray]]] = {}
+def _gather(batches):
+    """The places of each document, a bucket at a time."""
+    buckets: dict[int, list[bytes]] = {}
     for batch in batches:
-        settled = batch.filter(batch.column("entries").is_null())
-        if settled.num_rows:
-            none = pa.array([[]] * settled.num_rows, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(settled.column(c) for c in ("id", "tag", "full")), none], names=["id", "tag", "full", "edge"])
-        batch = batch.filter(batch.column("entries").is_valid())
-        for shard, data in zip(batch.column("shard").to_pylist(), batch.column("entries").to_pylist()):
-            ranges.setdefault(shard, []).append(unpack(data))
-    while ranges:
-        yield told(ranges.popitem()[1])
+        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("places").to_pylist()):
+            buckets.setdefault(bucket, []).append(data)
+    while buckets:
+        parts = [unpack(data, FOUND) for data in buckets.popitem()[1]]
+        places = {c: np.concatenate([p[c] for p in parts]) for c in FOUND}
+        order = np.lexsort((places["tag"], places["id"]))
+        ids, tags, at, whole = (places[c][order] for c in FOUND)
+        whole = whole.astype(bool)
+        out = pa.RecordBatch.from_arrays(by_document(ids, tags, (whole, at), (~whole, at)), names=["id", "tag", "full", "edge"])
+        for start in range(0, out.num_rows, 4096):
+            yield out.slice(start, 4096)
         trim()
 
 
@@ -351,9 +386,9 @@ def _removal(length: int, texts: bool):
 
 def family(entries: DataFrame, bits: int) -> DataFrame:
     """Entries dealt out by their batches -> id, tag, full, edge: the places found, by document."""
-    ranges = entries.repartition(1 << min(bits, 14), "shard")
-    found = ranges.mapInArrow(_index, "id long, tag int, full array<int>, edge array<int>")
-    return found.groupBy("id", "tag").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("full", "edge")])
+    wide = min(bits, 14)
+    found = entries.repartition(1 << wide, "shard").mapInArrow(_index(wide), "bucket int, places binary")
+    return found.repartition(1 << wide, "bucket").mapInArrow(_gather, "id long, tag int, full array<int>, edge array<int>")
 
 
 def key_bits(total: int, each: int) -> int:
