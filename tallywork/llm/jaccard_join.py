@@ -330,9 +330,11 @@ def matrix_blocks(postings: DataFrame, classes: DataFrame, roots: DataFrame, per
         (F.col("root") != F.col("_root")) & (F.col("low") <= F.col("n")) & (100 * F.col("high") >= percent * F.col("n")))
     # Similar sets of n >= m tokens share at least a = percent * (n + m) / (100 + percent). Behind the looked-up
     # tokens of the set whose last one comes first in the order, at most ceil(percent * n / 100) - 1 are left.
+    # `low` differs between tokens; those of a similar member have its size or a smaller one as `low`, so the
+    # smallest bound of the tokens met is no higher than that member's.
     m = F.greatest(F.col("low"), F.ceil(percent * F.col("n") / 100))
     least = F.ceil(percent * (F.col("n") + m) / (100.0 + percent) - 1e-6) - F.ceil(percent * F.col("n") / 100.0 - 1e-6) + 1
-    met = met.groupBy("cid", "part").agg(F.count("*").alias("c"), F.first(least).alias("least"))
+    met = met.groupBy("cid", "part").agg(F.count("*").alias("c"), F.min(least).alias("least"))
     met = cut_lineage(met.where("c >= least").select("cid", "part"))
     crowd = cut_lineage(met.groupBy(F.col("part").alias("_part")).agg(F.ceil(F.count("*") / BLOCK).alias("chunks")))
     name = lambda chunk: F.xxhash64("part", chunk)

@@ -222,6 +222,32 @@ def test_jaccard_components(documents, k, percent):
     assert set(kept) == {c for _, n, c in want if n} and all(r["doc_id"] == r["component_id"] for r in out if r["kept"] and r["n_shingles"])
 
 
+def test_jaccard_group_of_mixed_sizes(spark):
+    # a query of 200 tokens is linked with the member of 170 only; five of the six tokens met are the other member's
+    triples = 40
+    postings, sizes, roots = [], [], []
+    for i in range(triples):
+        q, b, c = 3 * i, 3 * i + 1, 3 * i + 2
+        sizes += [(q, 200), (b, 170), (c, 200)]
+        roots += [(b, b), (c, b)]
+        postings += [(100 * i + j, x) for j in range(5) for x in (q, c)] + [(100 * i + 5, x) for x in (q, b, c)]
+    blocks = jaccard_join.matrix_blocks(
+        spark.createDataFrame(postings, "token long, cid long"), spark.createDataFrame(sizes, "cid long, n long"),
+        spark.createDataFrame(roots, "node long, root long"), 85)
+    assert {r["cid"] for r in blocks.where("query").collect()} >= {3 * i for i in range(triples)}
+
+
+def test_jaccard_links_to_smallest_member(documents):
+    rows = []
+    for i in range(150):
+        word = lambda kind, n: [f"{kind}{i}x{j}" for j in range(n)]
+        both = word("b", 170)
+        for j, own in enumerate((both, both + word("c", 25) + word("s", 5), both + word("q", 25) + word("s", 5))):
+            rows.append((3 * i + j, " ".join(own), "la", "s1"))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(documents(rows), k=1, percent=85).collect()}
+    assert got == {i: 3 * (i // 3) for i in range(len(rows))}
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_parity_bound_keeps_links(percent):
     rng = np.random.default_rng(3)
