@@ -71,7 +71,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
         cuts = np.cumsum([1] + [len(t) + 1 for t in raw[start:stop]])
         at = np.searchsorted(first, cuts)
         shingles = np.zeros(max(0, len(words) - k + 1), np.uint64)
-        for i in range(k):
+        for i in range(k if len(shingles) else 0):
             shingles += words[i : len(words) - k + 1 + i] * FACTORS[i]
         shingles = mixed(shingles)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):

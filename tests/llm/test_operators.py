@@ -265,6 +265,19 @@ def test_parity_bound_keeps_links(percent):
                 assert apart <= jaccard_join.most_apart(len(a), len(b), percent)
 
 
+@pytest.mark.parametrize("k", [1, 4, 5, 7])
+def test_pieces_of_few_words(k):
+    for n in range(8):
+        (own,) = jaccard_join.shingle_sets([" ".join(WORDS[:n])], k)
+        assert len(own) == (max(1, n - k + 1) if n else 0)
+
+
+def test_jaccard_tables_of_few_words(documents):
+    for n in range(1, 5):
+        (row,) = jaccard_join.join(documents([(7, " ".join(WORDS[:n]), "la", "s1")]), k=5).collect()
+        assert (row["doc_id"], row["n_shingles"], row["component_id"], row["kept"]) == (7, 1, 7, True)
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.join(spark.createDataFrame([], EMPTY)).collect() == []
 
