@@ -20,6 +20,9 @@ of the smallest id is dealt out, so a key never gathers more than one entry from
 Texts that a document with a smaller id holds as a whole go completely and are not indexed twice by a task.
 No array, group or list holds more than a key range or a document.
 
+A document is named by its id and a tag: zero, or, where different texts may have the id (null ids are one id),
+the 64-bit hash of its text. Which ids those are is told by cells, so some others have a hash for a tag too.
+
 Defined results: a null text is empty; texts shorter than ``length`` bytes stay; rows with equal ids are
 not earlier than each other; a null id counts as larger than any other.
 """
@@ -34,7 +37,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tallywork.llm.common import mixed, only_cells, release, take, trim
+from tallywork.llm.common import cells_of, mixed, only_cells, release, take, trim
 from tallywork.session import cut_lineage
 
 BASE = 0x2545F4914F6CDD1D
@@ -44,10 +47,12 @@ BLOCK, RANGE_BYTES = 1 << 20, 32 << 20
 NO_ID = (1 << 63) - 1
 # Entries of one batch; columns of an entry with their types and widths (of a k-gram's hash 48 bits count).
 BATCH = 1 << 18
-LAYOUT = {"k": ("<u8", 8), "s": ("<u4", 4), "id": ("<i8", 8), "tag": ("<u2", 2), "at": ("<u4", 4)}
+LAYOUT = {"k": ("<u8", 8), "s": ("<u4", 4), "id": ("<i8", 8), "tag": ("<i8", 8), "at": ("<u4", 4)}
 # Columns of a place found; whole: all windows of its run go.
-FOUND = {"id": ("<i8", 8), "tag": ("<u2", 2), "at": ("<u4", 4), "whole": ("u1", 1)}
-ENTRIES = "shard int, entries binary, id long, tag int, full array<int>"
+FOUND = {"id": ("<i8", 8), "tag": ("<i8", 8), "at": ("<u4", 4), "whole": ("u1", 1)}
+ENTRIES = "shard int, entries binary, id long, tag long, full array<int>"
+# Cells of ids, to tell which ids several texts may have.
+ID_CELLS = 1 << 18
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,10 +136,16 @@ def unpack(data: bytes, layout=LAYOUT) -> dict[str, np.ndarray]:
     return out
 
 
+def spread(ids: np.ndarray, tags: np.ndarray, bits: int) -> np.ndarray:
+    """A number of so many bits for each document."""
+    hashes = mixed(ids.astype(np.uint64) ^ mixed(tags.astype(np.uint64)))
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(ids), np.int64)
+
+
 def by_document(ids, tags, *lists) -> list[pa.Array]:
     """Arrow columns id, tag and lists of places; each of ``lists`` is a mask and the places, in order of documents."""
-    new = np.flatnonzero(np.concatenate(([True], (np.diff(ids) != 0) | (np.diff(tags.astype(np.int64)) != 0)))) if len(ids) else np.zeros(0, np.int64)
-    out = [pa.array(ids[new], pa.int64()), pa.array(tags[new].astype(np.int32), pa.int32())]
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(ids) != 0) | (np.diff(tags) != 0)))) if len(ids) else np.zeros(0, np.int64)
+    out = [pa.array(ids[new], pa.int64()), pa.array(tags[new], pa.int64())]
     for mask, places in lists:
         ends = np.concatenate(([0], np.cumsum(mask)))
         offsets = np.concatenate((ends[new], ends[-1:])).astype(np.int32)
@@ -160,12 +171,12 @@ def deal(parts: list[dict[str, np.ndarray]], bits: int):
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard[order])) + 1, [len(shard)]))
     rows = [(int(shard[order[a]]), pack({c: v[order[a:b]] for c, v in rest.items()})) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
     n = len(rows)
-    nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.list_(pa.int32()))]
+    nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int32()))]
     names = ["shard", "entries", "id", "tag", "full"]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), *nothing], names=names)
     own = by_document(columns["id"][settled], columns["tag"][settled], (np.ones(int(settled.sum()), bool), columns["at"][settled]))
     n = len(own[0])  # these only pass through; any key range will do
-    anywhere = pa.array(own[1].to_numpy() & ((1 << bits) - 1), pa.int32())
+    anywhere = pa.array(spread(own[0].to_numpy(), own[1].to_numpy(), bits), pa.int32())
     yield pa.RecordBatch.from_arrays([anywhere, pa.nulls(n, pa.binary()), *own], names=names)
 
 
@@ -205,7 +216,7 @@ def _runs(length: int, bits: int):
                 k, s, _, _ = runs.cut(raw)
                 n = len(k)
                 yield {
-                    "k": k, "s": s, "id": np.full(n, id_, np.int64), "tag": np.full(n, tag, np.uint16),
+                    "k": k, "s": s, "id": np.full(n, id_, np.int64), "tag": np.full(n, tag, np.int64),
                     "at": np.arange(n, dtype=np.uint32)}
 
         yield from dealt(documents(), bits)
@@ -236,7 +247,9 @@ def index_family(arrays) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     while len(levels) > 1:
         small = levels.pop()
         levels[-1] = merge(levels[-1], small)
-    return levels[0][1], {c: np.concatenate([p[c] for p in parts]) for c in LAYOUT}
+    order = levels[0][1]
+    del levels
+    return order, {c: np.concatenate([p.pop(c) for p in parts]) for c in LAYOUT}  # a column's parts go as it is joined
 
 
 def scan(order: np.ndarray, entries: dict[str, np.ndarray]):
@@ -260,8 +273,7 @@ def scan(order: np.ndarray, entries: dict[str, np.ndarray]):
 
 def bundles(places: dict[str, np.ndarray], bits: int) -> pa.RecordBatch:
     """Places found, one row for each of the buckets of documents: what a document has in many key ranges is no row each."""
-    spread = mixed(places["id"].astype(np.uint64) ^ mixed(places["tag"].astype(np.uint64)))
-    bucket = (spread >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(spread), np.int64)
+    bucket = spread(places["id"], places["tag"], bits)
     order = np.argsort(bucket, kind="stable")
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(bucket)]))
     spans = [(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b > a]
@@ -341,7 +353,7 @@ def _edges(length: int, bits: int):
                 k, at = runs.windows(raw, first[wanted], last[wanted])
                 n = len(k)
                 yield {
-                    "k": k, "s": np.zeros(n, np.uint32), "id": np.full(n, id_, np.int64), "tag": np.full(n, tag, np.uint16),
+                    "k": k, "s": np.zeros(n, np.uint32), "id": np.full(n, id_, np.int64), "tag": np.full(n, tag, np.int64),
                     "at": at.astype(np.uint32)}
 
         yield from dealt(documents(), bits)
@@ -362,7 +374,7 @@ def _removal(length: int, texts: bool):
         runs, rows, held = Runs(length), [], 0
 
         def out():
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["_id", "_tag", "removed", "spans", "left", "sha"])
 
@@ -388,7 +400,7 @@ def family(entries: DataFrame, bits: int) -> DataFrame:
     """Entries dealt out by their batches -> id, tag, full, edge: the places found, by document."""
     wide = min(bits, 14)
     found = entries.repartition(1 << wide, "shard").mapInArrow(_index(wide), "bucket int, places binary")
-    return found.repartition(1 << wide, "bucket").mapInArrow(_gather, "id long, tag int, full array<int>, edge array<int>")
+    return found.repartition(1 << wide, "bucket").mapInArrow(_gather, "id long, tag long, full array<int>, edge array<int>")
 
 
 def key_bits(total: int, each: int) -> int:
@@ -406,11 +418,19 @@ def dedup(
     spark, body = df.sparkSession, F.coalesce("text", F.lit(""))
     docs = take(df, doc_id=doc_id, text=text).select("doc_id", body.alias("text"))
     docs = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    docs = docs.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"))
     rows = cut_lineage(docs.select(
-        "doc_id", "id", "tag", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.md5("text")).alias("md5"),
+        "doc_id", "id", F.xxhash64("text").alias("hash"), F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.md5("text")).alias("md5"),
         F.unhex(F.sha2("text", 256)).alias("whole")))
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
+    several = rows.groupBy("id").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("a <> b")
+    cells = cut_lineage(several.select(cells_of("id", ID_CELLS).alias("_cell")).distinct())
+
+    def tagged(frame: DataFrame, text_hash) -> DataFrame:
+        marked = frame.join(F.broadcast(cells), cells_of("id", ID_CELLS) == F.col("_cell"), "left")
+        tag = F.when(F.col("_cell").isNotNull(), text_hash).otherwise(F.lit(0).cast("long"))
+        return marked.withColumn("tag", tag).drop("_cell")
+
+    docs, rows = tagged(docs, F.xxhash64("text")), tagged(rows, F.col("hash")).drop("hash")
     # documents that a smaller id holds as a whole need no cutting
     firsts = rows.groupBy("md5").agg(F.min("id").alias("first_id")).withColumnRenamed("md5", "_md5")
     rows = rows.join(firsts, F.col("md5") == F.col("_md5")).withColumn("copy", F.col("id") > F.col("first_id"))
@@ -444,7 +464,7 @@ def dedup(
     cuts = found.where(F.size("full") > 0).select("id", "tag", "full").join(single, ["id", "tag"], "full")
     cuts = cut_lineage(cuts.select(key, "id", "tag", "full", "single"))
     removed = fetched(cuts).select("id", "tag", "packed", "full", "single").mapInArrow(
-        _removal(length, texts), "_id long, _tag int, removed long, spans long, left string, sha string")
+        _removal(length, texts), "_id long, _tag long, removed long, spans long, left string, sha string")
     if not texts:
         removed = removed.drop("left")
     removed = removed.dropDuplicates(["_id", "_tag"])

@@ -452,6 +452,36 @@ def test_suffix_dedup(documents, spark, monkeypatch):
     assert suffix_dedup.dedup(spark.createDataFrame([], EMPTY)).collect() == []
 
 
+def brute_removal(rows):
+    """Counter of doc_id, bytes, removed bytes, spans and hash of what is left, by a table of all 50-byte strings."""
+    ordered = [(i if i is not None else 1 << 62, (t or "").encode()) for i, t in rows]
+    first = {}
+    for i, b in ordered:
+        for p in range(len(b) - 49):
+            s = b[p : p + 50]
+            first[s] = min(first.get(s, i), i)
+    want = collections.Counter()
+    for (i, b), row in zip(ordered, rows):
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        want[row[0], len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()] += 1
+    return want
+
+
+def test_suffix_dedup_texts_of_one_id(documents):
+    rng = random.Random(5)
+    passages = [prose(rng, 20) for _ in range(30)]
+    rows = [(i, prose(rng, 10) + " " + p) for i, p in enumerate(passages)]
+    text = lambda: " ".join([prose(rng, rng.randrange(1, 30)), rng.choice(passages), prose(rng, rng.randrange(1, 30))])
+    rows += [(None, text()) for _ in range(3000)] + [(500, text()) for _ in range(1000)] + [(-3, text()) for _ in range(3)]
+    rows += [rows[40], rows[40], (600, rows[41][1]), (600, text()), (10, None), (10, "")]
+    out = suffix_dedup.dedup(documents([(i, t, "la", "s1") for i, t in rows])).collect()
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == brute_removal(rows)
+
+
 def test_long_texts_are_cut_in_blocks():
     import numpy as np
 
