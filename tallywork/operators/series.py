@@ -66,8 +66,18 @@ def _frequency(df, date, freq, by=()) -> str:
     return found[0]
 
 
-def _periods(df, date, values, freq, agg, by) -> DataFrame:
-    """One row per (by, period) on the full calendar, with row counts; empty ones are null."""
+def _n_periods(first: Column, last: Column, freq: str) -> Column:
+    """Number of periods from ``first`` to ``last`` (both period ends), as ``calendar`` lists them."""
+    if freq in ("D", "W"):
+        steps = F.datediff(last, first) / int(FREQS[freq])
+    else:
+        months = 12 * (F.year(last) - F.year(first)) + F.month(last) - F.month(first)
+        steps = months / {"ME": 1, "QE": 3, "YE": 12}[freq]
+    return F.floor(steps).cast("long") + 1
+
+
+def _cells(df, date, values, freq, agg, by) -> DataFrame:
+    """One row per (by, period) that holds rows, with row counts."""
     rows = df.select(
         *by, period_end(quoted(date), freq).alias("period"), quoted(date).alias("_at"),
         *[number(quoted(v)).alias(v) for v in values]).dropna()
@@ -75,6 +85,12 @@ def _periods(df, date, values, freq, agg, by) -> DataFrame:
     cells = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"))
     for v in values:
         cells = cells.join(grouped(rows, keys, v, agg, v), keys)
+    return cells
+
+
+def _periods(df, date, values, freq, agg, by) -> DataFrame:
+    """One row per (by, period) on the full calendar, with row counts; empty ones are null."""
+    cells, keys = _cells(df, date, values, freq, agg, by), [*by, "period"]
     span = cells.groupBy(*by).agg(F.min("period").alias("_a"), F.max("period").alias("_z"))
     days = F.datediff("_z", "_a")
     longest = span.where(days > MAX_PERIODS * F.lit(FREQS[freq] * 1.05))
@@ -87,14 +103,16 @@ def _periods(df, date, values, freq, agg, by) -> DataFrame:
 
 def series_report(df, date, values, freq=None, agg="mean", by=()) -> DataFrame:
     """Per series: rows used, duplicate timestamps, periods, empty ones, and the reason for
-    refusing it (null when it can be analysed)."""
+    refusing it (null when it can be analysed). Periods are counted from first and last, so that
+    series too long for a grid are listed too."""
     by, values = list(by), [values] if isinstance(values, str) else list(values)
     freq = _frequency(df, date, freq, by)
-    grid = _periods(df, date, values, freq, agg, by)
-    counts = grid.groupBy(*by).agg(
-        F.count("*").alias("n_periods"), F.sum("n_rows").alias("n_used"),
-        F.count_if(F.col("n_rows") == 0).alias("n_empty"),
-        F.count_if(F.array_contains(F.array(*[F.col(v).isNull() for v in values]), True)).alias("n_interpolated"))
+    cells = _cells(df, date, values, freq, agg, by)
+    n_periods = F.coalesce(_n_periods(F.min("period"), F.max("period"), freq), F.lit(0).cast("long"))
+    missing = F.count_if(F.array_contains(F.array(*[F.col(v).isNull() for v in values]), True))
+    counts = cells.groupBy(*by).agg(
+        n_periods.alias("n_periods"), F.sum("n_rows").alias("n_used"), (n_periods - F.count("*")).alias("n_empty"),
+        (n_periods - F.count("*") + missing).alias("n_interpolated"))
     rows = df.dropna(subset=[date, *values])
     stamps = rows.groupBy(*by, date).agg(F.count("*").alias("c")).groupBy(*by).agg(
         F.sum(F.col("c") - 1).alias("n_duplicate_timestamps"))

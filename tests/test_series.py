@@ -52,6 +52,29 @@ def test_grid_fills_gaps_by_time(spark):
     assert (report["n_periods"], report["n_empty"], report["refused"]) == (20, 2, None)
 
 
+def test_report_lists_long_series(spark):
+    # 23,000 days on end, and 40 days
+    day = lambda n, name: spark.range(n).selectExpr(
+        f"'{name}' AS who", "CAST(date_add(DATE'1950-01-01', CAST(id AS int)) AS timestamp_ntz) AS date", "CAST(id AS double) AS value")
+    both = day(23_000, "long").unionByName(day(40, "short"))
+    report = {r["who"]: r for r in s.series_report(both, "date", "value", "D", by=["who"]).collect()}
+    assert (report["long"]["n_periods"], report["long"]["n_used"], report["long"]["n_empty"]) == (23_000, 23_000, 0)
+    assert report["long"]["refused"] == "more than 20000 periods"
+    assert (report["short"]["n_periods"], report["short"]["refused"]) == (40, None)
+    assert s.series_report(day(23_000, "long"), "date", "value", "D").first()["refused"] == "more than 20000 periods"
+    assert {r["who"] for r in s.regular_grid(both, "date", "value", "D", by=["who"]).select("who").distinct().collect()} == {"short"}
+
+
+def test_report_counts_periods_as_the_calendar(spark):
+    days = [0, 3, 40, 41, 200, 395, 800, 1500]
+    df = spark.createDataFrame([(START + dt.timedelta(days=d), float(d)) for d in days], "date timestamp_ntz, value double")
+    for freq in s.FREQS:
+        grid = s._periods(df, "date", ["value"], freq, "mean", []).collect()
+        report = s.series_report(df, "date", "value", freq).first()
+        empty = sum(r["n_rows"] == 0 for r in grid)
+        assert (report["n_periods"], report["n_empty"], report["n_interpolated"]) == (len(grid), empty, empty)
+
+
 def test_grid_refuses(spark):
     with pytest.raises(PySparkException, match="too few"):
         s.regular_grid(daily(spark, range(5)), "date", "value", "D").collect()
