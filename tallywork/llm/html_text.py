@@ -1,10 +1,13 @@
 """HTML to text, laid out: block spacing, lists and aligned table cells; invisible content left out.
 
 The standard library's tokenizer feeds a tree builder that closes elements whose end tags HTML lets
-authors leave out. The tree is walked without recursion. Scripts, styles, templates, comments, hidden
-elements (``hidden``, ``display:none``, ``visibility:hidden``, hidden inputs) are not visible. Blocks stand
+authors leave out. The tree is walked without recursion. Not visible are comments, hidden elements
+(``hidden``, ``display:none``, ``visibility:hidden``, hidden inputs), the head, scripts, styles, templates,
+titles, datalists, what stands in for scripts or embedded media (noscript, iframe, object, audio, video,
+canvas), and in formulas and drawings annotations, descriptions, metadata and definitions. Blocks stand
 on lines of their own, paragraphs and headings after a blank line, list items behind a bullet or number,
-table cells in columns of equal width, preformatted text as it is.
+table cells in columns of equal width, preformatted text as it is. Formulas, text areas, all options of a
+select and the text elements of drawings run with the text around them.
 
 Defined results: a null page gives null, an empty one an empty text; text outside any element is kept;
 stray end tags are ignored; what is still open at the end is closed.
@@ -20,7 +23,14 @@ from pyspark.sql import Column, functions as F
 
 # Fixed values of the language: elements without content, invisible elements, blocks.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INVISIBLE = set("script style template noscript head title iframe object audio video canvas svg math datalist select textarea".split())
+INVISIBLE = set("script style template noscript head title iframe object audio video canvas datalist".split())
+# What an open head can hold, elements set off by spaces; of drawings and formulas what is not shown, and
+# parts of drawings whose own text is not shown.
+IN_HEAD = set("head base basefont bgsound link meta noframes noscript script style template title".split())
+APART = set("textarea select option text".split())
+UNSHOWN = set("desc metadata defs annotation annotation-xml".split())
+DRAWN = set("svg g switch".split())
+FOREIGN = UNSHOWN | DRAWN | {"math", "text"}
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
 BLOCKS = SPACED | set(
     "html body address article aside main nav section header footer div li dt dd form fieldset figcaption "
@@ -75,15 +85,22 @@ class Builder(HTMLParser):
             self.close_to({"p"}, ROOTS)
         if tag in CLOSES:
             self.close_to(CLOSES[tag], SCOPE[tag])
-        if tag in BLOCKS and self.open[-1].tag == "head":
+        if tag not in IN_HEAD and self.open[-1].tag == "head":
             self.open.pop()
         node = Node(tag, {k: v or "" for k, v in attrs})
+        if tag in UNSHOWN and self.inside("svg", "math"):
+            node.attrs["hidden"] = ""
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
 
+    def inside(self, *tags: str) -> bool:
+        return any(node.tag in tags for node in reversed(self.open))
+
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # the slash means nothing on elements that can have content
+        self.handle_starttag(tag, attrs)  # the slash means nothing on HTML elements that can have content
+        if tag in FOREIGN and self.inside("svg", "math"):
+            self.open.pop()
 
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, 0, -1):
@@ -94,6 +111,10 @@ class Builder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and SPACE.sub("", data):
+            self.open.pop()
+        if self.open[-1].tag in DRAWN and self.inside("svg"):
+            return
         self.open[-1].children.append(data)
 
 
@@ -205,10 +226,14 @@ def render(root: Node) -> str:
                 if not tables[-1]:
                     tables[-1].append([])
                 pages.append(Page())
+            if tag in APART:
+                page.inline(" ")
             todo.append((item, True))
             todo.extend((child, False) for child in reversed(item.children))
             continue
-        if tag in ("td", "th") and tables:
+        if tag in APART:
+            page.inline(" ")
+        elif tag in ("td", "th") and tables:
             cell = pages.pop().text()
             wide = item.attrs.get("colspan", "1")
             tables[-1][-1] += [cell] + [""] * (min(int(wide), 100) - 1 if re.fullmatch(r"\d{1,4}", wide) else 0)

@@ -421,6 +421,19 @@ def test_rendering(html, text):
     assert html_text.to_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> holds</p>", "so x=2 holds"),
+    ("<p>see <svg><title>t</title><desc>d</desc> <g>no<text>one</text><text>two</text></g></svg> here</p>", "see one two here"),
+    ("<p><svg><defs/><path/><text>one</text></svg> two <svg/>three <desc>four</desc> <g>five</g></p>", "one two three four five"),
+    ("<form>Say <textarea>my words</textarea> or <select><option>red<option>blue</select>.</form>", "Say my words or red blue ."),
+    ("<head><title>t</title><b>first</b> words<p>next</p>", "first words\n\nnext"),
+    ("<head><meta charset=x>\n bare text<p>next</p></head>", "bare text\n\nnext"),
+    ("<head><script>s</script>\n<style>c</style><link rel=x></head><body>body", "body"),
+])
+def test_rendering_of_forms_formulas_drawings_and_open_heads(html, text):
+    assert html_text.to_text(html) == text
+
+
 def test_rendering_depth_and_null(spark):
     assert html_text.to_text("<div>" * 20_000 + "deep") == "deep"
     rows = spark.createDataFrame([(1, None), (2, "<p>a")], "page_id long, html string")
