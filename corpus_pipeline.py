@@ -61,7 +61,8 @@ STAGES = [
     ("mixing", mix_sources),
     ("sharding", shard),
 ]
-# Lexicon fit, sampling and splitters have no SQL; tests/llm compares each stage with a brute-force version.
+# Lexicon fit, sampling and splitters have no SQL. tests/llm compares near copies with all pairs here; the other
+# stages are held only to properties (columns, ids, share kept, slots), their operators to tests of their own.
 ORACLE_SQL = None
 
 
