@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from tallywork.errors import Refusal, need_columns
 from tallywork.functions import dist
@@ -14,6 +14,7 @@ from tallywork.operators.means import (
     group_moments, group_summary, labelled, one_way, two_groups, mean_difference,
 )
 from tallywork.operators.ordering import average_ranks, range_bounds, with_range
+from tallywork.session import cut_lineage
 
 
 def complete(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -112,25 +113,40 @@ def _inversions(block, key):
     return whole - _falling_pairs(y, w, cell)
 
 
+# Distinct pairs of values in one range of x or of y.
+BLOCK_ROWS = 50_000
+
+
+def _across(cut: DataFrame) -> float:
+    """Weighted pairs with a smaller x-range and a larger y-range.
+
+    Two y-ranges differ first at one bit of their numbers. For each bit, cells are summed by the bits above it and
+    their x-range: cells with the bit set that come before cells without it are such pairs. All bits are one
+    aggregation; what a window sees are sums, one per x-range.
+    """
+    top = cut.agg(F.max("by")).first()[0] or 0
+    if not top:
+        return 0.0
+    cells = cut.groupBy("bx", "by").agg(F.sum("w").cast("double").alias("w"))
+    bits = cells.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(top.bit_length() - 1))))
+    above, one = F.expr("shiftright(by, bit + 1)"), F.expr("shiftright(by, bit) & 1")
+    sums = bits.groupBy("bit", above.alias("above"), "bx").agg(F.sum(F.col("w") * one).alias("ones"), F.sum(F.col("w") * (1 - one)).alias("zeros"))
+    before = F.sum("ones").over(W.partitionBy("bit", "above").orderBy("bx").rowsBetween(W.unboundedPreceding, -1))
+    return sums.withColumn("before", before).agg(F.sum(F.col("zeros") * F.col("before"))).first()[0] or 0.0
+
+
 def kendall(df: DataFrame, column: str, column2: str) -> DataFrame:
-    """tau-b with ties; p is exact up to 33 untied rows, else from the normal.
+    """tau-b with ties; p is exact for untied rows up to 33, or with one discordant (or concordant) pair at most.
 
-    Discordant pairs are counted in three exact parts: between cells of an x-range by
-    y-range grid (counts only), inside one x-range, and inside one y-range across x-ranges.
-    A value that fills a range by itself has no discordant pair inside that range.
+    Discordant pairs are counted in three exact parts: between ranges of x and of y (``_across``), inside one
+    x-range, and inside one y-range across x-ranges. Ranges are as many as keep a block at BLOCK_ROWS distinct
+    pairs. A value that fills a range by itself has no discordant pair inside that range.
     """
     rows = complete(df, [column, column2]).select(F.col("x0").alias("x"), F.col("x1").alias("y"))
-    held = rows.groupBy("x", "y").agg(F.count("*").alias("w"))
-    cut = with_range(with_range(held, "x", range_bounds(held, "x"), "bx"), "y",
-                     range_bounds(held, "y"), "by")
-    grid = cut.groupBy("bx", "by").agg(F.sum("w").alias("w")).toPandas()  # ranges x ranges
-    if grid.empty:
-        raise Refusal("correlation: needs three complete rows")
-    table = np.zeros((grid["bx"].max() + 1, grid["by"].max() + 1))
-    table[grid["bx"], grid["by"]] = grid["w"]
-    before = np.cumsum(table, axis=0) - table  # strictly smaller x-range
-    above = np.cumsum(before[:, ::-1], axis=1)[:, ::-1] - before  # and strictly larger y-range
-    across = float((table * above).sum())
+    held = cut_lineage(rows.groupBy("x", "y").agg(F.count("*").alias("w")))
+    ranges = max(2, -(-held.count() // BLOCK_ROWS))
+    cut = cut_lineage(with_range(with_range(held, "x", range_bounds(held, "x", ranges), "bx"), "y", range_bounds(held, "y", ranges), "by"))
+    across = _across(cut)
 
     def in_x(key, pdf):
         import pandas as pd
@@ -167,7 +183,7 @@ def kendall(df: DataFrame, column: str, column2: str) -> DataFrame:
     m = n * (n - 1)
     var = (m * (2 * n + 5) - x1 - y1) / 18 + 2 * tx * ty / m + x0 * y0 / (9 * m * (n - 2))
     p = 2 * dist.norm_upper(abs(concordant_minus) / np.sqrt(var)) if var > 0 else None
-    if tx == ty == 0 and n <= 33:
+    if tx == ty == 0 and (n <= 33 or min(discordant, pairs - discordant) <= 1):
         p = dist.discordance_p(int(n), int(round(discordant)))
     return df.sparkSession.createDataFrame(
         [(column, column2, int(n), None if tau is None else float(tau), None if p is None else float(p))],

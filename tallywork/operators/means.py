@@ -262,15 +262,15 @@ def anova(df, column, group_by, by=()) -> DataFrame:
         "p_value", dist.f_sf(F.col("statistic"), F.col("dof_between"), F.col("dof_within")))
 
 
-def tukey_hsd(df, column, group_by, by=(), max_groups: int = 200) -> DataFrame:
+def tukey_hsd(df, column, group_by, by=(), max_groups: int | None = None) -> DataFrame:
     """All pairwise group differences with studentized-range p-values and intervals.
 
-    The pairs are pairs of group summaries, and are the result itself.
+    The pairs are pairs of group summaries, and are the result itself; ``max_groups`` refuses more groups.
     """
     by = list(by)
     moments = group_moments(labelled(df, group_by, column, by), by).where("n > 1")
     pooled = one_way(moments, by).select(
-        *by, refuse(F.col("k") > max_groups, f"tukey: more than {max_groups} groups", by,
+        *by, refuse(F.lit(max_groups is not None) & (F.col("k") > F.lit(max_groups)), f"tukey: more than {max_groups} groups", by,
                     F.col("k").cast("double")).alias("k"),
         "dof_within", F.expr("ss_within / dof_within").alias("msw"))
     listed = _attach(

@@ -18,6 +18,8 @@ from tallywork.session import cut_lineage
 # Rows of one bracket that a single sort may see when an exact quantile is read off.
 BRACKET_ROWS = 50_000
 SKETCH = 10_000
+# Stretches that a round cuts a group's wide bracket into.
+GRID = 200
 # Whole-column sketches meet in one task, so they are smaller; another round makes up for it.
 WHOLE_SKETCH = 2_000
 
@@ -286,59 +288,97 @@ def _read_off(values, wants) -> None:
         want["value"] = row["low"] + (row["high"] - row["low"]) * (want["h"] - want["f"])
 
 
+def _bracket_names(probs) -> list[tuple[str, str]]:
+    return [(f"_lo{i}", f"_hi{i}") for i in range(len(probs))]
+
+
+def group_brackets(values: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
+    """by, _n and for each quantile a bracket (_lo, _hi) that holds its two neighbouring ranks.
+
+    ``values`` has by and _v (not null). A sketch per group gives the first brackets. Where a group is so large
+    that its brackets hold more than BRACKET_ROWS rows, they are counted exactly and narrowed by a finer sketch of
+    the rows inside, round by round; only the groups that are still wide take part. Groups, not rows, are joined.
+    """
+    names, margin = _bracket_names(probs), 5.0 / SKETCH
+    points = [q for p in probs for q in (max(0.0, p - margin), min(1.0, p + margin))]
+    first = values.groupBy(*by).agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", points, SKETCH).alias("_e"))
+    small = F.col("_n") <= SKETCH  # where a rank is more than the sketch's margin
+    out = first.select(*by, "_n", *[
+        c for i, (p, (lo, hi)) in enumerate(zip(probs, names)) for c in (
+            F.when(small | F.lit(p <= margin), F.col("_min")).otherwise(F.col("_e")[2 * i]).alias(lo),
+            F.when(small | F.lit(p >= 1 - margin), F.col("_max")).otherwise(F.col("_e")[2 * i + 1]).alias(hi))])
+    out = cut_lineage(out)
+    # a bracket of the sketch holds this share of its group at most
+    held = F.when(F.col("_n") <= SKETCH, F.col("_n")).otherwise(F.col("_n") * F.lit(4 * margin))
+    wide, settled = out.where(held > BRACKET_ROWS), out.where(held <= BRACKET_ROWS)
+    while not wide.isEmpty():
+        narrowed = cut_lineage(_narrowed(values, wide, probs, by))
+        moved = F.lit(False)
+        for lo, hi in names:
+            moved = moved | F.col(f"_moved{lo}")
+        done = ~(F.col("_wide") & moved)
+        settled = settled.unionByName(narrowed.where(done).select(*out.columns))
+        wide = narrowed.where(~done).select(*out.columns)
+    return settled
+
+
+def _narrowed(values: DataFrame, wide: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
+    """The brackets of wide groups after one counting round; _wide: some still held too many rows before it."""
+    names, steps = _bracket_names(probs), [k / GRID for k in range(GRID + 1)]
+    rows = values.join(wide, by)
+    inside = [F.col("_v").between(F.col(lo), F.col(hi)) for lo, hi in names]
+    counted = rows.groupBy(*by).agg(
+        F.first("_n").alias("_n"),
+        *[a for i, (lo, hi) in enumerate(names) for a in (
+            F.first(lo).alias(lo), F.first(hi).alias(hi),
+            F.count_if(F.col("_v") < F.col(lo)).alias(f"_b{i}"), F.count_if(inside[i]).alias(f"_m{i}"),
+            F.percentile_approx(F.when(inside[i], F.col("_v")), steps, SKETCH).alias(f"_g{i}"))])
+    still, columns = F.lit(False), []
+    for i, (p, (lo, hi)) in enumerate(zip(probs, names)):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        full = (F.col(f"_m{i}") > BRACKET_ROWS) & (F.col(lo) < F.col(hi))
+        at = lambda rank, i=i: GRID * (rank - F.col(f"_b{i}")) / F.col(f"_m{i}")
+        slack = 1 + F.ceil(2 * GRID / F.col(f"_m{i}"))  # more than the sketch's error, and two rows at least
+        low = F.greatest(F.lit(0), F.floor(at(F.floor(h))) - slack).cast("int")
+        high = F.least(F.lit(GRID), F.ceil(at(F.ceil(h) + 1)) + slack).cast("int")
+        new_lo = F.when(full & (low > 0), F.get(f"_g{i}", low)).otherwise(F.col(lo))
+        new_hi = F.when(full & (high < GRID), F.get(f"_g{i}", high)).otherwise(F.col(hi))
+        still = still | full
+        columns += [new_lo.alias(lo), new_hi.alias(hi), ((new_lo > F.col(lo)) | (new_hi < F.col(hi))).alias(f"_moved{lo}")]
+    return counted.select(*by, "_n", *columns, still.alias("_wide"))
+
+
 def grouped_quantiles(
     df: DataFrame, value: str, probs: dict[str, float], by: list[str]
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one column per name in ``probs``.
 
-    A sketch per group brackets every quantile; rows outside the brackets collapse to one
-    counted row per gap on the map side, so a group that holds a third of the table sends
-    only its bracket rows through the sort.
+    Brackets (``group_brackets``) hold few rows each. Rows below one collapse to a count on the map side, rows
+    above it are dropped, and only the bracket's rows are sorted, each bracket of each group by itself: a group
+    that holds a third of the table is split like any other.
     """
     v = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    margin = 5.0 / SKETCH
-    points = [q for p in probs.values() for q in (max(0.0, p - margin), min(1.0, p + margin))]
-    edges = v.groupBy(*by).agg(F.percentile_approx("_v", points, SKETCH).alias("_e"))
-    x = v.join(edges, by)
-    pairs = [(F.col("_e")[2 * i], F.col("_e")[2 * i + 1]) for i in range(len(probs))]
-    zone, held = F.lit(0), F.lit(False)
-    for lo, hi in pairs:
-        zone = zone + (F.col("_v") >= lo).cast("int") + (F.col("_v") > hi).cast("int")
-        held = held | F.col("_v").between(lo, hi)
+    points = list(probs.values())
+    x = v.join(group_brackets(v, points, by), by)
+    seen = F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.when(F.col("_v") >= F.col(lo), F.col("_v")).alias("_k"), (F.col("_v") <= F.col(hi)).alias("_in"))
+        for i, (lo, hi) in enumerate(_bracket_names(points))])
     counts = (
-        x.select(*by, "_v", zone.alias("_z"), F.when(held, F.col("_v")).alias("_k"))
-        .groupBy(*by, "_z", "_k")
-        .agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    )
-    w = W.partitionBy(*by).orderBy("_z", "_k")
-    start = F.coalesce(
-        F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+        x.select(*by, "_n", F.inline(F.filter(seen, lambda s: s["_in"])))
+        .groupBy(*by, "_n", "_i", "_k").agg(F.count("*").alias("_c"))
     )
-    at = counts.withColumn("_s", start).withColumn("_total", F.sum("_n").over(W.partitionBy(*by)))
-    s, n = F.col("_s"), F.col("_n")
-
-    def value_at(rank: Column) -> Column:
-        inside = (rank >= s) & (rank < s + n)
-        return F.max(
-            F.when(inside & (rank == s), F.col("_lo"))
-            .when(inside & (rank == s + n - 1), F.col("_hi"))
-            .when(inside & F.col("_k").isNotNull(), F.col("_lo"))
-            .when(inside, F.raise_error(F.lit("quantile fell outside its bracket")).cast("double"))
-        )
-
+    w = W.partitionBy(*by, "_i").orderBy(F.col("_k").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    at = counts.withColumn("_s", F.coalesce(F.sum("_c").over(w), F.lit(0)))
     aggs = []
-    for name, p in probs.items():
-        h = (F.col("_total") - 1) * F.lit(float(p))
-        aggs += [
-            value_at(F.floor(h)).alias(f"_f_{name}"),
-            value_at(F.ceil(h)).alias(f"_c_{name}"),
-            F.max(h - F.floor(h)).alias(f"_w_{name}"),
-        ]
-    picked = at.groupBy(*by).agg(*aggs)
-    return picked.select(
-        *by,
-        *[
-            _interpolate(F.col(f"_f_{n}"), F.col(f"_c_{n}"), F.col(f"_w_{n}")).alias(n)
-            for n in probs
-        ],
-    )
+    for i, (name, p) in enumerate(probs.items()):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        for label, rank in (("f", F.floor(h)), ("c", F.ceil(h))):
+            held = (F.col("_i") == i) & F.col("_k").isNotNull() & (rank >= F.col("_s")) & (rank < F.col("_s") + F.col("_c"))
+            aggs.append(F.max(F.when(held, F.col("_k"))).alias(f"_{label}_{name}"))
+        aggs.append(F.max(h - F.floor(h)).alias(f"_w_{name}"))
+    outside = F.raise_error(F.lit("quantile fell outside its bracket")).cast("double")
+    found = lambda c: F.coalesce(F.col(c), outside)
+    return at.groupBy(*by).agg(*aggs).select(
+        *by, *[_interpolate(found(f"_f_{n}"), found(f"_c_{n}"), F.col(f"_w_{n}")).alias(n) for n in probs])

@@ -10,9 +10,10 @@ from tallywork.functions import dist
 from tallywork.operators.means import (
     _attach, check_alternative, complete_pairs, labelled, refuse,
 )
-from tallywork.operators.ordering import average_ranks, exact_quantiles, grouped_quantiles
-
-EXACT_OTHER = 2000  # exact U distribution only while the other sample is at most this long
+from tallywork.operators.ordering import (
+    average_ranks, exact_quantiles, grouped_quantiles, range_bounds, with_range,
+)
+from tallywork.session import cut_lineage
 
 
 def group_ranks(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -81,7 +82,7 @@ def mannwhitney(df, column, group_by, alternative="two-sided", by=()) -> DataFra
         F.expr("least(n1, n2) < 2"), "mannwhitney: every group needs two values", by, F.col("statistic")))
     row = row.selectExpr("*", "CAST(n1 AS DOUBLE) * n2 AS pairs", "CAST(n1 + n2 AS DOUBLE) AS m")
     row = row.withColumn("sd", F.expr("sqrt(pairs / 12 * (m + 1 - ties / (m * (m - 1))))"))
-    exact = F.expr(f"least(n1, n2) <= 8 AND greatest(n1, n2) <= {EXACT_OTHER} AND ties = 0")
+    exact = F.expr("least(n1, n2) <= 8 AND ties = 0")
     toward = {
         "two-sided": "greatest(statistic, pairs - statistic)", "greater": "statistic",
         "less": "pairs - statistic"}[alternative]
@@ -100,77 +101,144 @@ def mannwhitney(df, column, group_by, alternative="two-sided", by=()) -> DataFra
         F.expr("median1 - median2").alias("median_difference"))
 
 
-PAIR_CAP = 4_000_000
+# Distinct values of one side that a task holds; thresholds tried in one pass.
+SIDE_ROWS, STEPS = 50_000, 64
+
+
+def first_at_most(x: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    """For each x the first place in the rising ``b`` from which on x - b <= t, as the machine subtracts."""
+    at = np.searchsorted(b, x - t, side="left")
+    while True:
+        back = (at > 0) & (x - b[np.maximum(at - 1, 0)] <= t)
+        on = (at < b.size) & (x - b[np.minimum(at, b.size - 1)] > t)
+        if not back.any() and not on.any():
+            return at
+        at = at - back + (on & ~back)
+
+
+def _block_counts(steps: list[float]):
+    """Pairs of one block at or below each threshold, and the nearest differences to either side of it."""
+
+    def run(left, right):
+        import decimal
+
+        import pandas as pd
+
+        left, right = left.sort_values("x"), right.sort_values("y")
+        x, w = left["x"].to_numpy(), left["w"].to_numpy(np.int64)
+        b = right["y"].to_numpy()
+        after = np.append(np.cumsum(right["v"].to_numpy(np.int64)[::-1])[::-1], 0)
+        rows = []
+        for i, t in enumerate(steps):
+            at = first_at_most(x, b, t)
+            n = after[at]
+            total = (int((w * (n >> 20)).sum()) << 20) + int((w * (n & 0xFFFFF)).sum())  # products pass 64 bits
+            le = np.where(at < b.size, x - b[np.minimum(at, b.size - 1)], -np.inf).max(initial=-np.inf)
+            gt = np.where(at > 0, x - b[np.maximum(at - 1, 0)], np.inf).min(initial=np.inf)
+            rows.append((i, decimal.Decimal(total), float(le), float(gt)))
+        return pd.DataFrame(rows, columns=["i", "n", "le", "gt"])
+
+    return run
+
+
+class Differences:
+    """All differences of two samples, never built: how many lie at or below a threshold.
+
+    Each side is one row per distinct value, cut into ranges of bounded rows. Of two ranges either all differences
+    lie to one side of a threshold, which their ends tell, or the pair of ranges is a block for one task. For
+    thresholds close together the blocks follow a staircase: their number grows with the ranges, not their square.
+    One row per range goes through the driver.
+    """
+
+    def __init__(self, first: DataFrame, second: DataFrame, distinct: tuple[int, int]):
+        self.spark, self.sides, self.spans = first.sparkSession, [], []
+        for side, n in zip((first, second), distinct):
+            ranges = -(-n // SIDE_ROWS)
+            cut = cut_lineage(with_range(side, "x", range_bounds(side, "x", ranges)) if ranges > 1 else side.withColumn("_b", F.lit(0)))
+            spans = cut.groupBy("_b").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("w").alias("w")).orderBy("_b").collect()
+            self.sides.append(cut)
+            self.spans.append([np.array([r[c] for r in spans]) for c in ("_b", "lo", "hi")] + [[int(r["w"]) for r in spans]])
+        self.after = [0]
+        for w in reversed(self.spans[1][3]):
+            self.after.append(self.after[-1] + w)
+        self.after.reverse()
+
+    def stairs(self, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each range of the first side: its blocks are the second side's ranges from .. up to the second number."""
+        (_, a_lo, a_hi, _), (_, b_lo, b_hi, _) = self.spans
+        return first_at_most(a_lo, b_hi, t), first_at_most(a_hi, b_lo, t)
+
+    def between(self, t: float) -> tuple[int, int]:
+        """Bounds of the number of differences at or below ``t``, from the ranges' ends alone."""
+        some, every = self.stairs(t)
+        weights = self.spans[0][3]
+        return tuple(sum(w * self.after[j] for w, j in zip(weights, ends.tolist())) for ends in (every, some))
+
+    def counts(self, steps: list[float]):
+        """Per threshold: differences at or below it, the largest of them, and the smallest above it."""
+        (a_no, a_lo, a_hi, weights), (b_no, b_lo, b_hi, _) = self.spans
+        some, every = self.stairs(max(steps))[0], self.stairs(min(steps))[1]
+        full = sum(w * self.after[j] for w, j in zip(weights, every.tolist()))
+        le = max((a_hi[i] - b_lo[j] for i, j in enumerate(every) if j < len(b_lo)), default=-np.inf)
+        gt = min((a_lo[i] - b_hi[j - 1] for i, j in enumerate(some) if j > 0), default=np.inf)
+        blocks = [(int(a_no[i]), int(b_no[j])) for i in range(len(a_no)) for j in range(some[i], every[i])]
+        got = {}
+        if blocks:
+            pairs = self.spark.createDataFrame(blocks, "_p int, _q int")
+            left, right = (
+                side.join(pairs, F.col("_b") == F.col(own)).select("_p", "_q", "x", "w") for side, own in zip(self.sides, ("_p", "_q")))
+            right = right.toDF("_p2", "_q2", "y", "v")  # both sides come from one frame
+            parts = left.groupBy("_p", "_q").cogroup(right.groupBy("_p2", "_q2")).applyInPandas(
+                _block_counts(steps), "i int, n decimal(38,0), le double, gt double")
+            rows = parts.groupBy("i").agg(F.sum("n").alias("n"), F.max("le").alias("le"), F.min("gt").alias("gt")).collect()
+            got = {r["i"]: (int(r["n"]), r["le"], r["gt"]) for r in rows}
+        none = (0, -np.inf, np.inf)
+        return [(t, full + got.get(i, none)[0], max(le, got.get(i, none)[1]), min(gt, got.get(i, none)[2])) for i, t in enumerate(steps)]
+
+    def nth(self, k: int) -> float:
+        """The k-th smallest difference, k from 1."""
+        lo = float(self.spans[0][1].min() - self.spans[1][2].max()) - 1.0
+        hi = float(self.spans[0][2].max() - self.spans[1][1].min())
+        ends = []
+        for side in (1, 0):  # how far the ranges' ends alone lead: up to lo fewer than k, up to hi at least k
+            low, high = lo, hi
+            for _ in range(60):
+                t = low + (high - low) / 2
+                low, high = (t, high) if self.between(t)[side] < k else (low, t)
+            ends.append(low if side else high)
+        lo, hi = ends
+        while True:
+            steps = [float(t) for t in np.unique(np.append(np.linspace(lo, hi, STEPS + 2)[1:-1], [lo, hi]))]
+            got = self.counts(steps)
+            below, above = [r for r in got if r[1] < k], [r for r in got if r[1] >= k]
+            if below and above and below[-1][3] >= above[0][2]:
+                return above[0][2]
+            new = below[-1][0] if below else lo, above[0][0] if above else hi
+            if new == (lo, hi):
+                return above[0][2] if above else below[-1][3]
+            lo, hi = new
 
 
 def hodges_lehmann(df, column, group_by) -> DataFrame:
-    """Median of all pairwise differences (first label minus second); null above the cap.
+    """Median of all pairwise differences (first label minus second), however many pairs there are.
 
-    The pairs are never built. The smaller group has at most 2 000 values under the cap and
-    travels to the tasks as a sorted list; each pass over the larger group counts, by binary
-    search, the pairs at or below a ladder of thresholds, until two neighbours remain.
+    The differences are an implicit sorted matrix: each pass counts those at or below a ladder of thresholds
+    (``Differences``) until two neighbours remain around the wanted rank.
     """
     spark = df.sparkSession
-    rows = labelled(df, group_by, column)
-    sizes = {r["g"]: r["count"] for r in rows.groupBy("g").count().limit(3).collect()}
-    schema = "n1 long, n2 long, shift double"
+    held = cut_lineage(labelled(df, group_by, column).groupBy("g", "x").agg(F.count("*").alias("w")))
+    sizes = {r["g"]: r for r in held.groupBy("g").agg(F.sum("w").alias("n"), F.count("*").alias("k")).limit(3).collect()}
     if len(sizes) != 2:
         raise Refusal("hodges_lehmann: needs exactly two groups")
-    first, second = sorted(sizes)
-    pairs = sizes[first] * sizes[second]
-    if pairs > PAIR_CAP:
-        return spark.createDataFrame([(sizes[first], sizes[second], None)], schema)
-    small_label = min(sizes, key=lambda k: (sizes[k], k))
-    small = np.sort([r["x"] for r in rows.where(F.col("g") == small_label).select("x").collect()])
-    sign = 1.0 if small_label == second else -1.0  # differences are large minus small, signed
-    large = rows.where(F.col("g") != small_label).select("x")
-
-    def pass_over(steps):
-        def count(batches):
-            import pandas as pd
-
-            total = np.zeros(len(steps))
-            best_le = np.full(len(steps), -np.inf)
-            best_gt = np.full(len(steps), np.inf)
-            for pdf in batches:
-                x = pdf["x"].to_numpy()
-                for i, t in enumerate(steps):
-                    # pairs with x - s <= t are those with s >= x - t
-                    at = np.searchsorted(small, x - t, side="left")
-                    d_le = x - small[np.minimum(at, small.size - 1)]
-                    d_gt = x - small[np.maximum(at - 1, 0)]
-                    total[i] += float((small.size - at).sum())
-                    best_le[i] = max(best_le[i], np.where(at < small.size, d_le, -np.inf).max(initial=-np.inf))
-                    best_gt[i] = min(best_gt[i], np.where(at > 0, d_gt, np.inf).min(initial=np.inf))
-            yield pd.DataFrame({"i": range(len(steps)), "n": total, "le": best_le, "gt": best_gt})
-
-        parts = large.mapInPandas(count, "i int, n double, le double, gt double")
-        got = parts.groupBy("i").agg(F.sum("n").alias("n"), F.max("le").alias("le"), F.min("gt").alias("gt"))
-        return sorted(got.collect(), key=lambda r: r["i"])
-
-    def nth(k):
-        """k-th smallest difference, k from 1."""
-        x_lo, x_hi = large.agg(F.min("x"), F.max("x")).first()
-        lo, hi = x_lo - small[-1] - 1.0, x_hi - small[0]
-        while True:
-            steps = [float(t) for t in np.unique(np.linspace(lo, hi, 66)[1:-1])]
-            got = pass_over(steps)
-            below = [r for r in got if r["n"] < k]
-            above = [r for r in got if r["n"] >= k]
-            if below and (not above or below[-1]["gt"] >= above[0]["le"]):
-                return below[-1]["gt"]
-            if not below and above and above[0]["n"] == k:
-                return above[0]["le"]
-            new_lo = steps[below[-1]["i"]] if below else lo
-            new_hi = steps[above[0]["i"]] if above else hi
-            if (new_lo, new_hi) == (lo, hi):
-                return above[0]["le"] if above else below[-1]["gt"]
-            lo, hi = new_lo, new_hi
-
-    lower = nth((pairs + 1) // 2)
-    upper = lower if pairs % 2 else nth(pairs // 2 + 1)
-    return spark.createDataFrame(
-        [(sizes[first], sizes[second], float(sign * (lower + upper) / 2))], schema)
+    labels = sorted(sizes)
+    sides = [held.where(F.col("g") == label).select("x", "w") for label in labels]
+    both = Differences(*sides, tuple(sizes[label]["k"] for label in labels))
+    n1, n2 = (sizes[label]["n"] for label in labels)
+    lower = upper = both.nth((n1 * n2 + 1) // 2)
+    if n1 * n2 % 2 == 0:
+        _, n, _, above = both.counts([lower])[0]
+        upper = lower if n > n1 * n2 // 2 else above
+    return spark.createDataFrame([(n1, n2, float((lower + upper) / 2))], "n1 long, n2 long, shift double")
 
 
 def wilcoxon(df, column, column2, alternative="two-sided", by=()) -> DataFrame:

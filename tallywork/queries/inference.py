@@ -132,6 +132,17 @@ def _(spark, d):
     return rounded(out.select("group1", "group2", "difference", "q"))
 
 
+@query("tukey_many_groups",
+       "WITH m AS (SELECT CAST(o_custkey % 250 AS VARCHAR) AS g, count(*) AS n, avg(o_totalprice) AS mean, var_samp(o_totalprice) AS v "
+       "FROM orders GROUP BY 1 HAVING count(*) > 1), e AS (SELECT sum((n - 1) * v) / (sum(n) - count(*)) AS msw FROM m) "
+       "SELECT a.g AS group1, b.g AS group2, round(a.mean - b.mean, 4) AS difference, "
+       "round(abs(a.mean - b.mean) / sqrt(msw / 2 * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)), 6) AS q FROM m a JOIN m b ON a.g < b.g, e")
+def _(spark, d):
+    df = table(spark, d, "orders").withColumn("g", F.expr("o_custkey % 250"))
+    out = m.tukey_hsd(df, "o_totalprice", "g")
+    return rounded(out.select("group1", "group2", "difference", "q"), 6, difference=4)
+
+
 RANKED = ("WITH k AS (SELECT {g} AS g, {x} AS x, rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0::DOUBLE "
           "AS rk FROM {t}), s AS (SELECT g, count(*) AS n, sum(rk) AS rs, quantile_cont(x, 0.5) AS med FROM k GROUP BY g), "
           "t AS (SELECT sum(CAST(c AS DOUBLE) * c * c - c) AS ties FROM (SELECT count(*) AS c FROM k GROUP BY x)) ")
@@ -173,6 +184,30 @@ def _(spark, d):
     return rounded(r.hodges_lehmann(df, "s_acctbal", "g"), 4)
 
 
+@query("hodges_lehmann_orders",
+       f"WITH r AS (SELECT {PARITY} AS g, o_totalprice AS x FROM orders) SELECT "
+       "(SELECT count(*) FROM r WHERE g = 'even') AS n1, (SELECT count(*) FROM r WHERE g = 'odd') AS n2, "
+       "round(quantile_cont(p.x - q.x, 0.5), 4) AS shift FROM r p, r q WHERE p.g = 'even' AND q.g = 'odd'")
+def _(spark, d):
+    return rounded(r.hodges_lehmann(orders(spark, d), "o_totalprice", "parity"), 4)
+
+
+# three values against all others: every triple of ranks is one arrangement
+FEW = "CASE WHEN s_suppkey <= 3 THEN 'few' ELSE 'rest' END"
+
+
+@query("mannwhitney_exact",
+       f"WITH k AS (SELECT {FEW} AS g, s_acctbal AS x, row_number() OVER (ORDER BY s_acctbal) AS rk FROM supplier), "
+       "u AS (SELECT sum(rk) FILTER (g = 'few') - 6 AS u, count(*) FILTER (g = 'few') AS n1, count(*) FILTER (g = 'rest') AS n2 FROM k), "
+       "w AS (SELECT a.rk + b.rk + c.rk - 6 AS v FROM k a JOIN k b ON a.rk < b.rk JOIN k c ON b.rk < c.rk) "
+       "SELECT 'few' AS group1, 'rest' AS group2, n1, n2, CAST(u AS DOUBLE) AS statistic, 'exact' AS method, "
+       "round(least(1.0::DOUBLE, 2.0::DOUBLE * count(*) FILTER (v >= greatest(u, n1 * n2 - u)) / count(*)), 10) AS p_value FROM w, u GROUP BY ALL")
+def _(spark, d):
+    df = table(spark, d, "supplier").withColumn("g", F.expr(FEW))
+    out = r.mannwhitney(df, "s_acctbal", "g")
+    return rounded(out.select("group1", "group2", "n1", "n2", "statistic", "method", "p_value"), 10)
+
+
 @query("wilcoxon",
        with_messy("").rstrip() + ", p AS (SELECT price / 1000 - 2.5 * Progress AS d FROM messy WHERE price IS NOT NULL), "
        "k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS rk FROM p WHERE d <> 0) "

@@ -158,10 +158,39 @@ def test_hodges_lehmann_brute_force(spark, n1, n2):
     assert r.hodges_lehmann(df, "x", "g").first()["shift"] == pytest.approx(want)
 
 
-def test_hodges_lehmann_is_null_above_the_cap(spark, monkeypatch):
-    monkeypatch.setattr(r, "PAIR_CAP", 5)
-    df = spark.createDataFrame([("a", float(v)) for v in range(3)] + [("b", float(v)) for v in range(3)], "g string, x double")
-    assert r.hodges_lehmann(df, "x", "g").first()["shift"] is None
+@pytest.mark.parametrize("kind", ["smooth", "ties", "wild"])
+def test_hodges_lehmann_in_many_ranges(spark, monkeypatch, kind):
+    """Both sides are cut in ranges; values repeat, or lie many powers of ten apart."""
+    monkeypatch.setattr(r, "SIDE_ROWS", 40)
+    monkeypatch.setattr(r, "STEPS", 6)
+    rng = random.Random(kind)
+    draw = {"smooth": lambda: rng.gauss(0, 5), "ties": lambda: float(rng.choice([0, 0, 0, 1, 2, 3.5, rng.randint(0, 300)])),
+            "wild": lambda: rng.choice([-1, 1]) * 10 ** rng.uniform(-9, 9)}[kind]
+    a, bb = [draw() for _ in range(300)], [draw() + 1 for _ in range(501)]
+    df = spark.createDataFrame([("a", v) for v in a] + [("b", v) for v in bb], "g string, x double").repartition(3)
+    want = float(np.median(np.subtract.outer(a, bb)))
+    assert r.hodges_lehmann(df, "x", "g").first()["shift"] == pytest.approx(want, rel=1e-12)
+
+
+def test_hodges_lehmann_counts_weighted_pairs(spark):
+    """A hundred thousand copies on either side are one value each: 10^10 pairs."""
+    rows = spark.range(200_001).selectExpr(
+        "CASE WHEN id < 100000 THEN 'a' ELSE 'b' END AS g", "CASE WHEN id < 99990 THEN 7.0 WHEN id < 100000 THEN id WHEN id < 200000 THEN 4.5 ELSE -3.0 END AS x")
+    row = r.hodges_lehmann(rows, "x", "g").first()
+    assert (row["n1"], row["n2"], row["shift"]) == (100_000, 100_001, 2.5)
+
+
+def test_mannwhitney_exact_with_a_long_second_sample(spark):
+    """Three against three thousand: the p-value counts all triples of ranks."""
+    few = [10.5, 2900.5, 2999.5]
+    df = spark.createDataFrame([("a", v) for v in few] + [("b", float(v)) for v in range(3000)], "g string, x double")
+    row = r.mannwhitney(df, "x", "g", alternative="greater").first()
+    u, n = int(row["statistic"]), 3000
+    below = 0  # partitions of at most u - 1 into three parts of at most n
+    for a in range(min(n, u - 1) + 1):
+        b = np.arange(0, min(a, u - 1 - a) + 1)
+        below += int(np.maximum(0, np.minimum(b, u - 1 - a - b) + 1).sum())
+    assert row["method"] == "exact" and row["p_value"] == pytest.approx(1 - below / math.comb(n + 3, 3), rel=1e-9)
 
 
 def test_wilcoxon(spark):
@@ -202,6 +231,28 @@ def test_kendall_brute_force(spark, span, hot):
     assert b.kendall(df, "x", "y").first()["r"] == pytest.approx(tau_b(x, y), rel=1e-12)
 
 
+def test_kendall_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(b, "BLOCK_ROWS", 13)
+    rng = random.Random(77)
+    x = [7 if i % 3 == 0 else rng.randint(0, 60) for i in range(500)]
+    y = [v // 2 + rng.randint(0, 50) for v in x]
+    df = spark.createDataFrame(list(zip(map(float, x), map(float, y))), "x double, y double").repartition(4)
+    assert b.kendall(df, "x", "y").first()["r"] == pytest.approx(tau_b(x, y), rel=1e-12)
+
+
+def test_kendall_exact_for_one_discordant_pair_of_many(spark):
+    y = list(range(40))
+    y[10], y[11] = y[11], y[10]
+    df = spark.createDataFrame([(float(i), float(v)) for i, v in enumerate(y)], "x double, y double")
+    row = b.kendall(df, "x", "y").first()
+    assert row["r"] == pytest.approx(1 - 4 / (40 * 39)) and row["p_value"] == pytest.approx(2 / math.factorial(39), rel=1e-9)
+
+
+def test_tukey_has_no_cap_on_groups(spark):
+    df = spark.range(3000).selectExpr("id % 250 AS g", "(id * 7919 % 101) * 1.0 AS x")
+    assert m.tukey_hsd(df, "x", "g").select("q").count() == 250 * 249 // 2
+
+
 # ------------------------------------------------------------------------------ counts
 
 

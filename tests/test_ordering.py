@@ -41,6 +41,33 @@ def test_grouped_quantiles(frame, monkeypatch, sketch):
         np.testing.assert_allclose([got[g][n] for n in names], want)
 
 
+def test_grouped_quantiles_with_a_hot_group(spark, monkeypatch):
+    """Brackets are narrowed until each holds few rows or one value, and the answer stays exact."""
+    monkeypatch.setattr(o, "SKETCH", 400)
+    monkeypatch.setattr(o, "BRACKET_ROWS", 25)
+    rng = random.Random(3)
+    rows = [("hot", rng.gauss(0, 1)) for _ in range(6000)] + [("ties", float(rng.randrange(3))) for _ in range(4000)]
+    rows += [("two", float(i % 2)) for i in range(1000)] + [("small", rng.random()) for _ in range(9)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(6)
+    names = {f"q{i}": p for i, p in enumerate(PROBS)}
+    got = {r["g"]: r for r in o.grouped_quantiles(df, "x", names, ["g"]).collect()}
+    for g in ("hot", "ties", "two", "small"):
+        np.testing.assert_allclose([got[g][n] for n in names], np.quantile([x for h, x in rows if h == g], PROBS))
+    v = df.select("g", F.col("x").alias("_v"))
+    for r in o.group_brackets(v, PROBS, ["g"]).collect():
+        own = np.array([x for h, x in rows if h == r["g"]])
+        for i in range(len(PROBS)):
+            inside = own[(own >= r[f"_lo{i}"]) & (own <= r[f"_hi{i}"])]
+            assert len(inside) <= 25 or len(set(inside)) <= 3
+
+
+def test_no_group_is_sorted_as_a_whole(spark):
+    df = spark.createDataFrame([("abc"[i % 3], float(i % 101)) for i in range(3000)], "g string, x double")
+    plan = o.grouped_quantiles(df, "x", {"m": 0.5}, ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window" in line]
+    assert windows and all("_i#" in line.split("[")[2] for line in windows)
+
+
 def test_grouped_quantiles_of_tiny_groups(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("b", 2.0), ("c", None)], "g string, x double")
     got = {r["g"]: r["m"] for r in o.grouped_quantiles(df, "x", {"m": 0.5}, ["g"]).collect()}
