@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, types as T, Window as W
 
 from tallywork.llm.common import mixed, only_cells, pieces, slices, take, trim, written
 from tallywork.llm.components import components
@@ -310,30 +310,51 @@ def family_blocks(classes: DataFrame) -> DataFrame:
     return out.distinct().withColumn("query", F.lit(False))
 
 
+def least_shared(n: str, low: str, high: str, percent: int) -> Column:
+    """Looked-up tokens that a set of ``n`` shares at least with a similar one of ``low`` to ``high`` tokens.
+
+    Similar sets of n and m tokens share at least a = percent * (n + m) / (100 + percent). Behind the looked-up tokens
+    of the set whose last one comes first in the order, at most ceil(percent * max(n, m) / 100) - 1 are left. The
+    difference grows with m up to n and falls beyond, so its smallest value is at an end of the sizes. ``low`` and
+    ``high`` differ between tokens, but the sizes at a token include those of the members that hold it: the smallest
+    bound of the tokens met is no higher than that of a similar member.
+    """
+    n, low, high = F.col(n), F.col(low), F.col(high)
+    below = F.greatest(low, F.ceil(percent * n / 100.0 - 1e-6))
+    under = F.ceil(percent * (n + below) / (100.0 + percent) - 1e-6) - F.ceil(percent * n / 100.0 - 1e-6) + 1
+    above = F.least(high, F.floor(100.0 * n / percent + 1e-6))
+    over = F.floor(percent * (n + above) / (100.0 + percent) - percent * above / 100.0 - 1e-6) + 1
+    return F.least(F.when(low <= n, under), F.when(high > n, over))
+
+
 def matrix_blocks(postings: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """block, cid, query: the parts of groups that each class meets, with the classes that meet them."""
     alone = W.partitionBy("token")
     shared = postings.withColumn("_a", F.min("cid").over(alone)).withColumn("_b", F.max("cid").over(alone))
     shared = shared.where("_a <> _b").select("token", "cid").distinct()
-    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / PART).alias("parts")).withColumnRenamed("root", "_root")
+    sizes = roots.groupBy("root").agg(F.ceil(F.count("*") / PART).alias("parts"), F.count("*").alias("size")).withColumnRenamed("root", "_root")
     part = F.xxhash64("root", F.pmod(F.xxhash64("node"), F.col("parts")))
     placed = cut_lineage(roots.join(sizes, F.col("root") == F.col("_root")).select(
-        F.col("node").alias("_node"), "root", part.alias("part")))
+        F.col("node").alias("_node"), "root", part.alias("part"), "size"))
     own = shared.join(classes.select(F.col("cid").alias("_cid"), "n"), F.col("cid") == F.col("_cid"))
     own = own.join(placed, F.col("cid") == F.col("_node"), "left")
-    own = cut_lineage(own.select(
-        "token", "cid", "n", F.coalesce("root", "cid").alias("root"), F.coalesce("part", "cid").alias("part")))
+    own = own.select("token", "cid", "n", F.coalesce("root", "cid").alias("root"), F.coalesce("part", "cid").alias("part"),
+                     F.coalesce("size", F.lit(1).cast("long")).alias("size"))
+    # only tokens of several groups can link across; k of them is the most that a class shares with any other group
+    own = own.withColumn("_a", F.min("root").over(alone)).withColumn("_b", F.max("root").over(alone)).where("_a <> _b")
+    own = cut_lineage(own.withColumn("k", F.count("*").over(W.partitionBy("cid"))).drop("_a", "_b"))
     matrix = own.groupBy(F.col("token").alias("_token"), "part", F.col("root").alias("_root")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high"))
-    queries = own.select("token", "cid", "n", "root")
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("k").alias("_k"), F.max("size").alias("_size"))
+    queries = own.select("token", "cid", "n", "root", "k", "size")
+    # Classes of the smaller group (by size, then root) look up parts of the larger one, so that a large family is
+    # met part by part and its members do not each ask for every outsider.
+    asks = (F.col("size") < F.col("_size")) | ((F.col("size") == F.col("_size")) & (F.col("root") < F.col("_root")))
+    least = least_shared("n", "low", "high", percent)
+    # A similar member shares at least its own bound of tokens, so neither side's k can be below the bound of a token
+    # that this member holds: such tokens all stay, and pairs of groups that only share a passage never meet.
     met = queries.join(matrix, F.col("token") == F.col("_token")).where(
-        (F.col("root") != F.col("_root")) & (F.col("low") <= F.col("n")) & (100 * F.col("high") >= percent * F.col("n")))
-    # Similar sets of n >= m tokens share at least a = percent * (n + m) / (100 + percent). Behind the looked-up
-    # tokens of the set whose last one comes first in the order, at most ceil(percent * n / 100) - 1 are left.
-    # `low` differs between tokens; those of a similar member have its size or a smaller one as `low`, so the
-    # smallest bound of the tokens met is no higher than that member's.
-    m = F.greatest(F.col("low"), F.ceil(percent * F.col("n") / 100))
-    least = F.ceil(percent * (F.col("n") + m) / (100.0 + percent) - 1e-6) - F.ceil(percent * F.col("n") / 100.0 - 1e-6) + 1
+        (F.col("root") != F.col("_root")) & asks & (percent * F.col("low") <= 100 * F.col("n")) & (100 * F.col("high") >= percent * F.col("n"))
+        & (least <= F.least("k", "_k")))
     met = met.groupBy("cid", "part").agg(F.count("*").alias("c"), F.min(least).alias("least"))
     met = cut_lineage(met.where("c >= least").select("cid", "part"))
     crowd = cut_lineage(met.groupBy(F.col("part").alias("_part")).agg(F.ceil(F.count("*") / BLOCK).alias("chunks")))
