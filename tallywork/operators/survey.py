@@ -15,6 +15,7 @@ from tallywork.functions import dist
 from tallywork.functions.cells import number, quoted
 from tallywork.operators.means import _attach
 from tallywork.operators.ordering import running_sums
+from tallywork.session import cut_lineage
 
 
 @dataclass
@@ -236,8 +237,6 @@ def subpopulation_estimate(
 
 # --------------------------------------------------------------------------- crosstab
 
-MAX_CELLS = 100
-
 
 def _crosstab_design(df, row, column, weights, strata, cluster, fpc) -> Design:
     if row == column:
@@ -252,11 +251,12 @@ def weighted_crosstab_cells(df, row, column, weights, strata=None, cluster=None,
     design = _crosstab_design(df, row, column, weights, strata, cluster, fpc)
     cells = design.rows.groupBy("r", "c").agg(
         F.sum("w").alias("weighted_count"), F.count("*").alias("unweighted_count"))
-    share = lambda *k: F.col("weighted_count") * 100 / F.sum("weighted_count").over(W.partitionBy(*k))
+    total = F.lit(float(design.rows.agg(F.sum("w")).first()[0]))
+    share = lambda k: F.col("weighted_count") * 100 / F.sum("weighted_count").over(W.partitionBy(k))
     return cells.select(
         F.col("r").alias(row), F.col("c").alias(column), "weighted_count", "unweighted_count",
         share("r").alias("row_percent"), share("c").alias("column_percent"),
-        share().alias("total_percent"))
+        (F.col("weighted_count") * 100 / total).alias("total_percent"))
 
 
 def indicator_effects(design: Design) -> DataFrame:
@@ -289,58 +289,53 @@ def indicator_effects(design: Design) -> DataFrame:
     whole = t.groupBy("h").agg(F.sum(F.expr("t * t")).alias("tt"), F.sum("t").alias("t")).join(
         design.strata, "h")
     total = F.lit(float(t.agg(F.sum("t")).first()[0]))
+    # A stratum without a row of the indicator adds q² of its own spread. So the spread of all strata is one number,
+    # and only strata that have rows of the indicator are met with it.
+    bessel = F.col("n_h") / (F.col("n_h") - 1) * (1.0 - design.fpc)
+    spread_all = F.lit(float(whole.agg(F.sum(bessel * F.expr("tt - t * t / n_h"))).first()[0]))
     shares = per.groupBy(*key).agg((F.sum("z") / total).alias("q"))
-    # strata without a row of the indicator still count: bring every stratum to every indicator
-    full = _every(shares, whole).join(
-        per.select(*[F.coalesce(F.col(k), F.lit("")).alias(f"_{k}") for k in key], "h", "zz", "zt",
-                   F.col("z").alias("zs")), [*[f"_{k}" for k in key], "h"], "left")
-    full = full.fillna(0.0, ["zz", "zt", "zs"])
-    s2 = F.expr("zz - 2 * q * zt + q * q * tt")
-    s1 = F.expr("zs - q * t")
-    part = F.col("n_h") / (F.col("n_h") - 1) * (s2 - s1 * s1 / F.col("n_h")) * (1.0 - design.fpc)
-    out = full.groupBy(*[f"_{k}" for k in key]).agg(
-        F.first("q").alias("q"), (F.sum(part) / total / total).alias("variance"))
+    met = per.withColumnRenamed("z", "zs").join(whole, "h").join(
+        shares.select(*[F.col(k).alias(f"_{k}") for k in key], "q"),
+        F.col("kind").eqNullSafe(F.col("_kind")) & F.col("kr").eqNullSafe(F.col("_kr")) & F.col("kc").eqNullSafe(F.col("_kc")))
+    own = bessel * F.expr("zz - 2 * q * zt - (zs * zs - 2 * q * zs * t) / n_h")
+    out = met.groupBy(*key).agg(F.first("q").alias("q"), F.sum(own).alias("own"))
+    out = out.withColumn("variance", (F.col("own") + F.col("q") * F.col("q") * spread_all) / total / total)
     srs = F.expr(f"q * (1 - q) / ({design.n} - 1)")
     return out.select(
-        F.col("_kind").alias("kind"), F.col("_kr").alias("r"), F.col("_kc").alias("c"), "q",
+        "kind", F.col("kr").alias("r"), F.col("kc").alias("c"), "q",
         (F.col("variance") / F.when(srs > 0, srs)).alias("deff"))
 
 
-def _every(shares: DataFrame, strata: DataFrame) -> DataFrame:
-    """Each indicator (at most a hundred cells and their margins) with each stratum."""
-    rows = shares.limit(MAX_CELLS * 3 + 1).collect()
-    if len(rows) > MAX_CELLS * 3:
-        raise Refusal(f"weighted_crosstab: more than {MAX_CELLS} cells; collapse the categories first")
-    listed = F.array(*[
-        F.struct(F.lit(r["kind"]).alias("_kind"), F.lit(r["kr"] or "").alias("_kr"),
-                 F.lit(r["kc"] or "").alias("_kc"), F.lit(float(r["q"])).alias("q")) for r in rows])
-    return strata.select("*", F.explode(listed).alias("k")).select("h", "n_h", "tt", "t", "k.*")
-
+def weighted_crosstab(df, row, column, weights, strata=None, cluster=None, fpc=None, max_cells: int | None = None) -> DataFrame:
+    """First-order Rao-Scott test of independence, with the naive statistic for contrast.
 
-def weighted_crosstab(df, row, column, weights, strata=None, cluster=None, fpc=None) -> DataFrame:
-    """First-order Rao-Scott test of independence, with the naive statistic for contrast."""
+    Cells and margins stay a frame; a few sums over them come to the driver. ``max_cells`` refuses larger tables.
+    """
     design = _crosstab_design(df, row, column, weights, strata, cluster, fpc)
-    effects = {(r["kind"], r["r"], r["c"]): (r["q"], r["deff"]) for r in indicator_effects(design).collect()}
-    rows = {k[1]: v for k, v in effects.items() if k[0] == "row"}
-    cols = {k[2]: v for k, v in effects.items() if k[0] == "column"}
-    if min(len(rows), len(cols)) < 2:
+    effects = cut_lineage(indicator_effects(design))
+    of = lambda kind: effects.where(F.col("kind") == kind)
+    margins = effects.groupBy("kind").agg(
+        F.count("*").alias("n"), F.count("deff").alias("known"), F.sum(F.expr("(1 - q) * deff")).alias("trace"))
+    told = {r["kind"]: r for r in margins.collect()}
+    n_rows, n_cols = (told[k]["n"] if k in told else 0 for k in ("row", "column"))
+    if min(n_rows, n_cols) < 2:
         raise Refusal("weighted_crosstab: needs at least two categories in each column")
-    if len(rows) * len(cols) > MAX_CELLS:
-        raise Refusal(f"weighted_crosstab: more than {MAX_CELLS} cells; collapse the categories first")
-    cells = {(k[1], k[2]): v for k, v in effects.items() if k[0] == "cell"}
-    dof = (len(rows) - 1) * (len(cols) - 1)
-    x2 = sum(
-        (cells.get((r, c), (0.0, None))[0] - rows[r][0] * cols[c][0]) ** 2 / (rows[r][0] * cols[c][0])
-        for r in rows for c in cols)
-    every = [*cells.values(), *rows.values(), *cols.values()]
+    if max_cells is not None and n_rows * n_cols > max_cells:
+        raise Refusal(f"weighted_crosstab: more than {max_cells} cells; collapse the categories first")
+    dof = (n_rows - 1) * (n_cols - 1)
+    joined = of("cell").join(of("row").select("r", F.col("q").alias("qr")), "r").join(
+        of("column").select("c", F.col("q").alias("qc")), "c")
+    # cells without a row add their expected share
+    x2, expected = joined.agg(F.sum(F.expr("power(q - qr * qc, 2) / (qr * qc)")), F.sum(F.expr("qr * qc"))).first()
+    full = told["cell"]["n"] == n_rows * n_cols
+    x2 += 0.0 if full else max(0.0, 1.0 - expected)
     factor = None
-    if len(cells) == len(rows) * len(cols) and all(d is not None for _, d in every):
-        mean = lambda group: sum((1 - q) * d for q, d in group.values())
-        factor = (mean(cells) - mean(rows) - mean(cols)) / dof
+    if full and all(r["known"] == r["n"] for r in told.values()):
+        factor = (told["cell"]["trace"] - told["row"]["trace"] - told["column"]["trace"]) / dof
     population = float(design.rows.agg(F.sum("w")).first()[0])
     uncorrected, naive = design.n * x2, population * x2
     corrected = uncorrected / factor if factor and factor > 0 else None
-    v = (uncorrected / (design.n * (min(len(rows), len(cols)) - 1))) ** 0.5
+    v = (uncorrected / (design.n * (min(n_rows, n_cols) - 1))) ** 0.5
     return df.sparkSession.createDataFrame(
         [(corrected, dof, None if corrected is None else dist.chi2_upper(corrected, dof), factor, uncorrected,
           naive, design.n, population, v, design.dof)],
@@ -348,5 +343,5 @@ def weighted_crosstab(df, row, column, weights, strata=None, cluster=None, fpc=N
         "naive_statistic double, n long, estimated_population double, cramers_v double, design_dof int")
 
 
-def rao_scott_factor(df, row, column, weights, strata=None, cluster=None, fpc=None) -> DataFrame:
-    return weighted_crosstab(df, row, column, weights, strata, cluster, fpc).select("correction_factor")
+def rao_scott_factor(df, row, column, weights, strata=None, cluster=None, fpc=None, max_cells: int | None = None) -> DataFrame:
+    return weighted_crosstab(df, row, column, weights, strata, cluster, fpc, max_cells).select("correction_factor")

@@ -193,7 +193,7 @@ def _(spark, d):
 
 
 # three values against all others: every triple of ranks is one arrangement
-FEW = "CASE WHEN s_suppkey <= 3 THEN 'few' ELSE 'rest' END"
+FEW = "CASE WHEN s_suppkey < 3 THEN 'few' ELSE 'rest' END"
 
 
 @query("mannwhitney_exact",

@@ -148,6 +148,16 @@ def _(spark, d):
     return rounded(out.select("statistic", "dof", "correction_factor"), 5)
 
 
+# twenty rows by thirty columns: the cells are many more than a reader would collapse to
+@query("weighted_crosstab_wide",
+       RAO.replace("WITH survey AS (", "WITH designed AS (", 1).replace(
+           ", c AS (", ", survey AS (SELECT * REPLACE (CAST(rid % 20 AS VARCHAR) AS segment, CAST(rid // 20 % 30 AS VARCHAR) AS level) FROM designed), c AS (", 1) +
+       "SELECT round(n * x2 / f, 5) AS statistic, CAST(dof AS INTEGER) AS dof, round(f, 5) AS correction_factor FROM x, f, tot, dims")
+def _(spark, d):
+    wide = survey(spark, d).withColumns({"segment": F.expr("CAST(rid % 20 AS STRING)"), "level": F.expr("CAST(rid DIV 20 % 30 AS STRING)")})
+    return rounded(s.weighted_crosstab(wide, "segment", "level", "w", **DESIGN).select("statistic", "dof", "correction_factor"), 5)
+
+
 # the filtered answer sees only the sampling units that hold a row of the domain
 FILTERED = (", fu AS (SELECT stratum, psu, sum(w * (y - m) / sw) AS u FROM survey, t WHERE segment = 'BUILDING' GROUP BY 1, 2), "
             "fv AS (SELECT sum(k / (k - 1) * ss) AS var FROM (SELECT stratum, CAST(count(*) AS DOUBLE) AS k, sum(u * u) - power(sum(u), 2) / count(*) AS ss "
