@@ -5,10 +5,10 @@ A byte goes when a string of ``length`` bytes that covers it also starts in a do
 Sparse suffix arrays: a window of ``length`` bytes is represented by one of its k-grams, the one with the
 smallest hash, so equal windows choose equal k-grams. Consecutive windows share their choice; such a run,
 about 1 in 14 positions, is one entry: hash of the k-gram, hash of all bytes of the run's windows, document
-and place. Every task deals out batches of entries by key range; for every key range the batches are sorted
-by k-gram, as a suffix array is sorted by content, and taken one by one into an index family: arrays of equal
-size are merged, so sizes grow geometrically and an entry moves a logarithmic number of times. The merged
-array is scanned once for neighbours with equal k-grams.
+and place. Every task deals out batches of entries by key range; for every key range the batches enter an index
+family one by one: a batch is sorted by k-gram, as a suffix array is sorted by content, and merge-scanned against
+each level there is for equal k-grams; what matches is marked on both sides. Then it becomes a level itself, and
+levels of equal size are merged, so sizes grow geometrically and an entry moves a logarithmic number of times.
 
 Equal runs are settled there: all windows of the run in the later document go. K-grams that documents share
 in different runs, at the edges of passages, are settled by the windows themselves: for those only, the
@@ -17,8 +17,8 @@ documents are fetched, and their windows go through an index family of the same
 A passage that very many documents share is settled inside each batch first: of equal entries only the one
 of the smallest id is dealt out, so a key never gathers more than one entry from a batch.
 
-Texts that a document with a smaller id holds as a whole go completely and are not indexed twice by a task.
-No array, group or list holds more than a key range or a document.
+Texts that a document with a smaller id holds as a whole go completely; a task passes over those that it remembers.
+Rows are sorted by key range (and by bucket of documents), and a task holds one range, bucket or document at a time.
 
 A document is named by its id and a tag: zero, or, where different texts may have the id (null ids are one id),
 the 64-bit hash of its text. Which ids those are is told by cells, so some others have a hash for a tag too.
@@ -30,6 +30,7 @@ not earlier than each other; a null id counts as larger than any other.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -45,14 +46,14 @@ GRAM = 24
 # Windows that are worked on at once; bytes of text behind one key range.
 BLOCK, RANGE_BYTES = 1 << 20, 32 << 20
 NO_ID = (1 << 63) - 1
-# Entries of one batch; columns of an entry with their types and widths (of a k-gram's hash 48 bits count).
-BATCH = 1 << 18
+# Entries of one batch as it is dealt out, and as it enters a family; columns of an entry with their types and widths (of a k-gram's hash 48 bits count).
+BATCH, ENTER = 1 << 18, 1 << 16
 LAYOUT = {"k": ("<u8", 8), "s": ("<u4", 4), "id": ("<i8", 8), "tag": ("<i8", 8), "at": ("<u4", 4)}
 # Columns of a place found; whole: all windows of its run go.
 FOUND = {"id": ("<i8", 8), "tag": ("<i8", 8), "at": ("<u4", 4), "whole": ("u1", 1)}
 ENTRIES = "shard int, entries binary, id long, tag long, full array<int>"
-# Cells of ids, to tell which ids several texts may have.
-ID_CELLS = 1 << 18
+# Cells of ids, to tell which ids several texts may have; texts that a task remembers to pass over their copies.
+ID_CELLS, KNOWN = 1 << 18, 1 << 16
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +167,8 @@ def deal(parts: list[dict[str, np.ndarray]], bits: int):
     settled = np.empty(len(name), bool)
     settled[order] = columns["id"][order] > least
     rest = {c: v[~settled] for c, v in columns.items()}
-    shard = (rest["k"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(rest["k"]), np.int64)
+    # a chosen k-gram has the smallest of many hashes, so these crowd near zero: mixed once more, ranges are even
+    shard = (mixed(rest["k"]) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(rest["k"]), np.int64)
     order = np.argsort(shard, kind="stable")
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard[order])) + 1, [len(shard)]))
     rows = [(int(shard[order[a]]), pack({c: v[order[a:b]] for c, v in rest.items()})) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
@@ -212,6 +214,8 @@ def _runs(length: int, bits: int):
                 name = hashlib.md5(raw).digest()
                 if len(raw) < length or known.get(name, NO_ID + 1) <= id_:
                     continue  # an earlier document of this task holds the same text
+                if len(known) >= KNOWN:
+                    known.clear()  # later copies are indexed like any text
                 known[name] = id_
                 k, s, _, _ = runs.cut(raw)
                 n = len(k)
@@ -224,51 +228,87 @@ def _runs(length: int, bits: int):
     return run
 
 
-def merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]):
-    """Two sorted arrays (key, entry) as one; the stable sort recognises the two runs."""
-    keys = np.concatenate((a[0], b[0]))
-    order = np.argsort(keys, kind="stable")
-    return keys[order], np.concatenate((a[1], b[1]))[order]
-
-
-def index_family(arrays) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Take in sorted arrays one by one; equal-sized levels merge. Returns the order by key, and the entries."""
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
-    parts, total = [], 0
-    for columns in arrays:
-        n = len(columns["k"])
-        parts.append(columns)
-        order = np.argsort(columns["k"])
-        level = (columns["k"][order], order + total)
-        total += n
-        while levels and len(levels[-1][0]) <= 2 * len(level[0]):
-            level = merge(levels.pop(), level)
-        levels.append(level)
-    while len(levels) > 1:
-        small = levels.pop()
-        levels[-1] = merge(levels[-1], small)
-    order = levels[0][1]
-    del levels
-    return order, {c: np.concatenate([p.pop(c) for p in parts]) for c in LAYOUT}  # a column's parts go as it is joined
-
-
-def scan(order: np.ndarray, entries: dict[str, np.ndarray]):
-    """Entries whose run an earlier document has, and those of k-grams that documents share in other runs."""
-    k = entries["k"][order]
-    same = np.concatenate(([False], k[1:] == k[:-1], [False]))
-    order = order[same[1:] | same[:-1]]
-    order = order[np.lexsort((entries["id"][order], entries["s"][order], entries["k"][order]))]
-    k, s, ids = (entries[c][order] for c in ("k", "s", "id"))
-    if not len(order):
-        return order, order
+class Level(dict):
+    """Entries sorted by k-gram, column by column, with what the scans have found out about each."""
+
+    @classmethod
+    def of(cls, columns: dict[str, np.ndarray]) -> Level:
+        order = np.argsort(columns["k"], kind="stable")
+        own = cls({c: v[order] for c, v in columns.items()})
+        own["full"], own["edge"] = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        return own
+
+    def __len__(self):
+        return len(self["k"])
+
+    def merged(self, other: Level) -> Level:
+        order = np.argsort(np.concatenate((self["k"], other["k"])), kind="stable")  # it recognises the two runs
+        return Level({c: np.concatenate((self.pop(c), other.pop(c)))[order] for c in list(self)})
+
+
+def compare(*sides: tuple[Level, np.ndarray]) -> None:
+    """Mark, among the given rows of levels, entries whose run an earlier document has (full), and those whose
+    k-gram another document has in another run (edge)."""
+    if not sum(len(rows) for _, rows in sides):
+        return
+    k, s, ids = (np.concatenate([level[c][rows] for level, rows in sides]) for c in ("k", "s", "id"))
+    order = np.lexsort((ids, s, k))
+    k, s, ids = k[order], s[order], ids[order]
     new_k = np.concatenate(([True], k[1:] != k[:-1]))
     new_run = new_k | np.concatenate(([True], s[1:] != s[:-1]))
     gram_at, run_at = np.flatnonzero(new_k), np.flatnonzero(new_run)
     gram_no, run_no = np.cumsum(new_k) - 1, np.cumsum(new_run) - 1
     several_docs = (np.maximum.reduceat(ids, gram_at) != np.minimum.reduceat(ids, gram_at))[gram_no]
     several_runs = (np.add.reduceat(new_run.astype(np.int64), gram_at) > 1)[gram_no]
-    full = ids > ids[run_at][run_no]
-    return order[full], order[several_docs & several_runs & ~full]
+    full, edge = np.empty(len(k), bool), np.empty(len(k), bool)
+    full[order], edge[order] = ids > ids[run_at][run_no], several_docs & several_runs
+    start = 0
+    for level, rows in sides:
+        level["full"][rows] |= full[start : start + len(rows)]
+        level["edge"][rows] |= edge[start : start + len(rows)]
+        start += len(rows)
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Rows of a sorted array whose key occurs more than once."""
+    same = np.concatenate(([False], keys[1:] == keys[:-1], [False])) if len(keys) else np.zeros(1, bool)
+    return np.flatnonzero(same[1:] | same[:-1])
+
+
+def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two sorted arrays whose keys occur in both; ``a`` is looked up in ``b``."""
+    if not len(a) or not len(b):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = np.flatnonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
+    keys = np.unique(a[rows])
+    first, n = np.searchsorted(b, keys), np.searchsorted(b, keys, "right")
+    n -= first
+    return rows, np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+class IndexFamily:
+    """Levels whose sizes fall geometrically. An array that enters is scanned against each level before it becomes
+    one itself, so any two entries with equal k-grams are compared when the later of them enters."""
+
+    def __init__(self):
+        self.levels: list[Level] = []
+
+    def enter(self, columns: dict[str, np.ndarray]) -> None:
+        own = Level.of(columns)
+        rows = repeated(own["k"])
+        compare((own, rows))
+        for level in self.levels:
+            mine, others = common(own["k"], level["k"])
+            compare((own, mine), (level, others))
+        while self.levels and len(self.levels[-1]) <= 2 * len(own):
+            own = self.levels.pop().merged(own)
+        self.levels.append(own)
+
+    def found(self) -> dict[str, np.ndarray]:
+        """Places whose runs go as a whole, and those to be settled window by window."""
+        marked = [(level, np.flatnonzero(level["full"] | level["edge"])) for level in self.levels]
+        out = {c: np.concatenate([level[c][rows] for level, rows in marked]) for c in ("id", "tag", "at")}
+        return {**out, "whole": np.concatenate([level["full"][rows] for level, rows in marked])}
 
 
 def bundles(places: dict[str, np.ndarray], bits: int) -> pa.RecordBatch:
@@ -283,45 +323,62 @@ def bundles(places: dict[str, np.ndarray], bits: int) -> pa.RecordBatch:
         names=["bucket", "places"])
 
 
-def _index(bits: int):
-    """The key ranges of one partition, a few of bounded size: one index family each."""
+def groups_of(batches, key: str, value: str):
+    """Rows sorted by ``key``: each key with an iterator over its values, one key at a time in memory."""
+    def rows():
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                piece = batch.slice(start, 64)
+                yield from zip(piece.column(key).to_pylist(), piece.column(value))
+
+    for k, own in itertools.groupby(rows(), key=lambda row: row[0]):
+        yield k, (data.as_py() for _, data in own)
+
 
-    def told(parts):
-        order, entries = index_family(parts)
-        full, edge = scan(order, entries)
-        every, whole = np.concatenate((full, edge)), np.repeat([True, False], [len(full), len(edge)])
-        return bundles({**{c: entries[c][every] for c in ("id", "tag", "at")}, "whole": whole}, bits)
+def _index(bits: int):
+    """The key ranges of one partition, sorted by range: one index family at a time."""
 
     def run(batches):
-        ranges: dict[int, list[dict[str, np.ndarray]]] = {}
-        for batch in batches:
-            settled = batch.filter(batch.column("entries").is_null())
-            if settled.num_rows:
-                n = settled.column("full").value_lengths().to_numpy(zero_copy_only=False)
-                places = {c: np.repeat(settled.column(c).to_numpy(zero_copy_only=False), n) for c in ("id", "tag")}
-                places["at"] = settled.column("full").flatten().to_numpy(zero_copy_only=False)
-                yield bundles({**places, "whole": np.ones(len(places["at"]), bool)}, bits)
-            batch = batch.filter(batch.column("entries").is_valid())
-            for shard, data in zip(batch.column("shard").to_pylist(), batch.column("entries").to_pylist()):
-                ranges.setdefault(shard, []).append(unpack(data))
-        while ranges:
-            yield told(ranges.popitem()[1])
+        passed = []
+
+        def entries():
+            for batch in batches:
+                settled = batch.filter(batch.column("entries").is_null())
+                if settled.num_rows:
+                    n = settled.column("full").value_lengths().to_numpy(zero_copy_only=False)
+                    places = {c: np.repeat(settled.column(c).to_numpy(zero_copy_only=False), n) for c in ("id", "tag")}
+                    places["at"] = settled.column("full").flatten().to_numpy(zero_copy_only=False)
+                    passed.append(bundles({**places, "whole": np.ones(len(places["at"]), bool)}, bits))
+                yield batch.filter(batch.column("entries").is_valid())
+
+        for _, blobs in groups_of(entries(), "shard", "entries"):
+            family, waiting, held = IndexFamily(), [], 0
+            for data in itertools.chain(blobs, [None]):
+                if data:
+                    waiting.append(unpack(data))
+                    held += len(waiting[-1]["k"])
+                if waiting and (held >= ENTER or not data):
+                    family.enter({c: np.concatenate([w[c] for w in waiting]) for c in LAYOUT})
+                    waiting, held = [], 0
+                while passed:
+                    yield passed.pop()
+            found = family.found()
+            del family
+            yield bundles(found, bits)
             trim()
+        yield from passed
 
     return run
 
 
 def _gather(batches):
-    """The places of each document, a bucket at a time."""
-    buckets: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("places").to_pylist()):
-            buckets.setdefault(bucket, []).append(data)
-    while buckets:
-        parts = [unpack(data, FOUND) for data in buckets.popitem()[1]]
+    """The places of each document, a bucket at a time; ``batches`` are sorted by bucket."""
+    for _, blobs in groups_of(batches, "bucket", "places"):
+        parts = [unpack(data, FOUND) for data in blobs]
         places = {c: np.concatenate([p[c] for p in parts]) for c in FOUND}
+        del parts
         order = np.lexsort((places["tag"], places["id"]))
-        ids, tags, at, whole = (places[c][order] for c in FOUND)
+        ids, tags, at, whole = (places.pop(c)[order] for c in FOUND)
         whole = whole.astype(bool)
         out = pa.RecordBatch.from_arrays(by_document(ids, tags, (whole, at), (~whole, at)), names=["id", "tag", "full", "edge"])
         for start in range(0, out.num_rows, 4096):
@@ -399,8 +456,10 @@ def _removal(length: int, texts: bool):
 def family(entries: DataFrame, bits: int) -> DataFrame:
     """Entries dealt out by their batches -> id, tag, full, edge: the places found, by document."""
     wide = min(bits, 14)
-    found = entries.repartition(1 << wide, "shard").mapInArrow(_index(wide), "bucket int, places binary")
-    return found.repartition(1 << wide, "bucket").mapInArrow(_gather, "id long, tag long, full array<int>, edge array<int>")
+    ranges = entries.repartition(1 << wide, "shard").sortWithinPartitions("shard")
+    found = ranges.mapInArrow(_index(bits), "bucket int, places binary")
+    buckets = found.repartition(1 << wide, "bucket").sortWithinPartitions("bucket")
+    return buckets.mapInArrow(_gather, "id long, tag long, full array<int>, edge array<int>")
 
 
 def key_bits(total: int, each: int) -> int:

@@ -520,3 +520,62 @@ def test_slices_of_a_batch_lose_no_row():
     assert [x for p in parts for x in p.column("n").to_pylist()] == list(range(1, len(texts)))
     assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column("text").to_pylist()) <= 8 for p in parts)
     assert list(slices(batch.slice(0, 0))) == []
+
+
+def test_index_family_marks_what_one_scan_would():
+    rng = np.random.default_rng(12)
+    n = 4000
+    entries = {
+        "k": rng.integers(0, 500, n).astype(np.uint64), "s": rng.integers(0, 3, n).astype(np.uint32), "id": rng.integers(0, 60, n),
+        "tag": np.zeros(n, np.int64), "at": np.arange(n, dtype=np.uint32)}
+    family, start = suffix_dedup.IndexFamily(), 0
+    for size in [1, 7, 300, 2, 900, 50, 50, 50, 1200, 0, 1440]:
+        family.enter({c: v[start : start + size] for c, v in entries.items()})
+        start += size
+    assert start == n and len(family.levels) < 8 and sum(map(len, family.levels)) == n
+    found = family.found()
+    rows = list(zip(*(entries[c].tolist() for c in ("k", "s", "id", "at"))))
+    least, docs = {}, collections.defaultdict(set)
+    for k, s, i, _ in rows:
+        least[k, s] = min(least.get((k, s), i), i)
+        docs[k].add((s, i))
+    full = {at for k, s, i, at in rows if i > least[k, s]}
+    other = {at for k, s, i, at in rows if any(t != s and j != i for t, j in docs[k])}
+    got = dict(zip(found["at"].tolist(), found["whole"].tolist()))
+    assert {at for at, whole in got.items() if whole} == full
+    assert other - full <= {at for at, whole in got.items() if not whole}
+
+
+def test_jaccard_texts_that_share_a_passage(documents):
+    """Texts far below the threshold that share a long passage, and some that are above it."""
+    rng = random.Random(31)
+    passage = [rng.choice(WORDS) + str(i) for i in range(80)]
+    rows = [(i, " ".join(passage + [f"a{i}x{j}" for j in range(8)]), "la", "s") for i in range(60)]
+    rows += [(100 + i, " ".join(passage + [f"b{i // 3}x{j}" for j in range(7)] + [f"c{i}"]), "la", "s") for i in range(30)]
+    rows += [(200 + i, " ".join(passage[:70] + [f"d{i % 2}"] * (1 + i % 4)), "la", "s") for i in range(20)]
+    out = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(documents(rows), k=4, percent=85).collect()}
+    sets, root = dict(sets_of(rows, 4)), {r[0]: r[0] for r in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert out == {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_least_shared_is_a_lower_bound(spark, percent):
+    rows = [(n, low, high) for n in [1, 2, 6, 7, 20, 87, 147, 500] for low in range(max(1, n - 90), n + 90, 7) for high in (low, low + 3, low + 40)]
+    rows = [r for r in rows if percent * r[1] <= 100 * r[0] and 100 * r[2] >= percent * r[0]]
+    out = spark.createDataFrame(rows, "n long, low long, high long").withColumn("least", jaccard_join.least_shared("n", "low", "high", percent))
+    for n, low, high, least in out.collect():
+        true = [-(-percent * (n + m) // (100 + percent)) - -(-percent * max(n, m) // 100) + 1
+                for m in range(low, high + 1) if percent * max(n, m) <= 100 * min(n, m)]
+        if true:
+            assert min(true) - 1 <= least <= min(true)
