@@ -14,7 +14,6 @@ items with null ids are found but listed as an empty string; items that repeat a
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import ahocorasick
@@ -22,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallywork.llm.common import take
+from tallywork.llm.common import take, trim
 
 WINDOW = 13
 # Byte by byte: A-Z to a-z, digits, a-z and bytes of non-ASCII characters as they are, the rest to blanks.
@@ -114,23 +113,21 @@ def matcher(spark, block: dict[bytes, set[str]]):
             n.append(words)
             spans.append([x for span in merged(at) for x in span])
             ids.append(sorted(met))
+        trim()
         return pd.DataFrame({"n_words": n, "spans": spans, "items": ids})
 
     return F.pandas_udf(match, "n_words long, spans array<int>, items array<string>")
 
 
-def closing():
-    """A column function over the spans and items of all blocks: struct(n_hit, n_items, items_sha256)."""
-
-    def close(spans: pd.Series, items: pd.Series) -> pd.DataFrame:
-        rows = []
-        for flat, ids in zip(spans, items):
-            pairs = merged(list(zip([int(x) for x in flat[::2]], [int(x) for x in flat[1::2]])))
-            ids = sorted(set(ids))
-            rows.append((sum(b - a for a, b in pairs), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_hit", "n_items", "items_sha256"])
-
-    return F.pandas_udf(close, "n_hit long, n_items long, items_sha256 string")
+def covered_words(spans: Column) -> Column:
+    """Words in the union of spans, given as one array of first words and words after the last."""
+    pairs = F.when(F.size(spans) > 0, F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(spans) / 2).cast("int") - 1),
+        lambda i: F.struct(F.get(spans, 2 * i).alias("a"), F.get(spans, 2 * i + 1).alias("b")))).otherwise(F.array())
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(F.array_sort(pairs), start, lambda held, p: F.struct(
+        F.greatest(held["end"], p["b"]).alias("end"),
+        (held["n"] + F.greatest(F.lit(0), p["b"] - F.greatest(held["end"], p["a"]))).alias("n")), lambda held: held["n"])
 
 
 def contaminated(n_words: Column, n_hit: Column, share: int = 20) -> Column:
@@ -151,9 +148,10 @@ def decontaminate(
     if not met:
         out, met = out.withColumn("_met0", matcher(spark, {})(F.col(text))), ["_met0"]
     spans, ids = (F.concat(*[F.col(f"{m}.{part}") for m in met]) for part in ("spans", "items"))
-    out = out.withColumn("_spans", spans).withColumn("_all", closing()(spans, ids))
-    n_words, n_hit = F.col("_met0.n_words"), F.col("_all.n_hit")
+    out = out.withColumn("_spans", spans).withColumn("_items", F.array_sort(F.array_distinct(ids)))
+    out = out.withColumn("_hit", covered_words(F.col("_spans")))
+    n_words, n_hit = F.col("_met0.n_words"), F.col("_hit")
     return out.select(
-        *columns, n_words.alias("n_words"), n_hit.alias("n_hit"), F.col("_all.n_items").alias("n_items"),
-        F.col("_all.items_sha256").alias("items_sha256"),
+        *columns, n_words.alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
         contaminated(n_words, n_hit).alias("contaminated"), F.col("_spans").alias("word_spans"))

@@ -19,15 +19,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallywork.llm.common import take
+from tallywork.llm.common import take, trim
 from tallywork.session import cut_lineage
 
 # Letters of other scripts and digits that look like a Latin letter.
@@ -94,7 +96,9 @@ def measure(text: str | None, found) -> tuple[float, int, list[str]]:
             hits.append((a, key, weight))
         elif b == len(folded) or not folded[b].isalpha():
             covered.append((a, b))
-    hits = [h for h in hits if not any(a <= h[0] < b for a, b in covered)]
+    covered.sort()
+    starts, ends = [a for a, _ in covered], list(accumulate((b for _, b in covered), max))
+    hits = [h for h in hits if not (at := bisect_right(starts, h[0])) or h[0] >= ends[at - 1]]
     return sum(h[2] for h in hits), words, [h[1] for h in hits]
 
 
@@ -207,7 +211,9 @@ def measurer(spark, lexicon: Lexicon):
     def scan(text: pd.Series) -> pd.DataFrame:
         if not made:
             made.append(matcher(Lexicon(**held.value)))
-        return pd.DataFrame([measure(t, made[0]) for t in text], columns=["weight", "words", "matched"])
+        found = [measure(t, made[0]) for t in text]
+        trim()
+        return pd.DataFrame(found, columns=["weight", "words", "matched"])
 
     return F.pandas_udf(scan, "weight double, words long, matched array<string>")
 

@@ -579,3 +579,39 @@ def test_least_shared_is_a_lower_bound(spark, percent):
                 for m in range(low, high + 1) if percent * max(n, m) <= 100 * min(n, m)]
         if true:
             assert min(true) - 1 <= least <= min(true)
+
+
+def test_toxic_words_inside_exceptions():
+    """Matches inside any exception phrase do not count; many of both take no longer than each alone."""
+    import time
+
+    lexicon = toxicity.Lexicon({"bad": 1.0, "worse": 2.0}, ["not bad", "bad run worse", "worse off"], 0.5)
+    found = toxicity.matcher(lexicon)
+    rng = random.Random(6)
+    for _ in range(200):
+        words = [rng.choice(["bad", "worse", "not", "run", "off", "same"]) for _ in range(rng.randrange(40))]
+        gone = set()
+        for phrase in lexicon.exceptions:
+            p = phrase.split()
+            for i in range(len(words) - len(p) + 1):
+                if words[i : i + len(p)] == p:
+                    gone.update(range(i, i + len(p)))
+        want = sum(lexicon.weights.get(w, 0.0) for i, w in enumerate(words) if i not in gone)
+        assert toxicity.measure(" ".join(words), found)[0] == pytest.approx(want)
+    start = time.process_time()
+    toxicity.measure("bad not bad worse off " * 40_000, found)
+    assert time.process_time() - start < 20
+
+
+def test_decontamination_in_many_blocks(documents, spark):
+    """Windows of different blocks overlap in a text; words are counted once, items of all blocks are listed."""
+    words = [f"w{i}" for i in range(60)]
+    items = [("b", " ".join(words[:20])), ("a", " ".join(words[10:30])), ("é", " ".join(words[40:55])), ("z", "nothing of it")]
+    texts = [(1, " ".join(["x"] * 5 + words + ["y"] * 9)), (2, " ".join(words[12:30])), (3, None), (4, "plain")]
+    frame = spark.createDataFrame(items, "item_id string, text string")
+    out = by_id(decontamination.decontaminate(documents([(i, t, "la", "s") for i, t in texts]), frame, block_bytes=60))
+    whole = by_id(decontamination.decontaminate(documents([(i, t, "la", "s") for i, t in texts]), frame))
+    names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert all(out[i][c] == whole[i][c] for i, _ in texts for c in names)
+    assert (out[1]["n_hit"], out[1]["n_items"]) == (45, 3) and out[1]["items_sha256"] == hashlib.sha256("a,b,é".encode()).hexdigest()
+    assert (out[2]["n_hit"], out[2]["n_items"], out[3]["n_words"], out[3]["n_hit"], out[4]["n_items"]) == (18, 1, 0, 0, 0)
