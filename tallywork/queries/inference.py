@@ -135,12 +135,11 @@ def _(spark, d):
 @query("tukey_many_groups",
        "WITH m AS (SELECT CAST(o_custkey % 250 AS VARCHAR) AS g, count(*) AS n, avg(o_totalprice) AS mean, var_samp(o_totalprice) AS v "
        "FROM orders GROUP BY 1 HAVING count(*) > 1), e AS (SELECT sum((n - 1) * v) / (sum(n) - count(*)) AS msw FROM m) "
-       "SELECT a.g AS group1, b.g AS group2, round(a.mean - b.mean, 4) AS difference, "
-       "round(abs(a.mean - b.mean) / sqrt(msw / 2 * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)), 6) AS q FROM m a JOIN m b ON a.g < b.g, e")
+       "SELECT a.g AS group1, b.g AS group2, a.mean > b.mean AS first_is_larger, round(abs(a.mean - b.mean) / sqrt(msw / 2 * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)), 6) AS q FROM m a JOIN m b ON a.g < b.g, e")
 def _(spark, d):
     df = table(spark, d, "orders").withColumn("g", F.expr("o_custkey % 250"))
     out = m.tukey_hsd(df, "o_totalprice", "g")
-    return rounded(out.select("group1", "group2", "difference", "q"), 6, difference=4)
+    return rounded(out.select("group1", "group2", (F.col("difference") > 0).alias("first_is_larger"), "q"))
 
 
 RANKED = ("WITH k AS (SELECT {g} AS g, {x} AS x, rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0::DOUBLE "

@@ -152,7 +152,8 @@ def _(spark, d):
 @query("weighted_crosstab_wide",
        RAO.replace("WITH survey AS (", "WITH designed AS (", 1).replace(
            ", c AS (", ", survey AS (SELECT * REPLACE (CAST(rid % 20 AS VARCHAR) AS segment, CAST(rid // 20 % 30 AS VARCHAR) AS level) FROM designed), c AS (", 1) +
-       "SELECT round(n * x2 / f, 5) AS statistic, CAST(dof AS INTEGER) AS dof, round(f, 5) AS correction_factor FROM x, f, tot, dims")
+       "SELECT CASE WHEN filled THEN round(n * x2 / f, 5) END AS statistic, CAST(dof AS INTEGER) AS dof, CASE WHEN filled THEN round(f, 5) END AS correction_factor "
+       "FROM x, f, tot, dims, (SELECT count(*) = count(DISTINCT segment) * count(DISTINCT level) AS filled FROM c)")
 def _(spark, d):
     wide = survey(spark, d).withColumns({"segment": F.expr("CAST(rid % 20 AS STRING)"), "level": F.expr("CAST(rid DIV 20 % 30 AS STRING)")})
     return rounded(s.weighted_crosstab(wide, "segment", "level", "w", **DESIGN).select("statistic", "dof", "correction_factor"), 5)
