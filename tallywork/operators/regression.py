@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallywork.errors import Refusal, need_columns
 from tallywork.functions import dist
 from tallywork.functions.cells import number, quoted
+from tallywork.operators import likelihood
 from tallywork.operators.gram import (
     INTERCEPT, Terms, check_rank, cross_products, design_matrix, variance_inflation,
 )
@@ -18,6 +19,7 @@ from tallywork.operators.ordering import exact_quantiles, previous_row
 
 ROBUST = ("none", "HC0", "HC1", "HC2", "HC3")
 PERFECT_FIT = 1 - 1e-9
+LEAST_ALPHA = 1e-8
 
 
 @dataclass
@@ -297,16 +299,8 @@ def _count_start(terms, exposed) -> np.ndarray:
     return start
 
 
-def _histogram(terms: Terms) -> DataFrame:
-    return terms.rows.groupBy("y").agg(F.count("*").alias("c"))
-
-
-def _log_factorials(terms: Terms) -> float:
-    """Σ log y!, from the distinct counts."""
-    logs = F.aggregate(
-        F.expr("sequence(1L, greatest(1L, CAST(y AS BIGINT)))"), F.lit(0.0),
-        lambda acc, j: acc + F.log(j.cast("double")))
-    return _histogram(terms).agg(F.sum(F.col("c") * logs)).first()[0]
+def _log_factorial():
+    return likelihood.lgamma_rise(F.col("y"), F.lit(1.0))
 
 
 def _poisson(df, terms: Terms, exposed: bool) -> Fit:
@@ -318,14 +312,14 @@ def _poisson(df, terms: Terms, exposed: bool) -> Fit:
 
     start = _count_start(terms, exposed)
     beta, cov, like = _newton(terms, pieces, start, "count_model")
-    constant = _log_factorials(terms)
     mu0 = F.exp(F.lit(float(start[0])) + offset)
     mu = F.exp(terms.linear(beta) + offset)
     got = terms.rows.agg(
         F.sum(F.pow(F.col("y") - mu, 2) / mu).alias("chi2"),
         F.sum(F.col("y") * F.log(mu0) - mu0).alias("null"),
+        F.sum(_log_factorial()).alias("constant"),
         F.avg("y").alias("mean"), F.var_samp("y").alias("var")).first()
-    return _count_fit(df, terms, beta, cov, like - constant, got["null"] - constant, got, {}, 0)
+    return _count_fit(df, terms, beta, cov, like - got["constant"], got["null"] - got["constant"], got, {}, 0)
 
 
 def _count_fit(df, terms, beta, cov, like, null, got, more: dict, extra_params: int) -> Fit:
@@ -350,86 +344,49 @@ def dispersion_check(df, y, x, exposure=None) -> DataFrame:
         F.col("dispersion_ok").alias("passed"))
 
 
-def _rising(terms: Terms, r: float) -> tuple[float, float, float]:
-    """Sums over rows of log, first and second differences of lgamma(y + r) - lgamma(r)."""
-    steps = F.expr("CASE WHEN y >= 1 THEN sequence(0L, CAST(y AS BIGINT) - 1) ELSE CAST(array() AS ARRAY<BIGINT>) END")
-    total = lambda f: F.sum(F.col("c") * F.aggregate(steps, F.lit(0.0), lambda a, j: a + f(j + F.lit(r))))
-    got = _histogram(terms).agg(
-        total(lambda v: F.log(v)), total(lambda v: 1 / v), total(lambda v: -1 / (v * v))).first()
-    return tuple(got)
+def _joint_climb(terms: Terms, offset, start: np.ndarray) -> likelihood.Climb:
+    """Coefficients and log alpha together, one aggregation a step."""
+    x = [F.lit(1.0), *terms.z]
+    climb = likelihood.start(start)
+    while climb.state == "moving":
+        point = climb.tried
+        if point[-1] < math.log(LEAST_ALPHA):
+            raise Refusal("count_model: no extra dispersion to estimate; use the Poisson family")
+        pieces = likelihood.negative_binomial_pieces(
+            F.col("y"), terms.linear(point[:-1]) + offset, F.lit(float(point[-1])))
+        rows = terms.rows.select(*[v.alias(f"_{k}") for k, v in pieces.items()], *terms.z)
+        aggs = likelihood.sums({k: F.col(f"_{k}") for k in pieces}, x)
+        got = rows.agg(*[v.alias(k) for k, v in aggs.items()]).first().asDict()
+        climb = likelihood.advance(climb, *likelihood.unpack(got, terms.k + 1), longest=2.0)
+    if climb.state == "lost":
+        raise Refusal("count_model: the fit does not converge")
+    return climb
 
 
 def _negative_binomial(df, terms: Terms, exposed: bool) -> Fit:
-    """NB2: alternate the coefficients (one Newton fit) and the dispersion (Newton on log
-    alpha), then errors from the joint second derivatives."""
+    """NB2 by joint Newton steps; errors from the joint second derivatives."""
     offset = _offset(exposed)
-    constant = _log_factorials(terms)
-
-    def fit_beta(alpha, start, one=terms):
-        def pieces(eta):
-            mu = F.exp(eta + offset)
-            grown = 1 + F.lit(alpha) * mu
-            like = F.col("y") * F.log(mu * F.lit(alpha) / grown) - F.log(grown) / F.lit(alpha)
-            return (F.col("y") - mu) / grown, mu / grown, like
-
-        return _newton(one, pieces, start, "count_model")
-
-    def alpha_slopes(alpha, beta, one=terms):
-        """Log likelihood and its first two derivatives in alpha."""
-        r = 1.0 / alpha
-        mu = F.exp(one.linear(beta) + offset)
-        rows = one.rows.withColumn("_mu", mu)
-        a = F.lit(r) + F.col("_mu")
-        got = rows.agg(
-            F.sum(F.lit(r) * F.log(F.lit(r) / a) + F.col("y") * F.log(F.col("_mu") / a)).alias("like"),
-            F.sum(F.log(F.lit(r) / a) + 1 - (F.lit(r) + F.col("y")) / a).alias("d1"),
-            F.sum(F.lit(1 / r) - 2 / a + (F.lit(r) + F.col("y")) / (a * a)).alias("d2")).first()
-        lg, psi, tri = _rising(terms, r)
-        d1, d2 = got["d1"] + psi, got["d2"] + tri
-        return got["like"] + lg - constant, -r * r * d1, 2 * r**3 * d1 + r**4 * d2
-
-    def solve(one, start):
-        beta, alpha = start, 0.5
-        for _ in range(60):
-            beta, _, _ = fit_beta(alpha, beta, one)
-            like, slope, curve = alpha_slopes(alpha, beta, one)
-            # Newton on t = log(alpha), kept to moderate steps
-            g, h = alpha * slope, alpha * alpha * curve + alpha * slope
-            step = -g / h if h < 0 else math.copysign(0.5, g)
-            step = max(-1.0, min(1.0, step))
-            if abs(step) < 1e-8:
-                return beta, alpha, like, curve
-            alpha *= math.exp(step)
-            if alpha < 1e-8:
-                raise Refusal("count_model: no extra dispersion to estimate; use the Poisson family")
-        raise Refusal("count_model: the dispersion does not converge")
-
-    start = _count_start(terms, exposed)
-    beta, alpha, like, curve = solve(terms, start)
+    start = np.append(_count_start(terms, exposed), 0.0)
+    start[-1] = math.log(_first_alpha(terms, exposed, start[0]))
     bare = Terms(terms.rows, [], np.array([]), np.array([]), terms.n, 0, {})
-    _, _, null, _ = solve(bare, start[:1])
-    # joint observed information in (beta, alpha)
-    p = terms.k + 1
-    x = [F.lit(1.0), *terms.z]
-    rows = terms.rows.withColumn("_mu", F.exp(terms.linear(beta) + offset)).withColumn(
-        "_g", 1 + F.lit(alpha) * F.col("_mu"))
-    bb = F.col("_mu") * (1 + F.lit(alpha) * F.col("y")) / (F.col("_g") * F.col("_g"))
-    ba = F.col("_mu") * (F.col("y") - F.col("_mu")) / (F.col("_g") * F.col("_g"))
-    aggs = {f"g{i}_{j}": F.sum(bb * x[i] * x[j]) for i in range(p) for j in range(i, p)}
-    aggs |= {f"a{i}": F.sum(ba * x[i]) for i in range(p)}
-    variance = F.col("_mu") * F.col("_g")
-    got = rows.agg(
-        *[v.alias(k) for k, v in aggs.items()], F.avg("y").alias("mean"), F.var_samp("y").alias("var"),
-        F.sum(F.pow(F.col("y") - F.col("_mu"), 2) / variance).alias("chi2")).first()
-    info = np.zeros((p + 1, p + 1))
-    for i in range(p):
-        for j in range(p):
-            info[i, j] = got[f"g{min(i, j)}_{max(i, j)}"]
-        info[i, p] = info[p, i] = got[f"a{i}"]
-    info[p, p] = -curve
-    cov = np.linalg.inv(info)
-    more = dict(alpha=alpha, alpha_se=math.sqrt(max(cov[p, p], 0.0)))
-    return _count_fit(df, terms, beta, cov[:p, :p], like, null, got, more, 1)
+    null = _joint_climb(bare, offset, start[[0, -1]])
+    start[0], start[-1] = null.at
+    full = _joint_climb(terms, offset, start)
+    beta, alpha = full.at[:-1], math.exp(full.at[-1])
+    mu = F.exp(terms.linear(beta) + offset)
+    got = terms.rows.agg(
+        F.avg("y").alias("mean"), F.var_samp("y").alias("var"), F.sum(_log_factorial()).alias("constant"),
+        F.sum(F.pow(F.col("y") - mu, 2) / (mu * (1 + F.lit(alpha) * mu))).alias("chi2")).first()
+    more = dict(alpha=alpha, alpha_se=alpha * math.sqrt(full.cov[-1, -1]))
+    return _count_fit(df, terms, beta, full.cov[:-1, :-1], full.like - got["constant"],
+                      null.like - got["constant"], got, more, 1)
+
+
+def _first_alpha(terms: Terms, exposed: bool, level: float) -> float:
+    """Moment estimate of the dispersion with no regressors, kept off the edge."""
+    mu = F.exp(F.lit(float(level)) + _offset(exposed))
+    got = terms.rows.agg(F.sum(F.pow(F.col("y") - mu, 2) - mu).alias("a"), F.sum(mu * mu).alias("b")).first()
+    return min(max(got["a"] / got["b"], 0.01), 10.0)
 
 
 # ---------------------------------------------------------------------------- quantile

@@ -191,6 +191,36 @@ def _(spark, d):
     return rounded(r.count_model(df, "lines", ["c_mktsegment", "balance"], "negative_binomial").coefficients, 5)
 
 
+def lines_per_customer(spark, d):
+    """Lines of all orders of a customer, none included: they vary more than a Poisson count."""
+    lines = lineitem(spark, d).join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(
+        "o_custkey").agg(F.count("*").alias("lines"))
+    return table(spark, d, "customer").join(lines, F.col("c_custkey") == F.col("o_custkey"), "left").selectExpr(
+        "coalesce(lines, 0) AS lines", "CASE WHEN c_mktsegment < 'C' THEN 'early' ELSE 'late' END AS part",
+        "c_nationkey % 5 AS area")
+
+
+# with one two-level regressor the means are the estimates, and the dispersion solves one equation in r = 1 / alpha:
+# sum over j of (customers above j) / (r + j) = sum over levels of n * ln(1 + mean / r), found by bisection on ln r
+PER_CUSTOMER = ("WITH RECURSIVE k AS (SELECT o_custkey, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1), "
+                "c AS (SELECT coalesce(lines, 0) AS lines, CASE WHEN c_mktsegment < 'C' THEN 'early' ELSE 'late' END AS part, c_nationkey % 5 AS area "
+                "FROM customer LEFT JOIN k ON c_custkey = o_custkey), ")
+DISPERSION = ("m AS (SELECT part, CAST(count(*) AS DOUBLE) AS n, avg(lines) AS mu FROM c GROUP BY 1), "
+              "a AS (SELECT j, (SELECT count(*) FROM c WHERE lines > j)::DOUBLE AS above FROM generate_series(0, (SELECT max(lines) - 1 FROM c)) s(j)), "
+              "b AS (SELECT 0 AS step, -12.0::DOUBLE AS lo, 12.0::DOUBLE AS hi UNION ALL SELECT step + 1, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END "
+              "FROM (SELECT step, lo, hi, (lo + hi) / 2 AS mid, (SELECT sum(above / (exp((lo + hi) / 2) + j)) FROM a) > (SELECT sum(n * ln(1 + mu / exp((lo + hi) / 2))) FROM m) AS up "
+              "FROM b WHERE step < 60) t), r AS (SELECT exp(-(lo + hi) / 2) AS alpha FROM b WHERE step = 60), "
+              "p AS (SELECT e.mu AS m0, e.n AS n0, l.mu AS m1, l.n AS n1, alpha FROM m e, m l, r WHERE e.part = 'early' AND l.part = 'late') ")
+
+
+@query("count_model_dispersion", PER_CUSTOMER + DISPERSION +
+       "SELECT 'part[late]' AS term, round(ln(m1 / m0), 6) AS coefficient, round(sqrt((1 + alpha * m0) / (n0 * m0) + (1 + alpha * m1) / (n1 * m1)), 6) AS std_error, "
+       "round(alpha, 6) AS alpha FROM p UNION ALL SELECT '(Intercept)', round(ln(m0), 6), round(sqrt((1 + alpha * m0) / (n0 * m0)), 6), round(alpha, 6) FROM p")
+def _(spark, d):
+    fit = r.count_model(lines_per_customer(spark, d), "lines", ["part"], "negative_binomial")
+    return rounded(fit.coefficients.select("term", "coefficient", "std_error").crossJoin(fit.summary.select("alpha")))
+
+
 @query("quantile_regression")
 def _(spark, d):
     fit = r.quantile_regression(lineitem(spark, d), "l_extendedprice", ["l_quantity", "l_discount"], 0.5)

@@ -174,3 +174,26 @@ def test_quantile_regression_exact_line(spark):
     rows = [(i % 20 + 0.0, 2 + 3.0 * (i % 20) + (0.0, 1.0, -1.0)[i % 3]) for i in range(240)]
     got = by_term(r.quantile_regression(spark.createDataFrame(rows, "x double, y double"), "y", ["x"], 0.5))
     assert got["(Intercept)"]["coefficient"] == pytest.approx(2.0) and got["x"]["coefficient"] == pytest.approx(3.0)
+
+
+def test_gamma_differences(spark):
+    """Whole counts have finite sums; r reaches from strong to hardly any extra dispersion."""
+    from pyspark.sql import functions as F
+    from tallywork.operators import likelihood as lk
+
+    rows = [(float(y), r) for y in (0, 1, 2, 7, 40, 3000) for r in (1e-3, 0.4, 1.0, 5.5, 90.0, 1e4, 1e8)]
+    y, r_ = F.col("y"), F.col("r")
+    got = spark.createDataFrame(rows, "y double, r double").select(
+        "y", "r", lk.lgamma_rise(y, r_).alias("l"), lk.digamma_rise(y, r_).alias("d"),
+        lk.trigamma_rise(y, r_).alias("t")).collect()
+    for row in got:
+        steps = [row["r"] + j for j in range(int(row["y"]))]
+        assert row["l"] == pytest.approx(math.fsum(math.log(v) for v in steps), rel=1e-11, abs=1e-9)
+        assert row["d"] == pytest.approx(math.fsum(1 / v for v in steps), rel=1e-10, abs=1e-15)
+        assert row["t"] == pytest.approx(-math.fsum(1 / v**2 for v in steps), rel=1e-9, abs=1e-19)
+
+
+def test_negative_binomial_without_extra_dispersion_is_refused(spark):
+    rows = [("ab"[i % 2], float(3 + i % 2 + i % 3)) for i in range(200)]
+    with pytest.raises(Refusal, match="Poisson family"):
+        r.count_model(spark.createDataFrame(rows, "g string, y double"), "y", ["g"], "negative_binomial")
