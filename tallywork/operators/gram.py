@@ -53,10 +53,10 @@ class Terms:
         return out
 
 
-def _levels(rows: DataFrame, column: str) -> list[str]:
-    found = rows.select(quoted(column).cast("string").alias("v")).distinct().limit(MAX_DUMMIES + 2).collect()
+def level_names(rows: DataFrame, column: str, name: str | None = None) -> list[str]:
+    found = rows.select(quoted(column).cast("string").alias("v")).dropna().distinct().limit(MAX_DUMMIES + 2).collect()
     if len(found) > MAX_DUMMIES + 1:
-        raise Refusal(f"regressor '{column}' has more than {MAX_DUMMIES + 1} levels; group the categories")
+        raise Refusal(f"regressor '{name or column}' has more than {MAX_DUMMIES + 1} levels; group the categories")
     return sorted(r["v"] for r in found)
 
 
@@ -91,7 +91,7 @@ def design_matrix(
             names.append(c)
             cols.append(F.col(f"x_{i}"))
             continue
-        levels = _levels(rows, f"x_{i}")
+        levels = level_names(rows, f"x_{i}", c)
         if len(levels) < 2:
             raise Refusal(f"regressor '{c}' has a single value, so it carries no information")
         references[c] = levels[0]

@@ -20,6 +20,8 @@ from tallywork.operators.ordering import exact_quantiles, previous_row
 ROBUST = ("none", "HC0", "HC1", "HC2", "HC3")
 PERFECT_FIT = 1 - 1e-9
 LEAST_ALPHA = 1e-8
+SEPARATED_ERROR = 25.0
+SEPARATED = "logit: the outcome is separated by the regressors, so no estimate exists"
 
 
 @dataclass
@@ -111,32 +113,40 @@ def ols(df: DataFrame, y: str, x: list[str], robust: str = "HC3", rid: str | Non
              "influential": F.count_if(cook > F.lit(4.0 / n)), "max_cook": F.max(cook)}
     fitted = rows.withColumn("e", F.col("y") - terms.linear(beta)).withColumn("h", h)
     got = fitted.agg(*[v.alias(k) for k, v in aggs.items()]).first()
+    meat = np.array([[got[f"m{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+    sums = dict(bent=np.array([got[f"b{i}"] for i in range(p)]), **{
+        c: got[c] for c in ("e4", "skew", "kurt", "influential", "max_cook")})
+    cov, summary = ols_report(robust, n, beta, gram, meat, tss, rss, sums)
+    summary = dict(n=n, n_excluded=terms.n_excluded, **summary)
+    spark = df.sparkSession
+    return Fit(_frame(spark, _coefficients(terms, beta, cov, dof)), _frame(spark, [summary]), terms, beta)
+
+
+def ols_report(robust: str, n: int, beta, gram, meat, tss: float, rss: float, sums: dict):
+    """Covariance of the coefficients and the summary figures, from sums over the rows."""
+    inverse, p = np.linalg.inv(gram), len(beta)
+    dof, q = n - p, p - 1
+    s2, r2 = rss / dof, 1 - rss / tss
     if robust == "none":
         cov = inverse * s2
-    else:
-        meat = np.array([[got[f"m{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-        cov = inverse @ meat @ inverse
-    q = terms.k
-    if robust == "none":
         f_stat = (tss - rss) / q / s2
     else:
+        cov = inverse @ meat @ inverse
         f_stat = float(beta[1:] @ np.linalg.solve(cov[1:, 1:], beta[1:])) / q
-    bp_y = np.array([got[f"b{i}"] for i in range(p)])
-    bp_tss = got["e4"] - bp_y[0] ** 2 / n
-    bp_ess = float(bp_y @ inverse @ bp_y) - bp_y[0] ** 2 / n
+    bent = sums["bent"]
+    bp_tss = sums["e4"] - bent[0] ** 2 / n
+    bp_ess = float(bent @ inverse @ bent) - bent[0] ** 2 / n
     bp = n * bp_ess / bp_tss if bp_tss > 0 else None
-    jb = n / 6 * (got["skew"] ** 2 + got["kurt"] ** 2 / 4)
+    jb = n / 6 * (sums["skew"] ** 2 + sums["kurt"] ** 2 / 4)
     llf = -n / 2 * (math.log(2 * math.pi) + math.log(rss / n) + 1)
-    vifs = variance_inflation(gram)
-    summary = dict(
-        n=n, n_excluded=terms.n_excluded, r_squared=r2, adj_r_squared=1 - (1 - r2) * (n - 1) / dof,
+    return cov, dict(
+        r_squared=r2, adj_r_squared=1 - (1 - r2) * (n - 1) / dof,
         f_statistic=f_stat, f_p_value=dist.f_upper(f_stat, q, dof), dof_model=q, dof_resid=dof,
         rmse=math.sqrt(s2), aic=-2 * llf + 2 * p, bic=-2 * llf + math.log(n) * p,
         breusch_pagan=bp, breusch_pagan_p=None if bp is None else dist.chi2_upper(bp, q),
         jarque_bera=jb, jarque_bera_p=dist.chi2_upper(jb, 2),
-        influential_share=got["influential"] / n, max_cook=got["max_cook"], max_vif=float(vifs.max()))
-    spark = df.sparkSession
-    return Fit(_frame(spark, _coefficients(terms, beta, cov, dof)), _frame(spark, [summary]), terms, beta)
+        influential_share=sums["influential"] / n, max_cook=sums["max_cook"],
+        max_vif=float(variance_inflation(gram).max()))
 
 
 def vif(df: DataFrame, x: list[str]) -> DataFrame:
@@ -221,10 +231,8 @@ def logit(df: DataFrame, y: str, x: list[str], success_value, robust: str = "non
     n, k = terms.n, terms.k
 
     def pieces(eta):
-        mu = 1 / (1 + F.exp(-eta))
-        # log(1 + exp(eta)) without overflow
-        soft = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-        return F.col("y") - mu, mu * (1 - mu), F.col("y") * eta - soft
+        got = likelihood.logit_pieces(F.col("y"), eta)
+        return got["score"], got["info"], got["like"]
 
     terms.rows = terms.rows.persist()
     try:
@@ -237,19 +245,23 @@ def logit(df: DataFrame, y: str, x: list[str], success_value, robust: str = "non
     finally:
         terms.rows.unpersist()
     rows = _coefficients(terms, beta, cov, ratio="odds_ratio")
-    if max(r["std_error"] for r in rows) > 25.0:
-        raise Refusal("logit: the outcome is separated by the regressors, so no estimate exists")
+    if max(r["std_error"] for r in rows) > SEPARATED_ERROR:
+        raise Refusal(SEPARATED)
+    summary = dict(n=n, n_excluded=terms.n_excluded, **logit_figures(n, k, base, like))
+    spark = df.sparkSession
+    return Fit(_frame(spark, rows), _frame(spark, [summary]), terms, beta)
+
+
+def logit_figures(n: int, k: int, base: float, like: float) -> dict:
     null = n * (base * math.log(base) + (1 - base) * math.log(1 - base))
     lr = 2 * (like - null)
     events = int(round(min(base, 1 - base) * n))
-    summary = dict(
-        n=n, n_excluded=terms.n_excluded, successes=int(round(base * n)), base_rate=base,
+    return dict(
+        successes=int(round(base * n)), base_rate=base,
         log_likelihood=like, null_log_likelihood=null, pseudo_r_squared=1 - like / null,
         llr_statistic=lr, llr_p_value=dist.chi2_upper(lr, k), aic=-2 * like + 2 * (k + 1),
         bic=-2 * like + math.log(n) * (k + 1), events_per_predictor=events / k,
         events_ok=bool(events / k >= 10.0))
-    spark = df.sparkSession
-    return Fit(_frame(spark, rows), _frame(spark, [summary]), terms, beta)
 
 
 def events_per_predictor(df, y, x, success_value) -> DataFrame:
@@ -307,8 +319,8 @@ def _poisson(df, terms: Terms, exposed: bool) -> Fit:
     offset = _offset(exposed)
 
     def pieces(eta):
-        mu = F.exp(eta + offset)
-        return F.col("y") - mu, mu, F.col("y") * (eta + offset) - mu
+        got = likelihood.poisson_pieces(F.col("y"), eta + offset)
+        return got["score"], got["info"], got["like"]
 
     start = _count_start(terms, exposed)
     beta, cov, like = _newton(terms, pieces, start, "count_model")
@@ -323,18 +335,21 @@ def _poisson(df, terms: Terms, exposed: bool) -> Fit:
 
 
 def _count_fit(df, terms, beta, cov, like, null, got, more: dict, extra_params: int) -> Fit:
-    n, k = terms.n, terms.k
+    summary = dict(
+        n=terms.n, n_excluded=terms.n_excluded, mean_outcome=got["mean"], variance_outcome=got["var"],
+        **count_figures(terms.n, terms.k, like, null, got["chi2"], extra_params), **more)
+    spark = df.sparkSession
+    return Fit(_frame(spark, _coefficients(terms, beta, cov, ratio="irr")), _frame(spark, [summary]), terms, beta)
+
+
+def count_figures(n: int, k: int, like: float, null: float, chi2: float, extra_params: int) -> dict:
     dof = n - k - 1
     params = k + 1 + extra_params
-    p = dist.chi2_upper(got["chi2"], dof)
-    summary = dict(
-        n=n, n_excluded=terms.n_excluded, mean_outcome=got["mean"], variance_outcome=got["var"],
+    p = dist.chi2_upper(chi2, dof)
+    return dict(
         log_likelihood=like, null_log_likelihood=null, pseudo_r_squared=1 - like / null,
         aic=-2 * like + 2 * params, bic=-2 * like + math.log(n) * params,
-        pearson_chi2=got["chi2"], dof_resid=dof, dispersion=got["chi2"] / dof, dispersion_p=p,
-        dispersion_ok=bool(p >= 0.05), **more)
-    spark = df.sparkSession
-    return Fit(_frame(spark, _coefficients(terms, beta, cov, ratio="irr")), _frame(spark, [summary]), terms, beta)
+        pearson_chi2=chi2, dof_resid=dof, dispersion=chi2 / dof, dispersion_p=p, dispersion_ok=bool(p >= 0.05))
 
 
 def dispersion_check(df, y, x, exposure=None) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallywork.operators import gram as g
 from tallywork.operators import regression as r
+from tallywork.operators import segments as seg
 from tallywork.queries.base import query, rounded, table
 
 ONE = ("WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, "
@@ -221,6 +222,41 @@ def _(spark, d):
     return rounded(fit.coefficients.select("term", "coefficient", "std_error").crossJoin(fit.summary.select("alpha")))
 
 
+@query("count_model_segments", PER_CUSTOMER +
+       "g AS (SELECT area, part, CAST(sum(lines) AS DOUBLE) AS y, count(*) AS n FROM c GROUP BY 1, 2) "
+       "SELECT e.area, 'part[late]' AS term, round(ln((l.y / l.n) / (e.y / e.n)), 6) AS coefficient, round(sqrt(1 / l.y + 1 / e.y), 6) AS std_error "
+       "FROM g e JOIN g l USING (area) WHERE e.part = 'early' AND l.part = 'late' UNION ALL "
+       "SELECT area, '(Intercept)', round(ln(y / n), 6), round(sqrt(1 / y), 6) FROM g WHERE part = 'early'")
+def _(spark, d):
+    out = seg.count_model_by(lines_per_customer(spark, d), "lines", ["part"], ["area"]).coefficients
+    return rounded(out.select("area", "term", "coefficient", "std_error"))
+
+
+@query("ols_segments",
+       "WITH f AS (SELECT l_returnflag, l_linestatus, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, "
+       "avg(l_quantity) AS mx, regr_sxx(l_extendedprice, l_quantity) AS sxx, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1, 2), "
+       "e AS (SELECT l_returnflag, l_linestatus, a, b, mx, sxx, n, l_quantity - mx AS xc, l_extendedprice - a - b * l_quantity AS e, "
+       "1 / n + power(l_quantity - mx, 2) / sxx AS h FROM lineitem JOIN f USING (l_returnflag, l_linestatus)), "
+       "s AS (SELECT l_returnflag, l_linestatus, any_value(a) AS a, any_value(b) AS b, any_value(sxx) AS sxx, sum(e * e / power(1 - h, 2) * xc * xc) AS meat, "
+       "sum(e * e / power(1 - h, 2) * power(1 / n - mx * xc / sxx, 2)) AS meat0 FROM e GROUP BY 1, 2) "
+       "SELECT l_returnflag, l_linestatus, 'l_quantity' AS term, round(b, 4) AS coefficient, round(sqrt(meat) / sxx, 4) AS std_error FROM s UNION ALL "
+       "SELECT l_returnflag, l_linestatus, '(Intercept)', round(a, 4), round(sqrt(meat0), 4) FROM s")
+def _(spark, d):
+    out = seg.ols_by(lineitem(spark, d), "l_extendedprice", ["l_quantity"], ["l_returnflag", "l_linestatus"]).coefficients
+    return rounded(out.select("l_returnflag", "l_linestatus", "term", "coefficient", "std_error"), 4)
+
+
+@query("logit_segments",
+       "WITH k AS (SELECT o_custkey % 5 AS part, CAST(count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority >= '3') AS DOUBLE) AS a, "
+       "CAST(count(*) FILTER (o_orderstatus <> 'F' AND o_orderpriority >= '3') AS DOUBLE) AS b, CAST(count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority < '3') AS DOUBLE) AS c, "
+       "CAST(count(*) FILTER (o_orderstatus <> 'F' AND o_orderpriority < '3') AS DOUBLE) AS d FROM orders GROUP BY 1) "
+       "SELECT part, 'g[b]' AS term, round(ln(a * d / (b * c)), 6) AS coefficient, round(sqrt(1 / a + 1 / b + 1 / c + 1 / d), 6) AS std_error FROM k UNION ALL "
+       "SELECT part, '(Intercept)', round(ln(c / d), 6), round(sqrt(1 / c + 1 / d), 6) FROM k")
+def _(spark, d):
+    out = seg.logit_by(finals(spark, d).withColumn("part", F.col("o_custkey") % 5), "final", ["g"], "yes", ["part"]).coefficients
+    return rounded(out.select("part", "term", "coefficient", "std_error"))
+
+
 @query("quantile_regression")
 def _(spark, d):
     fit = r.quantile_regression(lineitem(spark, d), "l_extendedprice", ["l_quantity", "l_discount"], 0.5)
