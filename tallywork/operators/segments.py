@@ -397,7 +397,7 @@ def _climb(d: _Design, fits: DataFrame, family: str, what: str, offset: Column,
         cut = np.ix_(spots, spots)
         climb = likelihood.advance(climb, value, score[spots], info[cut], safe[cut], 2.0 if joint else 5.0)
         out = own | _placed(climb, use, k, joint)
-        if family == "logit" and climb.like > -1e-6 * row["n"]:
+        if family == "logit" and got.get("margin", 0.0) > 0:  # every row on its own side: no maximum exists
             return [out | {"reason": SEPARATED}]
         if joint and climb.tried[-1] < math.log(LEAST_ALPHA):
             return [out | {"reason": "count_model: no extra dispersion to estimate; use the Poisson family"}]
@@ -410,6 +410,9 @@ def _climb(d: _Design, fits: DataFrame, family: str, what: str, offset: Column,
         arguments = [F.col("y"), F.col("_eta"), *([F.col("theta")] if joint else [])]
         pieces = PIECES[family](*arguments)
         sums = likelihood.sums({c: F.col(f"_{c}") for c in pieces}, z)
+        if family == "logit":
+            pieces["margin"] = (2 * F.col("y") - 1) * F.col("_eta")
+            sums["margin"] = F.min("_margin")
         names[:] = list(sums)
         found = rows.select(*keys, *[f"z{i}" for i in range(k)], *[v.alias(f"_{c}") for c, v in pieces.items()]).groupBy(
             *keys).agg(F.array(*sums.values()).alias("sums"))
