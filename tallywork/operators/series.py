@@ -1,12 +1,14 @@
 """Series on a regular grid: spacing, gaps, decomposition, correlation, stationarity.
 
-Rows are aggregated to periods before anything else, so only periods (at most 20 000 per
-series) ever meet in one window or one kernel. ``by`` runs a fleet of series in one job.
+Rows are aggregated to periods before anything else, so only periods ever meet in one window or one
+kernel: a calendar of ten thousand years has 3.65 million days, however many rows there are. ``by`` runs a
+fleet of series in one job.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
@@ -17,10 +19,11 @@ from tallywork.operators.means import _attach
 from tallywork.operators.ordering import grouped_quantiles, previous_row
 from tallywork.operators.tables import calendar, grouped, period_end
 from tallywork.operators import series_kernels as kernels
+from tallywork.session import cut_lineage
 
 FREQS = {"D": 1.0, "W": 7.0, "ME": 30.44, "QE": 91.31, "YE": 365.25}  # nominal days
 SEASON = {"D": 7, "W": 52, "ME": 12, "QE": 4}
-MIN_PERIODS, MAX_PERIODS, MAX_EMPTY = 12, 20_000, 0.2
+MIN_PERIODS, MAX_EMPTY = 12, 0.2
 MAX_LAGS, MAX_DIFFERENCES, MIN_RESIDUAL = 60, 2, 10
 
 
@@ -51,19 +54,38 @@ def infer_frequency(df: DataFrame, date: str, by=()) -> DataFrame:
     return medians.select(*by, "median_gap_days", _nearest(F.col("median_gap_days")).alias("freq"))
 
 
-def _frequency(df, date, freq, by=()) -> str:
-    """The frequency asked for, or the one found; series of a fleet are each measured on their own dates."""
+def _with_frequency(df, date, freq, by=()) -> tuple[DataFrame, list[str]]:
+    """Rows with the frequency of their series as ``_freq``, and the frequencies that occur.
+
+    Without ``freq`` every series is measured on its own dates; one with a single date has one period
+    at any frequency and takes the first that occurs. Frequencies are joined only where they differ.
+    """
+    by = list(by)
+    need_columns(df, [date, *by])
+    if not is_date(dtype_of(df, date)):
+        raise Refusal(f"'{date}' is not a date column")
     if freq is not None:
         if freq not in FREQS:
             raise Refusal(f"unknown frequency {freq!r} (allowed: {list(FREQS)})")
-        return freq
-    found = infer_frequency(df, date, by).where("median_gap_days IS NOT NULL").select("freq").distinct()
-    found = sorted(r["freq"] for r in found.collect())  # at most one row a frequency
-    if not found:
+        return df.withColumn("_freq", F.lit(freq)), [freq]
+    own = infer_frequency(df, date, by).select(
+        *by, F.when(F.col("median_gap_days").isNotNull(), F.col("freq")).alias("_freq"))
+    own = cut_lineage(own)  # one row a series
+    found = {r["_freq"] for r in own.select("_freq").distinct().collect()}  # at most one row a frequency
+    freqs = [f for f in FREQS if f in found]
+    if not freqs:
         raise Refusal("a time series needs at least two distinct timestamps")
-    if len(found) > 1:
-        raise Refusal(f"the series have different frequencies ({', '.join(found)}); name one as freq")
-    return found[0]
+    if len(freqs) == 1:
+        return df.withColumn("_freq", F.lit(freqs[0])), freqs
+    return df.join(own, by, "left").fillna(freqs[0], ["_freq"]), freqs
+
+
+def _each(freqs: list[str], make) -> Column:
+    """``make(freq)`` for the frequency of the row's series."""
+    out = make(freqs[-1])
+    for freq in reversed(freqs[:-1]):
+        out = F.when(F.col("_freq") == freq, make(freq)).otherwise(out)
+    return out
 
 
 def _n_periods(first: Column, last: Column, freq: str) -> Column:
@@ -76,87 +98,97 @@ def _n_periods(first: Column, last: Column, freq: str) -> Column:
     return F.floor(steps).cast("long") + 1
 
 
-def _cells(df, date, values, freq, agg, by) -> DataFrame:
+def _cells(df, date, values, freqs, agg, by) -> DataFrame:
     """One row per (by, period) that holds rows, with row counts."""
     rows = df.select(
-        *by, period_end(quoted(date), freq).alias("period"), quoted(date).alias("_at"),
+        *by, "_freq", _each(freqs, lambda f: period_end(quoted(date), f)).alias("period"), quoted(date).alias("_at"),
         *[number(quoted(v)).alias(v) for v in values]).dropna()
-    keys = [*by, "period"]
+    keys = [*by, "_freq", "period"]
     cells = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"))
     for v in values:
         cells = cells.join(grouped(rows, keys, v, agg, v), keys)
     return cells
 
 
-def _periods(df, date, values, freq, agg, by) -> DataFrame:
-    """One row per (by, period) on the full calendar, with row counts; empty ones are null."""
-    cells, keys = _cells(df, date, values, freq, agg, by), [*by, "period"]
-    span = cells.groupBy(*by).agg(F.min("period").alias("_a"), F.max("period").alias("_z"))
-    days = F.datediff("_z", "_a")
-    longest = span.where(days > MAX_PERIODS * F.lit(FREQS[freq] * 1.05))
-    if not by and not longest.isEmpty():
-        raise Refusal(f"a {freq} grid over this date range is above {MAX_PERIODS} periods; resample coarser")
-    usable = span.where(days <= MAX_PERIODS * F.lit(FREQS[freq] * 1.05))
-    frame = usable.select(*by, F.explode(calendar(F.col("_a"), F.col("_z"), freq)).alias("period"))
-    return frame.join(cells, keys, "left").fillna(0, ["n_rows"])
-
-
-def series_report(df, date, values, freq=None, agg="mean", by=()) -> DataFrame:
-    """Per series: rows used, duplicate timestamps, periods, empty ones, and the reason for
-    refusing it (null when it can be analysed). Periods are counted from first and last, so that
-    series too long for a grid are listed too."""
+def series_report(df, date, values, freq=None, agg="mean", by=(), max_periods=None) -> DataFrame:
+    """Per series: rows used, duplicate timestamps, periods, empty ones, its frequency, and the reason for
+    refusing it (null when it can be analysed). Periods are counted from first and last."""
     by, values = list(by), [values] if isinstance(values, str) else list(values)
-    freq = _frequency(df, date, freq, by)
-    cells = _cells(df, date, values, freq, agg, by)
-    n_periods = F.coalesce(_n_periods(F.min("period"), F.max("period"), freq), F.lit(0).cast("long"))
+    rows, freqs = _with_frequency(df, date, freq, by)
+    cells = _cells(rows, date, values, freqs, agg, by)
     missing = F.count_if(F.array_contains(F.array(*[F.col(v).isNull() for v in values]), True))
     counts = cells.groupBy(*by).agg(
-        n_periods.alias("n_periods"), F.sum("n_rows").alias("n_used"), (n_periods - F.count("*")).alias("n_empty"),
-        (n_periods - F.count("*") + missing).alias("n_interpolated"))
-    rows = df.dropna(subset=[date, *values])
-    stamps = rows.groupBy(*by, date).agg(F.count("*").alias("c")).groupBy(*by).agg(
+        F.coalesce(F.first("_freq"), F.lit(freqs[0])).alias("_freq"), F.min("period").alias("_a"),
+        F.max("period").alias("_z"), F.sum("n_rows").alias("n_used"), F.count("*").alias("_n"), missing.alias("_m"))
+    n_periods = F.coalesce(_each(freqs, lambda f: _n_periods(F.col("_a"), F.col("_z"), f)), F.lit(0).cast("long"))
+    counts = counts.withColumn("n_periods", n_periods).select(
+        *by, "n_periods", "n_used", (F.col("n_periods") - F.col("_n")).alias("n_empty"),
+        (F.col("n_periods") - F.col("_n") + F.col("_m")).alias("n_interpolated"), F.col("_freq").alias("freq"))
+    stamps = df.dropna(subset=[date, *values]).groupBy(*by, date).agg(F.count("*").alias("c")).groupBy(*by).agg(
         F.sum(F.col("c") - 1).alias("n_duplicate_timestamps"))
-    reason = F.when(F.col("n_periods") > MAX_PERIODS, f"more than {MAX_PERIODS} periods").when(
-        F.col("n_periods") < MIN_PERIODS, f"fewer than {MIN_PERIODS} periods").when(
+    reason = F.when(F.col("n_periods") < MIN_PERIODS, f"fewer than {MIN_PERIODS} periods").when(
         F.col("n_empty") / F.col("n_periods") > MAX_EMPTY, "too many empty periods")
-    return _attach(counts, stamps, by).withColumn("freq", F.lit(freq)).withColumn("refused", reason)
+    if max_periods is not None:
+        reason = F.when(F.col("n_periods") > max_periods, f"more than {max_periods} periods").otherwise(reason)
+    return _attach(counts, stamps, by).select(
+        *by, "n_periods", "n_used", "n_empty", "n_interpolated", "n_duplicate_timestamps", "freq", reason.alias("refused"))
 
 
-def regular_grid(df, date, values, freq=None, agg="mean", by=(), minimum=MIN_PERIODS) -> DataFrame:
+def regular_grid(df, date, values, freq=None, agg="mean", by=(), minimum=MIN_PERIODS, max_periods=None) -> DataFrame:
     """Periods with values, time-weighted interpolation of empty ones, and a running index.
 
-    A single series that is too short, too long or too gappy is refused; in a fleet such
-    series are left out (``series_report`` lists them with the reason).
+    A single series that is too short or too gappy (or above ``max_periods``, if given) is refused; in a
+    fleet such series are left out (``series_report`` lists them with the reason). Series of a fleet
+    without ``freq`` each have their own, in the column ``freq``. A series is judged by counts before its gaps are
+    opened, so that no more than a fifth of its periods is ever made up; a gap is opened from the period before it.
     """
     by, values = list(by), [values] if isinstance(values, str) else list(values)
-    need_columns(df, [date, *values, *by])
-    if not is_date(dtype_of(df, date)):
-        raise Refusal(f"'{date}' is not a date column")
-    freq = _frequency(df, date, freq, by)
-    grid = _periods(df, date, values, freq, agg, by)
-    whole = W.partitionBy(*by)
-    grid = grid.withColumns({
-        "n": F.count("*").over(whole), "_empty": F.count_if(F.col("n_rows") == 0).over(whole)})
-    sound = (F.col("n") >= minimum) & (F.col("n") <= MAX_PERIODS) & (F.col("_empty") <= MAX_EMPTY * F.col("n"))
+    need_columns(df, values)
+    rows, freqs = _with_frequency(df, date, freq, by)
+    grid = _grid(rows, date, values, freqs, agg, by, minimum, max_periods)
+    return grid.withColumnRenamed("_freq", "freq") if by and freq is None else grid.drop("_freq")
+
+
+def _grid(rows, date, values, freqs, agg, by, minimum=MIN_PERIODS, max_periods=None) -> DataFrame:
+    period, whole = F.col("period"), W.partitionBy(*by)
+    cells = _cells(rows, date, values, freqs, agg, by).withColumns({
+        "_a": F.min("period").over(whole), "_z": F.max("period").over(whole), "_cells": F.count("*").over(whole)})
+    cells = cells.withColumn("n", _each(freqs, lambda f: _n_periods(F.col("_a"), F.col("_z"), f)))
+    sound = (F.col("n") >= minimum) & (F.col("n") - F.col("_cells") <= MAX_EMPTY * F.col("n"))
+    if max_periods is not None:
+        sound = sound & (F.col("n") <= max_periods)
     if by:
-        grid = grid.where(sound)
+        cells = cells.where(sound)
     else:
         stop = F.raise_error(F.lit("too few, too many or too many empty periods for a series"))
-        grid = grid.where(F.when(sound, True).otherwise(stop.cast("boolean")))
-    order = W.partitionBy(*by).orderBy("period")
-    back, ahead = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(0, W.unboundedFollowing)
-    day = F.unix_date("period")
-    filled, missing = {}, F.lit(False)
-    for v in values:
-        at = F.when(F.col(v).isNotNull(), day)
-        lo, hi = F.last(v, ignorenulls=True).over(back), F.first(v, ignorenulls=True).over(ahead)
-        t0, t1 = F.last(at, ignorenulls=True).over(back), F.first(at, ignorenulls=True).over(ahead)
-        between = lo + (hi - lo) * (day - t0) / F.when(t1 > t0, t1 - t0)
-        filled[v] = F.coalesce(F.col(v), between, lo, hi).cast("double")
+        cells = cells.where(F.when(sound, True).otherwise(stop.cast("boolean")))
+    # both directions carry values forward: a frame that looks ahead would be read anew for every row
+    up, down = whole.orderBy("period"), whole.orderBy(F.col("period").desc())
+    back, ahead = up.rowsBetween(W.unboundedPreceding, 0), down.rowsBetween(W.unboundedPreceding, -1)
+    carried = {"_next": F.lead("period").over(up)}
+    for i, v in enumerate(values):
+        known = F.when(F.col(v).isNotNull(), F.struct(period.alias("t"), F.col(v).alias("v")))
+        carried |= {f"_lo{i}": F.last(known, ignorenulls=True).over(back),
+                    f"_hi{i}": F.last(known, ignorenulls=True).over(ahead)}
+
+    def until_next(f):
+        steps = (_n_periods(period, F.col("_next"), f) - 1).cast("int")
+        return F.slice(calendar(period, F.col("_next"), f), F.lit(1), steps)
+
+    listed = F.when(F.col("_next").isNull(), F.array(period)).otherwise(_each(freqs, until_next))
+    grid = cells.withColumns(carried).withColumn("_period", F.explode(listed))
+    day, here = F.unix_date("_period"), F.col("_period") == period
+    filled, missing = {}, ~here
+    for i, v in enumerate(values):
+        lo, hi = F.col(f"_lo{i}.v"), F.col(f"_hi{i}.v")
+        t0, t1 = F.unix_date(f"_lo{i}.t"), F.unix_date(f"_hi{i}.t")
+        between = lo + (hi - lo) * (day - t0) / (t1 - t0)
+        filled[v] = F.coalesce(F.when(here, F.col(v)), between, lo, hi).cast("double")
         missing = missing | F.col(v).isNull()
+    idx = _each(freqs, lambda f: _n_periods(F.col("_a"), F.col("_period"), f) - 1).cast("int")
     return grid.select(
-        *by, "period", (F.row_number().over(order) - 1).alias("idx"), "n",
-        *[e.alias(v) for v, e in filled.items()], missing.alias("was_interpolated"))
+        *by, F.col("_period").alias("period"), idx.alias("idx"), "n",
+        *[e.alias(v) for v, e in filled.items()], missing.alias("was_interpolated"), "_freq")
 
 
 def season_length(freq: str, declared: int | None = None) -> int:
@@ -195,7 +227,7 @@ def decompose_classical(grid: DataFrame, value: str, period: int, by=()) -> Data
 
 
 def _per_series(grid: DataFrame, by: list[str], kernel, out: str) -> DataFrame:
-    """Run a small numeric kernel on each series (bounded by the period guard)."""
+    """Run a small numeric kernel on each series (bounded by the calendar)."""
     keyed = grid if by else grid.withColumn("_one", F.lit(0))
     keys = by or ["_one"]
     key_schema = ", ".join(f"`{k}` {dict(keyed.dtypes)[k]}" for k in keys)
@@ -230,18 +262,26 @@ def decompose_stl(grid: DataFrame, value: str, period: int, by=()) -> DataFrame:
 
 
 def decompose(df, date, value, freq=None, agg="mean", seasonal_period=None, by=()) -> DataFrame:
-    """STL with three cycles or more, the classical form with two, refused below."""
-    freq = _frequency(df, date, freq, by)
-    period = season_length(freq, seasonal_period)
-    grid = regular_grid(df, date, value, freq, agg, by)
+    """STL with three cycles or more, the classical form with two, refused below.
+
+    Series of a fleet have the cycle of their own frequency; those whose frequency implies none are left
+    out, unless that leaves no frequency."""
     by = list(by)
+    rows, freqs = _with_frequency(df, date, freq, by)
+    cyclic = [f for f in freqs if seasonal_period is not None or f in SEASON] or freqs
+    periods = {f: season_length(f, seasonal_period) for f in cyclic}
+    grid = _grid(rows, date, [value], freqs, agg, by)
     if not by:
-        n = grid.count()
+        n, period = grid.count(), periods[freqs[0]]
         if n < 2 * period:
             raise Refusal(f"decompose: {n} periods are fewer than two cycles of {period}")
         return (decompose_stl if n >= 3 * period else decompose_classical)(grid, value, period, by)
-    two = grid.where((F.col("n") >= 2 * period) & (F.col("n") < 3 * period))
-    return decompose_stl(grid, value, period, by).unionByName(decompose_classical(two, value, period, by))
+    parts = []
+    for f, period in periods.items():
+        of = grid.where(F.col("_freq") == f)
+        two = of.where((F.col("n") >= 2 * period) & (F.col("n") < 3 * period))
+        parts += [decompose_stl(of, value, period, by), decompose_classical(two, value, period, by)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def component_strength(parts: DataFrame, by=()) -> DataFrame:
@@ -490,14 +530,17 @@ def granger_causality(grid: DataFrame, value: str, cause: str, max_lag: int | No
 
 
 def forecast(
-    grid: DataFrame, value: str, freq: str, horizon: int = 12, order=(1, 0, 0), seasonal=(0, 0, 0), season: int = 0, by=()
+    grid: DataFrame, value: str, freq: str | None, horizon: int = 12, order=(1, 0, 0), seasonal=(0, 0, 0),
+    season: int = 0, by=()
 ) -> DataFrame:
     """ARIMA per series by conditional sum of squares: forecasts with 95 % intervals and the
-    fit's coefficients, information criteria and residual sum beside them."""
+    fit's coefficients, information criteria and residual sum beside them. Without ``freq`` each
+    series goes on at the frequency in the grid's column ``freq``."""
     if any(seasonal) and season < 2:
         raise Refusal("forecast: a seasonal order needs a season of at least 2")
     needed = sum(order) + sum(seasonal) * max(season, 1) + MIN_RESIDUAL
-    by = list(by)
+    by, freqs = list(by), [freq] if freq else list(FREQS)
+    grid = grid.withColumn("_freq", F.lit(freq) if freq else F.col("freq"))
     fit = kernels.arima
 
     def kernel(pdf):
@@ -509,7 +552,7 @@ def forecast(
         return frame
 
     out = _per_series(
-        grid.select(*by, "period", "idx", "n", value).where(F.col("n") >= needed), by, kernel,
+        grid.select(*by, "_freq", "period", "idx", "n", value).where(F.col("n") >= needed), [*by, "_freq"], kernel,
         "step int, forecast double, low double, high double, coefficients array<double>, sigma2 double, "
         "aic double, bic double, period date")
     step = F.col("step")
@@ -517,4 +560,5 @@ def forecast(
         "D": F.date_add("period", step), "W": F.date_add("period", step * 7),
         "ME": F.last_day(F.add_months("period", step)),
         "QE": F.last_day(F.add_months("period", step * 3)), "YE": F.last_day(F.add_months("period", step * 12))}
-    return out.withColumn("period", moved[freq]).withColumn("estimator", F.lit("css"))
+    moved = out.withColumn("period", _each(freqs, moved.get)).withColumn("estimator", F.lit("css"))
+    return moved.drop("_freq") if freq else moved.withColumnRenamed("_freq", "freq")

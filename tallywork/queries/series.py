@@ -71,6 +71,53 @@ def _(spark, d):
     return out.select("event_type", "n_periods", "n_used", "n_duplicate_timestamps", "freq")
 
 
+# every event type by day, and all orders by month, as one fleet whose series find their own frequency
+FLEET = ("WITH r AS (SELECT event_type AS series, 'D' AS freq, CAST(ts AS DATE) AS period, value AS v FROM events UNION ALL "
+         "SELECT 'orders', 'ME', last_day(o_orderdate), o_totalprice FROM orders), "
+         "c AS (SELECT series, freq, period, avg(v) AS v FROM r GROUP BY ALL), "
+         "s AS (SELECT series, freq, min(period) AS a, max(period) AS z, count(*) AS cells FROM c GROUP BY ALL), "
+         "p AS (SELECT series, freq, cells, unnest(CASE WHEN freq = 'D' THEN generate_series(a, z, INTERVAL 1 DAY) "
+         "ELSE [CAST(last_day(x) AS TIMESTAMP) FOR x IN generate_series(date_trunc('month', a), z, INTERVAL 1 MONTH)] END)::DATE AS period FROM s), "
+         "g AS (SELECT series, freq, period, v, cells, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY series) AS n, "
+         "last_value(v IGNORE NULLS) OVER w AS lo, last_value(CASE WHEN v IS NOT NULL THEN period END IGNORE NULLS) OVER w AS t0, "
+         "first_value(v IGNORE NULLS) OVER f AS hi, first_value(CASE WHEN v IS NOT NULL THEN period END IGNORE NULLS) OVER f AS t1 "
+         "FROM p LEFT JOIN c USING (series, freq, period) WINDOW w AS (PARTITION BY series ORDER BY period), "
+         "f AS (PARTITION BY series ORDER BY period ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) ")
+
+
+@query("regular_grid_mixed_fleet", FLEET +
+       f"SELECT series, {DATE}, CAST(idx AS INTEGER) AS idx, n, freq, v IS NULL AS was_interpolated, "
+       "round(coalesce(v, lo + (hi - lo) * date_diff('day', t0, period) / date_diff('day', t0, t1)), 6) AS value "
+       "FROM g WHERE n >= 12 AND n - cells <= 0.2 * n")
+def _(spark, d):
+    events = table(spark, d, "events").selectExpr("event_type AS series", "to_date(ts) AS at", "value")
+    orders = table(spark, d, "orders").selectExpr(
+        "'orders' AS series", "to_date(date_trunc('month', o_orderdate)) AS at", "o_totalprice AS value")
+    return dated(rounded(s.regular_grid(events.unionByName(orders), "at", "value", by=["series"]), 6))
+
+
+# lines dealt to the days of 82 years by their order, and one short series beside it
+LONG_DAY = "CAST((2 * l_orderkey + l_linenumber % 2) % 30000 AS INTEGER)"
+
+
+@query("regular_grid_long_series",
+       f"WITH r AS (SELECT 'all' AS series, {LONG_DAY} AS d, l_quantity AS v FROM lineitem UNION ALL "
+       f"SELECT 'first month', {LONG_DAY}, l_quantity FROM lineitem WHERE {LONG_DAY} < 30), "
+       "c AS (SELECT series, d, avg(CAST(v AS DOUBLE)) AS v FROM r GROUP BY ALL), "
+       "s AS (SELECT series, min(d) AS a, max(d) AS z, count(*) AS cells FROM c GROUP BY 1), "
+       "p AS (SELECT series, a, z, cells, CAST(unnest(generate_series(a, z)) AS INTEGER) AS d FROM s), "
+       "k AS (SELECT series, d, v, a, z - a + 1 AS n, cells, last_value(v IGNORE NULLS) OVER w AS lo, last_value(CASE WHEN v IS NOT NULL THEN d END IGNORE NULLS) OVER w AS t0, "
+       "last_value(v IGNORE NULLS) OVER f AS hi, last_value(CASE WHEN v IS NOT NULL THEN d END IGNORE NULLS) OVER f AS t1 FROM p LEFT JOIN c USING (series, d) "
+       "WINDOW w AS (PARTITION BY series ORDER BY d), f AS (PARTITION BY series ORDER BY d DESC)) "
+       "SELECT series, strftime(DATE '1900-01-01' + d, '%Y-%m-%d') AS period, d - a AS idx, CAST(n AS BIGINT) AS n, v IS NULL AS was_interpolated, "
+       "round(coalesce(v, lo + (hi - lo) * (d - t0) / (t1 - t0)), 6) AS value FROM k WHERE n >= 12 AND n - cells <= 0.2 * n")
+def _(spark, d):
+    lines = table(spark, d, "lineitem").selectExpr(f"{LONG_DAY} AS d", "CAST(l_quantity AS DOUBLE) AS value")
+    series = lines.selectExpr("d", "value", "explode(CASE WHEN d < 30 THEN array('all', 'first month') ELSE array('all') END) AS series")
+    series = series.withColumn("at", F.expr("date_add(DATE'1900-01-01', d)"))
+    return dated(rounded(s.regular_grid(series, "at", "value", "D", by=["series"]), 6))
+
+
 CLASSIC = MONTHS + (
     ", t AS (SELECT *, CASE WHEN idx >= 6 AND idx < n - 6 THEN (sum(v) OVER (ORDER BY idx ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) "
     "- (lag(v, 6) OVER (ORDER BY idx) + lead(v, 6) OVER (ORDER BY idx)) / 2) / 12 END AS trend FROM g), "

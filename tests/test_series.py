@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tallywork.errors import Refusal
 from tallywork.operators import series as s
@@ -52,27 +53,82 @@ def test_grid_fills_gaps_by_time(spark):
     assert (report["n_periods"], report["n_empty"], report["refused"]) == (20, 2, None)
 
 
-def test_report_lists_long_series(spark):
-    # 23,000 days on end, and 40 days
-    day = lambda n, name: spark.range(n).selectExpr(
-        f"'{name}' AS who", "CAST(date_add(DATE'1950-01-01', CAST(id AS int)) AS timestamp_ntz) AS date", "CAST(id AS double) AS value")
-    both = day(23_000, "long").unionByName(day(40, "short"))
+def days_on_end(spark, n, name):
+    return spark.range(n).selectExpr(
+        f"'{name}' AS who", "CAST(date_add(DATE'1900-01-01', CAST(id AS int)) AS timestamp_ntz) AS date",
+        "CAST(id % 9 AS double) AS value")
+
+
+def test_long_series(spark):
+    both = days_on_end(spark, 30_000, "long").where("dayofyear(date) <> 60").unionByName(days_on_end(spark, 40, "short"))
     report = {r["who"]: r for r in s.series_report(both, "date", "value", "D", by=["who"]).collect()}
-    assert (report["long"]["n_periods"], report["long"]["n_used"], report["long"]["n_empty"]) == (23_000, 23_000, 0)
-    assert report["long"]["refused"] == "more than 20000 periods"
+    assert (report["long"]["n_periods"], report["long"]["n_empty"], report["long"]["refused"]) == (30_000, 82, None)
     assert (report["short"]["n_periods"], report["short"]["refused"]) == (40, None)
-    assert s.series_report(day(23_000, "long"), "date", "value", "D").first()["refused"] == "more than 20000 periods"
-    assert {r["who"] for r in s.regular_grid(both, "date", "value", "D", by=["who"]).select("who").distinct().collect()} == {"short"}
+    grid = s.regular_grid(both, "date", "value", "D", by=["who"])
+    rows = grid.where("who = 'long'").orderBy("idx").collect()
+    assert [r["idx"] for r in rows] == list(range(30_000))
+    assert [r["period"] for r in rows] == [dt.date(1900, 1, 1) + dt.timedelta(days=i) for i in range(30_000)]
+    for i, r in enumerate(rows):
+        empty = r["period"].timetuple().tm_yday == 60
+        want = ((i - 1) % 9 + (i + 1) % 9) / 2 if empty else i % 9
+        assert r["was_interpolated"] == empty and r["value"] == pytest.approx(want)
+    acf = s.autocorrelation(grid, "value", 9, by=["who"]).where("who = 'long' AND lag = 9").first()
+    assert acf["n"] == 30_000 and acf["acf"] > 0.98
+
+
+def test_longest_series_on_request(spark):
+    both = days_on_end(spark, 300, "long").unionByName(days_on_end(spark, 40, "short"))
+    report = s.series_report(both, "date", "value", "D", by=["who"], max_periods=200)
+    assert {r["who"]: r["refused"] for r in report.collect()} == {"long": "more than 200 periods", "short": None}
+    grid = s.regular_grid(both, "date", "value", "D", by=["who"], max_periods=200)
+    assert {r["who"] for r in grid.select("who").distinct().collect()} == {"short"}
+    with pytest.raises(PySparkException, match="too many"):
+        s.regular_grid(days_on_end(spark, 300, "long"), "date", "value", "D", max_periods=200).collect()
 
 
 def test_report_counts_periods_as_the_calendar(spark):
     days = [0, 3, 40, 41, 200, 395, 800, 1500]
     df = spark.createDataFrame([(START + dt.timedelta(days=d), float(d)) for d in days], "date timestamp_ntz, value double")
     for freq in s.FREQS:
-        grid = s._periods(df, "date", ["value"], freq, "mean", []).collect()
+        end = s.period_end(F.col("date"), freq)
+        ends = df.agg(F.min(end).alias("a"), F.max(end).alias("z"))
+        want = set(ends.select(s.calendar(F.col("a"), F.col("z"), freq)).first()[0])
+        held = {r["p"] for r in df.select(end.alias("p")).collect()}
         report = s.series_report(df, "date", "value", freq).first()
-        empty = sum(r["n_rows"] == 0 for r in grid)
-        assert (report["n_periods"], report["n_empty"], report["n_interpolated"]) == (len(grid), empty, empty)
+        empty = len(want - held)
+        assert (report["n_periods"], report["n_empty"], report["n_interpolated"]) == (len(want), empty, empty)
+
+
+@pytest.mark.parametrize("freq", ["D", "W", "ME", "QE", "YE"])
+def test_grid_is_the_calendar(spark, freq):
+    """Gaps opened from the period before them, against one calendar from first to last."""
+    rng = np.random.default_rng(3)
+    step = int(s.FREQS[freq])
+    kept = [i for i in range(60) if i in (0, 59) or rng.random() < 0.9]
+    rows = [(START + dt.timedelta(days=step * i + 3), float(rng.integers(100))) for i in kept]
+    df = spark.createDataFrame(rows, "date timestamp_ntz, value double")
+    got = s.regular_grid(df, "date", "value", freq).orderBy("idx").collect()
+    end = s.period_end(F.col("date"), freq)
+    cells = {r["p"]: r["v"] for r in df.groupBy(end.alias("p")).agg(F.avg("value").alias("v")).collect()}
+    periods = df.agg(F.min(end).alias("a"), F.max(end).alias("z")).select(s.calendar(F.col("a"), F.col("z"), freq)).first()[0]
+    assert [r["period"] for r in got] == periods and [r["idx"] for r in got] == list(range(len(periods)))
+    x = [p.toordinal() for p in periods]
+    held = sorted(cells)
+    want = np.interp(x, [p.toordinal() for p in held], [cells[p] for p in held])
+    np.testing.assert_allclose([r["value"] for r in got], want)
+    assert [r["was_interpolated"] for r in got] == [p not in cells for p in periods]
+
+
+def test_periods_without_an_aggregate_are_interpolated(spark):
+    # one row has no standard deviation: its period is there, but without a value
+    rows = [(START + dt.timedelta(days=i), float(v)) for i in range(20) for v in ((0, i + 1) if i not in (0, 4, 5) else (7,))]
+    df = spark.createDataFrame(rows, "date timestamp_ntz, value double")
+    got = s.regular_grid(df, "date", "value", "D", "std").orderBy("idx").collect()
+    root = math.sqrt(2)
+    want = [(i + 1) / root for i in range(20)]
+    want[0] = want[1]
+    np.testing.assert_allclose([r["value"] for r in got], want)
+    assert [r["idx"] for r in got if r["was_interpolated"]] == [0, 4, 5]
 
 
 def test_grid_refuses(spark):
@@ -203,6 +259,36 @@ def test_fleet_frequency(spark):
     staggered = {f"s{d}": [dt.datetime(2015 + m // 12, m % 12 + 1, d) for m in range(36)] for d in (1, 5, 9, 20)}
     grid = s.regular_grid(fleet(spark, staggered), "date", "value", by=["key"])
     assert grid.count() == 4 * 36
-    days = {"daily": [START + dt.timedelta(days=i) for i in range(30)]}
-    with pytest.raises(Refusal, match="D, ME"):
-        s.regular_grid(fleet(spark, staggered | days), "date", "value", by=["key"])
+    assert {r["freq"] for r in grid.collect()} == {"ME"}
+
+
+def test_fleet_of_mixed_frequencies(spark):
+    """Every series as if it were alone; a single date makes a series too short, nothing more."""
+    series = {
+        "monthly": [dt.datetime(2015 + m // 12, m % 12 + 1, 5) for m in range(40)],
+        "daily": [START + dt.timedelta(days=i) for i in range(30) if i != 11],
+        "weekly": [START + dt.timedelta(days=7 * i) for i in range(20)],
+        "yearly": [dt.datetime(1990 + y, 6, 1) for y in range(30)],
+        "once": [START],
+    }
+    df = fleet(spark, series)
+    grid = s.regular_grid(df, "date", "value", by=["key"])
+    freqs = {"monthly": "ME", "daily": "D", "weekly": "W", "yearly": "YE"}
+    got = {k: [tuple(r)[1:] for r in grid.where(F.col("key") == k).orderBy("idx").collect()] for k in freqs}
+    report = {r["key"]: r for r in s.series_report(df, "date", "value", by=["key"]).collect()}
+    assert report["once"]["refused"] == "fewer than 12 periods" and "once" not in {r["key"] for r in grid.collect()}
+    for key, freq in freqs.items():
+        alone = s.regular_grid(df.where(F.col("key") == key), "date", "value").orderBy("idx").collect()
+        assert got[key] == [(*r, freq) for r in alone]
+        assert (report[key]["freq"], report[key]["n_periods"], report[key]["refused"]) == (freq, len(alone), None)
+    parts = s.decompose(df, "date", "value", by=["key"])  # weekly: under two cycles; yearly: no cycle
+    assert {r["key"] for r in parts.collect()} == {"monthly", "daily"}
+    for key in ("monthly", "daily"):
+        alone = s.decompose(df.where(F.col("key") == key), "date", "value").orderBy("idx").collect()
+        both = parts.where(F.col("key") == key).drop("key").orderBy("idx").collect()
+        assert [r["residual"] for r in both] == [None if r["residual"] is None else pytest.approx(r["residual"]) for r in alone]
+    ahead = s.forecast(grid, "value", None, 1, (0, 1, 0), by=["key"])
+    assert {r["key"]: r["period"] for r in ahead.collect()} == {
+        "monthly": dt.date(2018, 5, 31), "daily": dt.date(2020, 1, 31), "weekly": dt.date(2020, 5, 24), "yearly": dt.date(2020, 12, 31)}
+    with pytest.raises(Refusal, match="no implied cycle"):
+        s.decompose(df.where("key = 'yearly'"), "date", "value", by=["key"])
