@@ -615,3 +615,26 @@ def test_decontamination_in_many_blocks(documents, spark):
     assert all(out[i][c] == whole[i][c] for i, _ in texts for c in names)
     assert (out[1]["n_hit"], out[1]["n_items"]) == (45, 3) and out[1]["items_sha256"] == hashlib.sha256("a,b,é".encode()).hexdigest()
     assert (out[2]["n_hit"], out[2]["n_items"], out[3]["n_words"], out[3]["n_hit"], out[4]["n_items"]) == (18, 1, 0, 0, 0)
+
+
+def test_decontamination_blocks_are_bounded(spark):
+    """Blocks are cut by the memory their automaton takes, inside an item too; no window is lost."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(30_000)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:40])), (3, "")], "item_id long, text string")
+    limit = 8 << 20
+    blocks = list(decontamination.item_blocks(items, "item_id", "text", 13, limit))
+    assert len(blocks) > 3 and all(b.bytes < limit + 2_000 for b in blocks)
+    assert sum(len(b.items) for b in blocks) == 30_000 - 12 + (28 if len(blocks) > 1 else 0)
+    for b in blocks:
+        states = b.automaton().get_stats()
+        assert states["total_size"] <= limit
+    met = [decontamination.scan(" ".join(["and"] + words + ["so"]), b.words, b.automaton()) for b in blocks]
+    hit = {i for _, spans, _ in met for a, z in spans for i in range(a, z)}
+    assert hit == set(range(1, 30_001)) and set.union(*[ids for _, _, ids in met]) == {"1", "2"}
+
+
+def test_decontamination_of_no_documents(documents, spark):
+    items = spark.createDataFrame([(1, "one two"), (2, " ".join("abcdefghijklmnop"))], "item_id long, text string")
+    for limit in (1, 1 << 20):
+        assert decontamination.decontaminate(documents([]), items, block_bytes=limit).collect() == []
