@@ -1,12 +1,15 @@
 """HTML to text, laid out: block spacing, lists and aligned table cells; invisible content left out.
 
 The standard library's tokenizer feeds a tree builder that closes elements whose end tags HTML lets
-authors leave out. The tree is walked without recursion. Not visible are comments, hidden elements
-(``hidden``, ``display:none``, ``visibility:hidden``, hidden inputs), the head, scripts, styles, templates,
+authors leave out; open elements are found by their tag, so that a page takes time in proportion to its
+length however deep it nests. The tree is walked without recursion. Not visible are comments, hidden elements
+(``hidden``, ``display:none``, hidden inputs), closed dialogs, all but the summary of closed details, what
+``visibility:hidden`` covers (but not a ``visibility:visible`` inside it), the head, scripts, styles, templates,
 titles, datalists, what stands in for scripts or embedded media (noscript, iframe, object, audio, video,
 canvas), and in formulas and drawings annotations, descriptions, metadata and definitions. Blocks stand
 on lines of their own, paragraphs and headings after a blank line, list items behind a bullet or number,
-table cells in columns of equal width, preformatted text as it is. Formulas, text areas, all options of a
+table cells in columns of equal width (``colspan`` and ``rowspan`` keep the places they span empty),
+preformatted text as it is. Formulas, text areas, all options of a
 select and the text elements of drawings run with the text around them.
 
 Defined results: a null page gives null, an empty one an empty text; text outside any element is kept;
@@ -16,6 +19,7 @@ stray end tags are ignored; what is still open at the end is closed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -51,7 +55,9 @@ SCOPE = {
 CLOSES_P = SPACED | set("address article aside details div fieldset figcaption footer form header main menu nav section".split())
 ROOTS = {"table", "td", "th", "caption"}
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+VEILING = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+TO_THE_END = 65_534  # fixed value of the language: the tallest cell
 
 
 class Node:
@@ -68,17 +74,22 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("")
         self.open = [self.root]
+        self.at: dict[str, list[int]] = {}  # positions of the open elements of each tag
+
+    def cut(self, at: int) -> None:
+        """Close the open elements from position ``at`` on."""
+        while len(self.open) > at:
+            self.at[self.open.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
     def close_to(self, tags: set[str], within: set[str]) -> None:
         """Close the outermost open element of ``tags`` that no element of ``within`` encloses further in."""
-        found = None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in within:
-                break
-            if self.open[i].tag in tags:
-                found = i
-        if found is not None:
-            del self.open[found:]
+        edge = self.last(within)
+        found = [held[i] for held in map(self.at.get, tags) if held and (i := bisect_right(held, edge)) < len(held)]
+        if found:
+            self.cut(min(found))
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
@@ -86,33 +97,31 @@ class Builder(HTMLParser):
         if tag in CLOSES:
             self.close_to(CLOSES[tag], SCOPE[tag])
         if tag not in IN_HEAD and self.open[-1].tag == "head":
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         node = Node(tag, {k: v or "" for k, v in attrs})
         if tag in UNSHOWN and self.inside("svg", "math"):
             node.attrs["hidden"] = ""
         self.open[-1].children.append(node)
         if tag not in VOID:
+            self.at.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def inside(self, *tags: str) -> bool:
-        return any(node.tag in tags for node in reversed(self.open))
+        return any(self.at.get(t) for t in tags)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # the slash means nothing on HTML elements that can have content
         if tag in FOREIGN and self.inside("svg", "math"):
-            self.open.pop()
+            self.cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in ROOTS and tag not in ROOTS and tag not in CLOSES:
-                return
+        at = self.last([tag])
+        if at and (tag in ROOTS or tag in CLOSES or at > self.last(ROOTS)):
+            self.cut(at)
 
     def handle_data(self, data):
         if self.open[-1].tag == "head" and SPACE.sub("", data):
-            self.open.pop()
+            self.cut(len(self.open) - 1)
         if self.open[-1].tag in DRAWN and self.inside("svg"):
             return
         self.open[-1].children.append(data)
@@ -123,28 +132,40 @@ def visible(node: Node) -> bool:
     return not (
         node.tag in INVISIBLE or "hidden" in a or HIDING.search(a.get("style", ""))
         or (node.tag == "input" and a.get("type", "").lower() == "hidden")
+        or (node.tag == "dialog" and "open" not in a)
     )
 
 
+def shown_children(node: Node) -> list:
+    """Of closed details only the first summary is shown."""
+    if node.tag != "details" or "open" in node.attrs:
+        return node.children
+    return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+
+
 class Page:
     """Collects lines: inline text runs together, blocks break, spaced blocks leave a blank line."""
 
     def __init__(self):
-        self.lines, self.line, self.gap, self.prefix = [], "", False, ""
+        self.lines, self.gap, self.prefix = [], False, ""
+        self.parts, self.inked, self.last = [], False, " "  # of the line begun: its pieces, any text in it, its last character
+
+    def put(self, text: str) -> None:
+        if text:
+            self.parts.append(text)
+            self.inked, self.last = self.inked or not text.isspace(), text[-1]
 
     def inline(self, text: str) -> None:
         text = SPACE.sub(" ", text)
-        if not self.line or self.line.endswith(" "):
-            text = text.lstrip(" ")
-        self.line += text
+        self.put(text.lstrip(" ") if self.last == " " else text)
 
     def end_line(self) -> None:
-        if self.line.strip():
+        if self.inked:
             if self.gap and self.lines:
                 self.lines.append("")
-            self.lines.append((self.prefix + self.line).rstrip())
+            self.lines.append((self.prefix + "".join(self.parts)).rstrip())
             self.gap, self.prefix = False, " " * len(self.prefix)
-        self.line = ""
+        self.parts, self.inked, self.last = [], False, " "
 
     def block(self, spaced: bool) -> None:
         self.end_line()
@@ -152,19 +173,41 @@ class Page:
 
     def raw(self, text: str) -> None:
         first, *rest = text.split("\n")
-        self.line += first
+        self.put(first)
         for more in rest:
-            if self.line.strip():
-                self.end_line()
-            elif self.lines:
+            if not self.inked and self.lines:
                 self.lines.append("")
-            self.line = more
+            self.end_line()
+            self.put(more)
 
     def text(self) -> str:
         self.end_line()
         return "\n".join(self.lines).strip("\n")
 
 
+def whole(text: str, limit: int) -> int:
+    """A span as authors write it; what is no number counts as one."""
+    return min(int(text), limit) if re.fullmatch(r"\d{1,5}", text) else 1
+
+
+def laid_out(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
+    """Cells (text, columns, rows) in their places; the places that a cell spans stay empty."""
+    out, taken = [], {}  # column -> rows below in which a taller cell still takes it
+    for row in rows:
+        line: list[str] = []
+        below: dict[int, int] = {}
+        for text, wide, tall in row:
+            while taken.get(len(line)):
+                line.append("")
+            for _ in range(wide):
+                below[len(line)] = tall - 1
+                line.append(text)
+                text = ""
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | {c: n for c, n in below.items() if n > 0}
+        out.append(line)
+    return out
+
+
 def aligned(rows: list[list[str]]) -> list[str]:
     """Rows of cell texts as lines whose columns have equal width."""
     widths: list[int] = []
@@ -185,26 +228,32 @@ def aligned(rows: list[list[str]]) -> list[str]:
 def render(root: Node) -> str:
     """The visible text below ``root``. Open pages, list counters and tables are kept on explicit stacks."""
     pages, tables, lists, pre = [Page()], [], [], 0
+    veils = [False]  # whether the text met is covered, with the elements that say so further out
     todo: list = [(root, False)]
     while todo:
         item, leaving = todo.pop()
         page = pages[-1]
         if isinstance(item, str):
-            (page.raw if pre else page.inline)(item)
+            if not veils[-1]:
+                (page.raw if pre else page.inline)(item)
             continue
         tag = item.tag
+        veiling = VEILING.search(item.attrs.get("style", ""))
         if not leaving:
             if not visible(item):
                 continue
             if tag == "br":
-                if page.line.strip():
+                if page.inked:
                     page.end_line()
                 elif page.lines:
                     page.gap = True
                 continue
+            veiled = veils[-1] if not veiling else veiling[1].lower() != "visible"
             if tag == "img":
-                page.inline(item.attrs.get("alt", ""))
+                page.inline("" if veiled else item.attrs.get("alt", ""))
                 continue
+            if veiling:
+                veils.append(veiled)
             if tag in BLOCKS:
                 page.block(tag in SPACED and not (tag in ("ul", "ol") and lists))
             if tag in ("ul", "ol", "menu"):
@@ -229,18 +278,20 @@ def render(root: Node) -> str:
             if tag in APART:
                 page.inline(" ")
             todo.append((item, True))
-            todo.extend((child, False) for child in reversed(item.children))
+            todo.extend((child, False) for child in reversed(shown_children(item)))
             continue
+        if veiling:
+            veils.pop()
         if tag in APART:
             page.inline(" ")
         elif tag in ("td", "th") and tables:
             cell = pages.pop().text()
-            wide = item.attrs.get("colspan", "1")
-            tables[-1][-1] += [cell] + [""] * (min(int(wide), 100) - 1 if re.fullmatch(r"\d{1,4}", wide) else 0)
+            tall = whole(item.attrs.get("rowspan", "1"), TO_THE_END)
+            tables[-1][-1].append((cell, max(1, whole(item.attrs.get("colspan", "1"), 100)), tall or TO_THE_END))
         elif tag == "table":
             page.end_line()
-            for line in aligned([r for r in tables.pop() if any(r)]):
-                page.line = line or " "
+            for line in aligned([r for r in laid_out(tables.pop()) if any(r)]):
+                page.put(line)
                 page.end_line()
             page.gap = True
         elif tag in ("ul", "ol", "menu") and lists:

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -583,8 +584,6 @@ def test_least_shared_is_a_lower_bound(spark, percent):
 
 def test_toxic_words_inside_exceptions():
     """Matches inside any exception phrase do not count; many of both take no longer than each alone."""
-    import time
-
     lexicon = toxicity.Lexicon({"bad": 1.0, "worse": 2.0}, ["not bad", "bad run worse", "worse off"], 0.5)
     found = toxicity.matcher(lexicon)
     rng = random.Random(6)
@@ -638,3 +637,34 @@ def test_decontamination_of_no_documents(documents, spark):
     items = spark.createDataFrame([(1, "one two"), (2, " ".join("abcdefghijklmnop"))], "item_id long, text string")
     for limit in (1, 1 << 20):
         assert decontamination.decontaminate(documents([]), items, block_bytes=limit).collect() == []
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+    ("<table><tr><td>a<td rowspan=3>b<td>c<tr><td>d<td>e<tr><td colspan=2>f</table>", "a | b | c\nd |   | e\nf |"),
+    ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a | b\n  | c\n  | d"),
+    ("<table><tr><td rowspan=x colspan=0>a<td>b<tr><td>c</table>", "a | b\nc"),
+    ("<details>x<summary>s</summary><p>y</details>z", "s\nz"),
+    ("<details open><summary>s</summary><p>y</details>z", "s\n\ny\n\nz"),
+    ("a<dialog>x</dialog><dialog open> b</dialog>", "a b"),
+    ("<p style='visibility:hidden'>x <b style='visibility: visible'>y</b> z<img alt=i></p>w", "y\n\nw"),
+    ("<p style='visibility:visible'>x</p><div style='display:none'><b style='visibility:visible'>y</b></div>", "x"),
+    ("<b>a</b> <i> b</i>\n<u>c</u>", "a b c"),
+    ("<pre>a\n\n  b</pre>", "a\n\n  b"),
+])
+def test_rendering_of_spans_and_covered_parts(html, text):
+    assert html_text.to_text(html) == text
+
+
+def test_rendering_takes_time_in_proportion(spark):
+    n = 20_000
+    for html, text in [
+        ("<div>" * n + "deep", "deep"), ("<b>" * n + "<p>x" * n, "\n\n".join(["x"] * n)),
+        ("<b>a</b> " * n, " ".join(["a"] * n)), ("<ul><li>" * 2_000 + "a", "  " * 1_999 + "* a"),
+        ("<table><tr>" + "<td>a" * n, " | ".join("a" * n)), ("<i>" * n + "</b>" * n + "x", "x"),
+    ]:
+        start = time.process_time()
+        assert html_text.to_text(html) == text
+        assert time.process_time() - start < 5
+    pages = spark.createDataFrame([], "page_id long, html string").select(html_text.text_of("html").alias("t"))
+    assert pages.collect() == []
