@@ -6,13 +6,14 @@ wants a line separator; an empty skippable frame serves as one, which every Zsta
 
 Reading: an archive is one row of Spark's binaryFile source. The reader loads the dictionary from the
 leading skippable frame, decodes frame by frame and validates every record: version line, mandatory
-headers, declared lengths, block and payload digests. A damaged record becomes a row with its ``error``
-and its neighbours are still read.
+headers, declared lengths, block and payload digests. Frames need not state their content size. A damaged
+record, or one that unpacks to more than 1 GB, becomes a row with its ``error`` and its neighbours are still read.
 
 Records with equal payloads of at least ``least`` bytes are stored once: the one with the smallest page_id
 as response, the others as revisit. Defined results: a null html is an empty payload; rows that repeat
 the smallest page_id of their payload are all responses; a null page_id is larger than any other, and a
-payload that only such rows hold is a response each time; a null url leaves the target out.
+payload that only such rows hold is a response each time; a null url leaves the target out; an empty table
+makes no archive and reads back as no rows; other columns of the table are not looked at.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
+PART, LARGEST = 1 << 20, 1 << 30  # bytes unpacked at a time, and of one record (a cell holds less than 2 GB)
 FOUND = (
     "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, "
     "record_id string, payload binary, archive string, error string"
@@ -140,7 +142,19 @@ def frame_end(data: bytes, start: int) -> int:
     return at
 
 
-def records(data: bytes):
+def inflate(reader: zstandard.ZstdDecompressor, frame: bytes, most: int) -> bytes:
+    """The content of a frame, also of one that a streaming compressor wrote without its size; at most ``most`` bytes."""
+    out, held = [], 0
+    with reader.stream_reader(frame) as stream:
+        while part := stream.read(PART):
+            out.append(part)
+            held += len(part)
+            if held > most:
+                raise ValueError(f"a frame holds more than {most} bytes")
+    return b"".join(out)
+
+
+def records(data: bytes, most: int = LARGEST):
     """Each record of an archive in turn, or a row that says what is wrong with it."""
     empty = dict.fromkeys(x.split()[0] for x in FOUND.split(", "))
     at, reader = 0, zstandard.ZstdDecompressor()
@@ -148,7 +162,7 @@ def records(data: bytes):
         size = struct.unpack_from("<I", data, 4)[0]
         content = data[8 : 8 + size]
         if content[:4] == struct.pack("<I", FRAME):  # the dictionary itself may be compressed
-            content = zstandard.ZstdDecompressor().decompress(content)
+            content = inflate(zstandard.ZstdDecompressor(), content, most)
         reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content))
         at = 8 + size
     while at < len(data):
@@ -164,7 +178,7 @@ def records(data: bytes):
             yield empty | {"error": str(e)}
             return
         try:
-            yield decode(reader.decompress(data[at:end]))
+            yield decode(inflate(reader, data[at:end], most))
         except (ValueError, KeyError, UnicodeDecodeError, zstandard.ZstdError) as e:
             yield empty | {"error": str(e) or type(e).__name__}
         at = end

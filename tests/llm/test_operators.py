@@ -176,6 +176,34 @@ def test_damaged_records():
     assert [r["error"] is None for r in rows] == [True, False, False, False, False, True, False]
 
 
+def test_frames_without_content_size():
+    import zstandard
+
+    def page(i):
+        body = f"body {i} ".encode() * 300_000
+        return warc.encode(i, "http://h/", body, warc.sha1_base32(body), None, "2024-01-01T00:00:00Z")
+
+    def streamed(raw):
+        writer = zstandard.ZstdCompressor(write_checksum=True).compressobj()
+        return writer.compress(raw) + writer.flush()
+
+    frames = [streamed(page(i)) for i in range(3)]
+    assert all(zstandard.frame_content_size(f) < 0 for f in frames)
+    rows = list(warc.records(b"".join(frames)))
+    assert [(r["page_id"], r["payload_bytes"], r["error"]) for r in rows] == [(i, 300_000 * 7, None) for i in range(3)]
+    frames[1] = zstandard.ZstdCompressor().compress(b"x" * 5_000_000)  # small on disk, large in memory
+    rows = list(warc.records(b"".join(frames), most=3_000_000))
+    assert [r["page_id"] for r in rows] == [0, None, 2] and "more than 3000000 bytes" in rows[1]["error"]
+
+
+def test_archives_of_odd_tables(spark):
+    rows = [(None, "u", "a", 1), (None, None, "a", 2), (5, "u", "a", 3), (5, "u", "a", 4), (7, "u", None, 5), (8, "u", "", 6), (None, "u", "only", 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, PAYLOAD int")
+    out = sorted(((r["page_id"] or 0), r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.round_trip(pages).collect())
+    assert out == [(0, "response", None, 4), (0, "revisit", 5, 1), (0, "revisit", 5, 1), (5, "response", None, 1), (5, "response", None, 1),
+                   (7, "response", None, 0), (8, "revisit", 7, 0)]
+
+
 # --- near copies ------------------------------------------------------------------------------------------
 
 
