@@ -193,8 +193,10 @@ def kendall(df: DataFrame, column: str, column2: str) -> DataFrame:
 # ----------------------------------------------------------------------------- scatter
 
 
-def scatter_with_fit(df: DataFrame, x: str, y: str, color: str | None = None, size: str | None = None) -> DataFrame:
-    """Least-squares line over all complete rows, overall and per colour group."""
+def scatter_with_fit(
+    df: DataFrame, x: str, y: str, color: str | None = None, size: str | None = None, max_groups: int | None = None
+) -> DataFrame:
+    """Least-squares line over all complete rows, overall and per colour group (refused above ``max_groups``, if given)."""
     names = [c for c in (x, y, size, color) if c]
     if len(set(names)) < len(names):
         raise Refusal("scatter: axes, size and color must be different columns")
@@ -208,19 +210,22 @@ def scatter_with_fit(df: DataFrame, x: str, y: str, color: str | None = None, si
     def line(frame: DataFrame, keys) -> DataFrame:
         s = frame.groupBy(*keys).agg(
             F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"),
-            F.regr_intercept("y", "x").alias("intercept"), F.corr("x", "y").alias("r"),
+            F.regr_intercept("y", "x").alias("intercept"), F.regr_sxy("y", "x").alias("_sxy"),
             F.regr_sxx("y", "x").alias("_sxx"), F.regr_syy("y", "x").alias("_syy"))
+        # corr() fails where one side is constant
+        s = s.withColumn("r", F.expr("greatest(-1D, least(1D, _sxy / nullif(sqrt(_sxx) * sqrt(_syy), 0)))"))
+        s = s.withColumn("r", F.expr("CASE WHEN _sxx > 0 AND _syy > 0 THEN r END"))
         se = F.expr("sqrt((1 - r * r) * _syy / nullif(_sxx, 0) / nullif(n - 2, 0))")
+        p = dist.t_sf2(F.col("slope") / F.nullif(se, F.lit(0.0)), F.col("n") - 2)
         return s.select(
             *keys, "n", "slope", "intercept", "r", (F.col("r") * F.col("r")).alias("r_squared"),
-            se.alias("stderr"), dist.t_sf2(F.col("slope") / se, F.col("n") - 2).alias("p_value"))
+            se.alias("stderr"), F.when(se == 0, 0.0).otherwise(p).alias("p_value"))  # points on a line leave no error
 
     whole = line(rows.withColumn("g", F.lit("(all)")), ["g"]).withColumnRenamed("g", "group")
     if not color:
         return whole
-    levels = rows.select("g").distinct().limit(13).count()
-    if levels > 12:
-        raise Refusal(f"scatter: '{color}' has more than 12 groups")
+    if max_groups is not None and rows.select("g").distinct().limit(max_groups + 1).count() > max_groups:
+        raise Refusal(f"scatter: '{color}' has more than {max_groups} groups")
     return whole.unionByName(line(rows, ["g"]).withColumnRenamed("g", "group"))
 
 

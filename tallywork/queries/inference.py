@@ -116,7 +116,13 @@ def _(spark, d):
     return rounded(m.mean_ci(table(spark, d, "events"), "value", ["event_type"]).drop("ci95_low", "ci95_high"))
 
 
-@query("mean_difference_ci")
+# the t quantile by its expansion in 1 / dof around the normal one, right to nine digits from 300 degrees of freedom on
+@query("mean_difference_ci", TWO +
+       ", w AS (SELECT m1 - m2 AS d, sqrt(v1 / n1 + v2 / n2) AS se, power(v1 / n1 + v2 / n2, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v2 / n2, 2) / (n2 - 1)) AS f, "
+       "1.959963984540054 AS z FROM r), "
+       "t AS (SELECT d, se * (z + (power(z, 3) + z) / (4 * f) + (5 * power(z, 5) + 16 * power(z, 3) + 3 * z) / (96 * f * f) "
+       "+ (3 * power(z, 7) + 19 * power(z, 5) + 17 * power(z, 3) - 15 * z) / (384 * power(f, 3))) AS half FROM w) "
+       "SELECT 'even' AS group1, 'odd' AS group2, round(d, 4) AS mean_difference, round(d - half, 4) AS ci95_low, round(d + half, 4) AS ci95_high FROM t")
 def _(spark, d):
     out = m.ttest_independent(orders(spark, d), "o_totalprice", "parity")
     return rounded(out.select("group1", "group2", "mean_difference", "ci95_low", "ci95_high"), 4)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tallywork.errors import Refusal
-from tallywork.operators import regression as r
+from tallywork.operators import bivariate, regression as r
 
 
 def by_term(fit):
@@ -197,3 +197,14 @@ def test_negative_binomial_without_extra_dispersion_is_refused(spark):
     rows = [("ab"[i % 2], float(3 + i % 2 + i % 3)) for i in range(200)]
     with pytest.raises(Refusal, match="Poisson family"):
         r.count_model(spark.createDataFrame(rows, "g string, y double"), "y", ["g"], "negative_binomial")
+
+
+def test_scatter_of_many_groups(spark):
+    rows = [(f"g{g}", float(i), g * i + 1.0) for g in range(40) for i in range(5)] + [(None, 1.0, 2.0), ("g1", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {r["group"]: r for r in bivariate.scatter_with_fit(df, "x", "y", "g").collect()}
+    assert len(got) == 42 and got["(all)"]["n"] == 201 and got["(missing)"]["n"] == 1
+    assert all(got[f"g{g}"]["slope"] == pytest.approx(g) and got[f"g{g}"]["n"] == 5 for g in range(40))
+    assert got["g7"]["p_value"] == pytest.approx(0, abs=1e-9) and got["g0"]["p_value"] is got["(missing)"]["p_value"] is None
+    with pytest.raises(Refusal, match="more than 12 groups"):
+        bivariate.scatter_with_fit(df, "x", "y", "g", max_groups=12)
