@@ -97,3 +97,22 @@ def test_counts(rows, family, exposure):
         same(found, r.count_model(alone(rows, seg), "k", ["x", "g"], family, exposure), seg)
     reason = {x["seg"]: x["reason"] for x in found.summary.collect()}
     assert "constant" in reason["flat"] and "usable" in reason["thin"]
+
+
+def test_task_functions_after_column_functions(spark, tmp_path):
+    """Distribution columns used before leave nothing in the functions that travel to tasks, which need no package there."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    from tallywork.functions import dist
+
+    spark.range(3).select(dist.norm_sf(F.lit(1.0)), dist.t_sf2(F.lit(1.0), F.lit(4.0))).collect()
+    sent = tmp_path / "task"
+    sent.write_bytes(cloudpickle.dumps(lambda: (dist.t_point(0.975, 4), dist.rank_sum_p(1.0, 2.0, 2.0), r._coefficients)))
+    code = f"import pickle; print(round(pickle.load(open({str(sent)!r}, 'rb'))()[0], 4))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": ""}, capture_output=True, text=True)
+    assert done.stdout.strip() == "2.7764", done.stderr
+    data = [(s, float(i), float(i * i % 7)) for s in "ab" for i in range(12)]
+    df = spark.createDataFrame(data, "seg string, x double, y double")
+    assert s.ols_by(df, "y", ["x"], ["seg"]).summary.where("reason IS NULL").count() == 2
