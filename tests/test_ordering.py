@@ -140,3 +140,16 @@ def test_no_row_of_data_meets_an_unpartitioned_window(spark):
     plan = o.average_ranks(df, "x")._jdf.queryExecution().executedPlan().toString()
     single = plan.split("Exchange SinglePartition")
     assert len(single) == 2 and "HashAggregate(keys=[_b" in single[1][:400]  # the one-row-per-range table
+
+
+def test_carry_backward_frames_grow(spark):
+    """Repeated and missing order keys; no frame that Spark reads anew for every row."""
+    rows = [(i // 2, i, "v" if i % 5 == 4 else None) for i in range(40)] + [(99, 99, None)]
+    df = spark.createDataFrame(rows, "rid long, n long, v string")
+    out = o.carry(df, "rid", "v", forward=False)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
+    got = {r["n"]: r["v"] for r in out.collect()}
+    assert got[99] is None and all(got[n] == "v" for n in range(40)) and len(got) == 41
+    nulls = spark.createDataFrame([(None, "x"), (1, None), (2, "y"), (3, None)], "rid long, v string")
+    got = {r["rid"]: r["v"] for r in o.carry(nulls, "rid", "v", forward=False).collect()}
+    assert got == {None: "x", 1: "y", 2: "y", 3: None}
