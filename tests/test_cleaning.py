@@ -198,6 +198,27 @@ def test_join_matches_missing_keys(spark):
         "Row(key='k', v=2, v_dup=None)", "Row(key='z', v=None, v_dup=4)", "Row(key=None, v=1, v_dup=3)"]
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+@pytest.mark.parametrize("right", [20, 1])
+def test_join_deals_hot_keys(spark, monkeypatch, how, right):
+    """Missing and repeated keys in blocks of a few rows, equal rows and a clashing name: the rows of the plain join, dealt."""
+    from tallywork.operators import combine
+
+    rows = [(None, 1.0, "same")] * 30 + [("k", float(i), "x") for i in range(90)] + [("lone", 0.5, "x"), ("l2", 0.5, None)]
+    a = spark.createDataFrame(rows, "key string, v double, `l0` string").repartition(3)
+    b = spark.createDataFrame(
+        [(k, i, "b") for k in (None, "k", "only") for i in range(right)] + [("l2", 7, "b")], "key string, v int, z string")
+    kinds = a.join(b, a["key"].eqNullSafe(b["key"]), how).count()
+    monkeypatch.setattr(combine, "HOT_ROWS", 4)
+    monkeypatch.setattr(combine, "BLOCK_ROWS", 8)
+    got = combine.join_tables([a, b], "key", how)
+    plain = combine._plain_join(a, b, ["key"], how)
+    assert got.count() == kinds and got.columns == plain.columns and got.dtypes == plain.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+    sizes = got.groupBy("key", F.spark_partition_id().alias("p")).count().where("key = 'k'").agg(F.count("*"), F.max("count")).first()
+    assert sizes[0] > 1 and sizes[1] < 90 * right
+
+
 def test_resample_fills_empty_periods(spark):
     df = spark.sql("SELECT CAST(d AS TIMESTAMP_NTZ) AS d, v FROM VALUES ('2024-01-30', 1.0D), ('2024-04-02', 2.0D) AS t(d, v)")
     rows = resample(df, "d", "v", "ME", "sum").orderBy("d").collect()
