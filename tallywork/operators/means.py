@@ -12,7 +12,8 @@ from tallywork.errors import Refusal, need_columns
 from tallywork.functions import dist
 from tallywork.functions.cells import number, quoted
 from tallywork.functions.dist import norm_point, norm_upper
-from tallywork.operators.ordering import grouped_quantiles
+from tallywork.operators.ordering import grouped_quantiles, join_groups
+from tallywork.session import cut_lineage
 
 ALPHA = 0.05
 
@@ -204,7 +205,7 @@ def welch(moments: DataFrame, by: list[str]) -> DataFrame:
 
 def brown_forsythe_moments(rows: DataFrame, by: list[str]) -> DataFrame:
     medians = grouped_quantiles(rows, "x", {"_med": 0.5}, [*by, "g"])
-    spread = rows.join(medians, [*by, "g"]).withColumn("x", F.abs(F.col("x") - F.col("_med")))
+    spread = join_groups(rows, cut_lineage(medians), [*by, "g"]).withColumn("x", F.abs(F.col("x") - F.col("_med")))
     return group_moments(spread, by).where("n > 1")
 
 

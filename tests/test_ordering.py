@@ -153,3 +153,23 @@ def test_carry_backward_frames_grow(spark):
     nulls = spark.createDataFrame([(None, "x"), (1, None), (2, "y"), (3, None)], "rid long, v string")
     got = {r["rid"]: r["v"] for r in o.carry(nulls, "rid", "v", forward=False).collect()}
     assert got == {None: "x", 1: "y", 2: "y", 3: None}
+
+
+def test_rows_meet_few_groups_where_they_are(spark, monkeypatch):
+    """A hot group's rows are not sorted by one task to meet the group's median."""
+    from tallywork.operators import means
+
+    rows = spark.range(3000).selectExpr("CAST(id % 3 AS STRING) AS g", "CAST(id * id % 101 AS DOUBLE) AS x")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        spread = means.brown_forsythe_moments(rows, [])
+        assert "SortMergeJoin" not in plan(spread)
+        few = {tuple(r) for r in spread.collect()}
+        monkeypatch.setattr(o, "FEW_GROUPS", 2)
+        many = means.brown_forsythe_moments(rows, [])
+        assert "SortMergeJoin" in plan(many) and len(few) == 3
+        assert [r[:2] for r in sorted(few)] == [r[:2] for r in sorted(map(tuple, many.collect()))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
