@@ -173,3 +173,15 @@ def test_rows_meet_few_groups_where_they_are(spark, monkeypatch):
         assert [r[:2] for r in sorted(few)] == [r[:2] for r in sorted(map(tuple, many.collect()))]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+@pytest.mark.parametrize("rows", [50_000, 50])
+def test_quantiles_read_off_one_cell_a_column(frame, monkeypatch, rows):
+    """Many close quantiles of a column: overlapping brackets are one stretch, and each cell is looked at once."""
+    monkeypatch.setattr(o, "BRACKET_ROWS", rows)
+    made, struct, probs = [], F.struct, [0.2, 0.21, 0.215, 0.3, 0.5, 0.501, 0.9]
+    monkeypatch.setattr(F, "struct", lambda *c: made.append(c) or struct(*c))
+    got = o.exact_quantiles(frame, {"x": F.col("x"), "r": F.col("rid")}, probs)
+    assert len(made) == 2
+    np.testing.assert_allclose(got["x"], np.quantile([r[1] for r in skewed()], probs))
+    np.testing.assert_allclose(got["r"], np.quantile([r[0] for r in skewed()], probs))
