@@ -219,6 +219,36 @@ def test_join_deals_hot_keys(spark, monkeypatch, how, right):
     assert sizes[0] > 1 and sizes[1] < 90 * right
 
 
+def test_join_of_a_hot_key_is_written_small(spark, tmp_path):
+    """All pairs of 3,003 and 1,101 different rows, in an order that files encode: before, some 0.8 bytes a row."""
+    a = spark.range(3003).selectExpr("CAST(NULL AS STRING) AS k", "id * 7919 % 3003 AS x")
+    b = spark.range(1101).selectExpr("CAST(NULL AS STRING) AS k", "id * 7907 % 1101 AS y", "CAST(sqrt(id) AS STRING) AS z")
+    path = tmp_path / "joined"
+    join_tables([a.repartition(3, "x"), b], "k", "outer").write.parquet(str(path))
+    got = spark.read.parquet(str(path))
+    n, x, y, pairs, keys = got.agg(
+        F.count("*"), F.sum("x"), F.sum("y"), F.countDistinct(F.col("x") * 1101 + F.col("y")), F.count("k")).first()
+    assert (n, pairs, keys) == (3003 * 1101, 3003 * 1101, 0)
+    assert (x, y) == (3002 * 3003 // 2 * 1101, 1100 * 1101 // 2 * 3003)
+    assert got.select("y", "z").distinct().count() == 1101
+    assert sum(f.stat().st_size for f in path.glob("*.parquet")) < n * 0.4
+
+
+def test_join_deals_chunks_over_blocks(spark, monkeypatch):
+    """More copies of a chunk than are made in one step, and keys that alternate: every pair once."""
+    from tallywork.operators import combine
+
+    monkeypatch.setattr(combine, "HOT_ROWS", 4)
+    monkeypatch.setattr(combine, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(combine, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(combine, "MOST_TASKS", 8)
+    a = spark.range(9, numPartitions=2).selectExpr("IF(id % 3 = 0, NULL, id % 3) AS k", "id AS x")
+    b = spark.range(9000, numPartitions=3).selectExpr("IF(id % 3 = 0, NULL, id % 3) AS k", "id AS y")
+    got = combine.join_tables([a, b], "k").groupBy("k").agg(
+        F.count("*").alias("n"), F.countDistinct("x", "y").alias("pairs"), F.countDistinct("y").alias("ys"))
+    assert {r["k"]: tuple(r)[1:] for r in got.collect()} == {k: (9000, 9000, 3000) for k in (None, 1, 2)}
+
+
 def test_resample_fills_empty_periods(spark):
     df = spark.sql("SELECT CAST(d AS TIMESTAMP_NTZ) AS d, v FROM VALUES ('2024-01-30', 1.0D), ('2024-04-02', 2.0D) AS t(d, v)")
     rows = resample(df, "d", "v", "ME", "sum").orderBy("d").collect()
